@@ -1,0 +1,11 @@
+"""Streaming entry points.
+
+The analysed workload is request/response over whole tables, so the only
+streaming piece is the report history: report rows arriving as JSON files are
+appended to the history table (H1) batch by batch with exactly-once file
+tracking from the checkpoint.
+"""
+
+from scrubspark.streaming.history_stream import stream_reports
+
+__all__ = ["stream_reports"]
