@@ -86,8 +86,8 @@ class Analysis:
 
     @cached_property
     def _moments(self):
-        rows, m = stats.moments(self.proj, [f"v{i}" for i in range(len(self.numeric))])
-        return rows, {self.numeric[i]: m[f"v{i}"] for i in range(len(self.numeric))}
+        rows, m, pairs = stats.moments(self.proj, [f"v{i}" for i in range(len(self.numeric))], pairs=True)
+        return rows, {self.numeric[i]: m[f"v{i}"] for i in range(len(self.numeric))}, pairs
 
     @property
     def rows(self) -> int:
@@ -369,11 +369,11 @@ class Analysis:
         return int(self.cardinality().where("high_cardinality").count())
 
     # ------------------------------------------------------------------ A8 / A9
-    @cached_property
+    @property
     def pair_r(self) -> dict[tuple[int, int], float | None]:
         if len(self.numeric) < 2:
             return {}
-        return stats.correlations(self.proj, [f"v{i}" for i in range(len(self.numeric))])
+        return self._moments[2]
 
     def matrix_rows(self, cols: list[str] | None = None) -> list[tuple]:
         cols = cols if cols is not None else self.numeric

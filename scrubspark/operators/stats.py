@@ -1,9 +1,9 @@
 """Shared statistics frames over the numeric columns of one table.
 
-* ``moments``      one wide aggregate: count, mean, std, var, min, max, skew,
-                   kurtosis per column (partial aggregation, one tiny exchange).
-* ``correlations`` pairwise-complete Pearson r for all column pairs, also one
-                   wide aggregate (batched for wide tables).
+* ``moments``      two scans of plain sums (count/sum/min/max, then centred
+                   power sums and cross products): mean, std, var, min, max,
+                   skew, kurtosis per column and pairwise-complete Pearson r
+                   (partial aggregation, one tiny exchange per batch).
 * ``quantiles``    exact linear-interpolated quantiles found by bucket
                    refinement: every pass is a map-side aggregate keyed by
                    (bracket, bucket), so no task ever holds a whole column.
@@ -101,74 +101,121 @@ def _adjust_kurt(n: int, g2: float | None) -> float:
     return ((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3))
 
 
-def moments(df: DataFrame, cols: list[str]) -> tuple[int, dict[str, ColumnMoments]]:
-    """Row count and per-column moments in one scan per batch of columns."""
-    out: dict[str, ColumnMoments] = {}
-    per_col = 8
-    batch = max(1, _AGG_BATCH // per_col)
-    rows = None
-    if not cols:
-        return int(df.count()), out
-    for start in range(0, len(cols), batch):
-        chunk = cols[start : start + batch]
-        aggs = [F.count(F.lit(1)).alias("__rows")]
-        for i, c in enumerate(chunk):
-            x = numeric_value(df, c)
-            aggs += [
-                F.count(x).alias(f"n{i}"),
-                F.avg(x).alias(f"mean{i}"),
-                F.stddev_samp(x).alias(f"std{i}"),
-                F.var_samp(x).alias(f"var{i}"),
-                F.min(x).alias(f"min{i}"),
-                F.max(x).alias(f"max{i}"),
-                F.skewness(x).alias(f"g1_{i}"),
-                F.kurtosis(x).alias(f"g2_{i}"),
+def _agg_batches(df: DataFrame, exprs: list[Column]) -> dict:
+    """Run plain aggregates in batches of ``_AGG_BATCH`` per job; one row each."""
+    out: dict = {}
+    for start in range(0, len(exprs), _AGG_BATCH):
+        out.update(df.agg(*exprs[start : start + _AGG_BATCH]).collect()[0].asDict())
+    return out
+
+
+def moments(
+    df: DataFrame, cols: list[str], pairs: bool = False
+) -> tuple[int, dict[str, ColumnMoments], dict[tuple[int, int], float | None]]:
+    """Row count, per-column moments and (optionally) pairwise-complete
+    Pearson r, in two scans of plain sums:
+
+    1. count, sum, min, max, sample variance per column (-> mean);
+    2. sums of the 2nd-4th powers of ``v - mean`` per column and of the
+       cross products of centred values per column pair.
+
+    Centring on the mean keeps the power sums free of cancellation (the same
+    two-pass arithmetic a single-machine library uses), and plain ``sum``
+    aggregates stay small in generated code, so wide tables batch well.
+    """
+    vals = [numeric_value(df, c) for c in cols]
+    first = [F.count(F.lit(1)).alias("__rows")]
+    for i, x in enumerate(vals):
+        first += [
+            F.count(x).alias(f"n{i}"),
+            F.sum(x).alias(f"s{i}"),
+            F.min(x).alias(f"lo{i}"),
+            F.max(x).alias(f"hi{i}"),
+            F.var_samp(x).alias(f"var{i}"),
+        ]
+    r1 = _agg_batches(df, first)
+    rows = int(r1["__rows"])
+    n = [int(r1[f"n{i}"]) for i in range(len(cols))]
+    mean = [(r1[f"s{i}"] / n[i]) if n[i] else None for i in range(len(cols))]
+    d = [x - F.lit(mean[i]) if mean[i] is not None else F.lit(None).cast("double") for i, x in enumerate(vals)]
+
+    second = []
+    for i in range(len(cols)):
+        second += [
+            F.sum(d[i]).alias(f"d1_{i}"),
+            F.sum(d[i] * d[i]).alias(f"d2_{i}"),
+            F.sum(d[i] * d[i] * d[i]).alias(f"d3_{i}"),
+            F.sum(d[i] * d[i] * d[i] * d[i]).alias(f"d4_{i}"),
+        ]
+    pair_list = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))] if pairs else []
+    complete = [n[i] == rows for i in range(len(cols))]
+    for i, j in pair_list:
+        second.append(F.sum(d[i] * d[j]).alias(f"x_{i}_{j}"))
+        if not (complete[i] and complete[j]):
+            both = d[i].isNotNull() & d[j].isNotNull()
+            second += [
+                F.count_if(both).alias(f"pn_{i}_{j}"),
+                F.sum(F.when(both, d[i])).alias(f"pa_{i}_{j}"),
+                F.sum(F.when(both, d[j])).alias(f"pb_{i}_{j}"),
+                F.sum(F.when(both, d[i] * d[i])).alias(f"paa_{i}_{j}"),
+                F.sum(F.when(both, d[j] * d[j])).alias(f"pbb_{i}_{j}"),
             ]
-        r = df.agg(*aggs).collect()[0]
-        rows = int(r["__rows"])
-        for i, c in enumerate(chunk):
-            n = int(r[f"n{i}"])
-            std = r[f"std{i}"]
-            var = r[f"var{i}"]
-            out[c] = ColumnMoments(
-                n=n,
-                mean=r[f"mean{i}"],
-                std=std,
-                var=var,
-                min=r[f"min{i}"],
-                max=r[f"max{i}"],
-                skew=_adjust_skew(n, r[f"g1_{i}"]) if (var or 0) > 0 else 0.0,
-                kurt=_adjust_kurt(n, r[f"g2_{i}"]) if (var or 0) > 0 else 0.0,
-            )
-    return rows, out
+    r2 = _agg_batches(df, second) if second else {}
+
+    out: dict[str, ColumnMoments] = {}
+    for i, c in enumerate(cols):
+        k = n[i]
+        if k == 0:
+            out[c] = ColumnMoments(0, None, None, None, None, None, 0.0, 0.0)
+            continue
+        s1, s2, s3, s4 = (r2[f"d{p}_{i}"] or 0.0 for p in (1, 2, 3, 4))
+        delta = s1 / k
+        m2 = s2 - k * delta * delta
+        m3 = s3 - 3 * delta * s2 + 2 * k * delta**3
+        m4 = s4 - 4 * delta * s3 + 6 * delta * delta * s2 - 3 * k * delta**4
+        var = r1[f"var{i}"] if k > 1 else None
+        if m2 > 0:
+            g1 = math.sqrt(k) * m3 / m2**1.5
+            g2 = k * m4 / (m2 * m2) - 3.0
+        else:
+            g1 = g2 = None
+        out[c] = ColumnMoments(
+            n=k,
+            mean=mean[i],
+            std=math.sqrt(max(var, 0.0)) if var is not None else None,
+            var=max(var, 0.0) if var is not None else None,
+            min=r1[f"lo{i}"],
+            max=r1[f"hi{i}"],
+            skew=_adjust_skew(k, g1) if m2 > 0 else 0.0,
+            kurt=_adjust_kurt(k, g2) if m2 > 0 else 0.0,
+        )
+
+    corr: dict[tuple[int, int], float | None] = {}
+    for i, j in pair_list:
+        sxy = r2[f"x_{i}_{j}"]
+        if complete[i] and complete[j]:
+            k, sx, sy = rows, r2[f"d1_{i}"], r2[f"d1_{j}"]
+            sxx, syy = r2[f"d2_{i}"], r2[f"d2_{j}"]
+        else:
+            k = int(r2[f"pn_{i}_{j}"])
+            sx, sy = r2[f"pa_{i}_{j}"], r2[f"pb_{i}_{j}"]
+            sxx, syy = r2[f"paa_{i}_{j}"], r2[f"pbb_{i}_{j}"]
+        if k < 2 or sxy is None:
+            corr[(i, j)] = None
+            continue
+        cxx = sxx - sx * sx / k
+        cyy = syy - sy * sy / k
+        cxy = sxy - sx * sy / k
+        if cxx <= 0 or cyy <= 0:
+            corr[(i, j)] = None
+        else:
+            corr[(i, j)] = max(-1.0, min(1.0, cxy / math.sqrt(cxx * cyy)))
+    return rows, out, corr
 
 
 def correlations(df: DataFrame, cols: list[str]) -> dict[tuple[int, int], float | None]:
     """Pairwise-complete Pearson r for every i < j (None when undefined)."""
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    out: dict[tuple[int, int], float | None] = {}
-    vals = [numeric_value(df, c) for c in cols]
-    batch = max(1, _AGG_BATCH // 3)
-    for start in range(0, len(pairs), batch):
-        chunk = pairs[start : start + batch]
-        aggs = []
-        for k, (i, j) in enumerate(chunk):
-            a, b = vals[i], vals[j]
-            a2 = F.when(b.isNotNull(), a)
-            b2 = F.when(a.isNotNull(), b)
-            aggs += [
-                F.covar_samp(a, b).alias(f"c{k}"),
-                F.stddev_samp(a2).alias(f"sa{k}"),
-                F.stddev_samp(b2).alias(f"sb{k}"),
-            ]
-        r = df.agg(*aggs).collect()[0]
-        for k, (i, j) in enumerate(chunk):
-            cov, sa, sb = r[f"c{k}"], r[f"sa{k}"], r[f"sb{k}"]
-            if cov is None or not sa or not sb or any(map(math.isnan, (cov, sa, sb))):
-                out[(i, j)] = None
-            else:
-                out[(i, j)] = cov / (sa * sb)
-    return out
+    return moments(df, cols, pairs=True)[2]
 
 
 # ----------------------------------------------------------------------------- quantiles
