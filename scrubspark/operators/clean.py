@@ -1,8 +1,10 @@
 """Cleaning pipeline (C1-C16): strip -> dedup -> dates -> numbers -> fill -> rename.
 
 Jobs, in order:
-  1. raw rows: profile (rows, nulls, distinct), strip-change counts, raw duplicates
-  2. stripped rows grouped by all columns (persisted): dedup + removed count
+  1. raw rows: rows, nulls and strip-change counts in one aggregate; exact
+     distinct counts from one (column, value) aggregate
+  2. raw rows grouped by all columns, regrouped by their stripped values
+     (persisted): raw duplicates, duplicates removed and the dedup frame
   3. date detection on the deduplicated rows (hint ratio, then parse counts)
   4. numeric-text detection on the remaining text columns
   5. converted rows: null counts, min/max/count of numeric columns
@@ -96,19 +98,34 @@ def clean(df: DataFrame, exact: bool = True, checkpoint: bool = False) -> CleanR
     fields = df.schema.fields
     text_cols = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
 
-    # job 1: raw profile + strip counts + raw duplicates
-    pre = profile(df, exact=exact)
-    stripped_counts = strip_counts(df)
-
-    # job 2: strip + dedup (persisted: every later job reads it)
-    stripped = strip_columns(df)
-    grouped = group_rows(stripped)
+    # job 1: raw profile (rows, nulls, distinct) with the strip-change counts in the same scan
+    strip_aggs = [F.count_if(qcol(c) != strip_text(qcol(c))).alias(f"strip_{i}") for i, c in enumerate(text_cols)]
+    pre = profile(df, exact=exact, duplicates=False, extra=strip_aggs)
+    stripped_counts = {c: int(pre.extra[f"strip_{i}"]) for i, c in enumerate(text_cols)}
+
+    # job 2: raw rows grouped, then regrouped by their stripped values: gives the
+    # raw duplicate count, the post-strip duplicate count and the dedup frame in
+    # one chain (persisted: every later job reads it)
+    raw_groups = group_rows(df)
+    stripped_keys = [
+        strip_text(qcol(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else qcol(f.name)
+        for f in fields
+    ]
+    grouped = raw_groups.groupBy(*stripped_keys).agg(
+        F.sum("__n").alias("__n"), F.sum(F.col("__n") - 1).alias("__raw_dups")
+    )
     if checkpoint:
         grouped = persist_reliably(grouped, spark)
     else:
         grouped = grouped.persist(StorageLevel.MEMORY_AND_DISK)
     persisted = [grouped]
-    g = grouped.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("__n") - 1).alias("dups")).collect()[0]
+    g = grouped.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.col("__n") - 1).alias("dups"),
+        F.sum("__raw_dups").alias("raw_dups"),
+    ).collect()[0]
+    pre.duplicate_rows = int(g["raw_dups"] or 0)
+    stripped = strip_columns(df)
     dedup = grouped.select(*[qcol(c) for c in df.columns])
     # grouping turned maps into JSON text; restore the original column types
     dedup = dedup.select(

@@ -76,6 +76,7 @@ class Profile:
     null_counts: list[int]
     unique_counts: list[int]
     duplicate_rows: int | None
+    extra: dict | None = None
 
     @property
     def missing_cells(self) -> int:
@@ -98,10 +99,14 @@ class Profile:
         )
 
 
-def profile(df: DataFrame, exact: bool = True, duplicates: bool = True) -> Profile:
-    """P1-P4 and P6 for every column."""
+def profile(
+    df: DataFrame, exact: bool = True, duplicates: bool = True, extra: list[Column] | None = None
+) -> Profile:
+    """P1-P4 and P6 for every column; ``extra`` aggregates ride along in the
+    same scan (results in ``Profile.extra``)."""
     cols = df.columns
-    aggs = [F.count(F.lit(1)).alias("__rows")]
+    extra = extra or []
+    aggs = [F.count(F.lit(1)).alias("__rows"), *extra]
     aggs += [F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]
     if not exact:
         aggs += [F.approx_count_distinct(value_text(df, c)).alias(f"u{i}") for i, c in enumerate(cols)]
@@ -120,6 +125,7 @@ def profile(df: DataFrame, exact: bool = True, duplicates: bool = True) -> Profi
         null_counts=nulls,
         unique_counts=uniques,
         duplicate_rows=dups,
+        extra=r.asDict(),
     )
 
 
