@@ -183,13 +183,16 @@ def clean(df: DataFrame, exact: bool = True, checkpoint: bool = False) -> CleanR
     need = [c for c in numeric if missing[c] > 0]
     medians: dict[str, float | None] = {}
     if need:
-        proj = stats.numeric_projection(converted, need)
+        # narrow doubles, persisted for the few search passes (the text
+        # conversions are evaluated once, not once per pass)
+        proj = stats.numeric_projection(converted, need).persist(StorageLevel.MEMORY_AND_DISK)
         info = {}
         for j, c in enumerate(need):
             i = numeric.index(c)
             info[j] = (int(r[f"n{i}"]), r[f"lo{i}"], r[f"hi{i}"])
         q = stats.quantiles(spark, proj, info, [0.5], exact=exact)
         medians = {c: q[j][0] for j, c in enumerate(need)}
+        proj.unpersist()
 
     for f in converted.schema.fields:
         d = by_name[f.name]
