@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from scrubspark.llm import chat, warc
+from scrubspark.llm import bpe, chat, warc
 
 QUERIES = {
     "op5_chat_format": chat.op5_chat_format,
     "op7_warc": warc.op7_warc,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLE = {
