@@ -41,9 +41,9 @@ MODEL_BYTES = 64 << 20  # largest tokenizer file that is broadcast
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LATIN_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 LATIN_NUMBERS = "0-9²³¹¼-¾"
-WHITE = "\\t-\\r \u0085   -     　"
+WHITE = "\\t-\\r \u0085\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-_latin_only = re.compile("[^\u0000-ɏ‐-‧]")
+_latin_only = re.compile("[^\u0000-ɏ\u2010-\u2027]")
 
 
 def _latin_words() -> Callable[[str], list[str]]:

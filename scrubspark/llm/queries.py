@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from scrubspark.llm import bpe, chat, warc
+from scrubspark.llm import bpe, chat, simhash, warc
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
     "op5_chat_format": chat.op5_chat_format,
     "op7_warc": warc.op7_warc,
     "op10_bpe": bpe.op10_bpe,
