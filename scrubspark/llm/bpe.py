@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -348,8 +349,8 @@ def decode(rows: DataFrame, model: BpeModel, keep: list[str], ids: str = "token_
         data, starts = np.frombuffer(shared.value[0], np.uint8), shared.value[1]
         for batch in batches:
             lists = batch.column(len(keep))
-            counts = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64)
-            flat = np.asarray(pa.compute.list_flatten(lists), np.int64)
+            counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+            flat = np.asarray(pc.list_flatten(lists), np.int64)
             begin, size = starts[flat], starts[flat + 1] - starts[flat]
             done = np.concatenate([[0], np.cumsum(size)])
             at = np.arange(done[-1]) + np.repeat(begin - done[:-1], size)
