@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from scrubspark.session import checkpoint_dir
 
-BATCH_ROWS = 2000
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -68,10 +68,31 @@ def test_lexicon_is_minimal_and_exact(path):
     assert all(lex.get(w) == ids for w, ids in entries.items())
     assert lex.get(b"nat") is None and lex.get(b"nationss") is None and lex.get(b"") is None
     # 'ation' is shared by station, ration and nation up to its branch, so states are fewer than letters
-    assert len(lex.first) - 1 < sum(map(len, entries))
+    assert len(lex.final) < sum(map(len, entries))
     assert bpe.Lexicon(bpe.compile_lexicon({})).get(b"a") is None
 
 
+def test_words_merged_together(path):
+    model, rng = bpe.BpeModel(path), random.Random(4)
+    words = ["".join(rng.choice("theaion rsé世") for _ in range(rng.randrange(1, 40))) for _ in range(500)] + ["a"]
+    raw = [w.encode() for w in words]
+    ids, counts = model.merge_many(b"".join(raw), bpe.np.asarray([*map(len, raw)]))
+    cut = bpe.np.cumsum([0, *counts]).tolist()
+    assert [ids[a:b].tolist() for a, b in zip(cut, cut[1:])] == [model.merge(w) for w in words]
+    assert [len(x) for x in model.merge_many(b"", bpe.np.zeros(0, int))] == [0, 0]
+
+
+def test_small_memory_changes_nothing(path, theirs, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 20)
+    monkeypatch.setattr(bpe, "PART_CHARS", 64)
+    model = bpe.BpeModel(path)
+    coder = bpe.Encoder(model, bpe.Lexicon(bpe.compile_lexicon({b" the": model.merge(" the")})))
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["the", "station", "x", "naïve", "<|endoftext|>"]) + str(rng.randrange(40)) for _ in range(rng.randrange(30))) for _ in range(60)]
+    got = coder.encode_array(bpe.pa.array(texts)).to_pylist()
+    assert got == [theirs.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_long_words_merge_alike(path):
     model, rng = bpe.BpeModel(path), random.Random(1)
     for n in (49, 80, 300):
