@@ -34,10 +34,13 @@ from scrubspark.llm.common import small_batches, text_buffer
 MAX_EDITS = 0.15  # edits allowed, as a share of the item's bytes
 ITEM_BLOCK_BYTES = 2 << 20  # text of the items that are broadcast together
 GRAM = 10
+MARGIN = 16  # bytes around a window in which its item is placed, besides the edits
 BAND = 64  # diagonals that count as about the same
-WALKS, SAMPLES, POSITIONS = 4, 24, 6  # LSH: walks, samples per walk, positions per sample
+WALKS, SAMPLES, POSITIONS = 6, 32, 4  # LSH: walks, samples per walk, positions per sample
 TABLE_BITS = 22
+HIT_BYTES = 25  # a window needs a shared gram for each so many bytes of its item
 HITS_AT_ONCE = 1 << 20
+WINDOWS_AT_ONCE = 1 << 14
 _K = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _FOLD = bytes(32 if chr(b) in "\t\n\v\f\r " else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -72,7 +75,8 @@ class ItemIndex:
     gram_place: np.ndarray
     moves: np.ndarray  # (walks, steps, 256): whether the pointer moves on
     share: np.ndarray  # (walks, samples, positions): sampled places of a walk, as a share of it
-    codes: list[np.ndarray]  # per item (walks, samples, positions): its letters there
+    sizes: np.ndarray  # bytes of each item
+    codes: np.ndarray  # (items, walks, samples, positions): letters there
 
     @classmethod
     def build(cls, rows: list[tuple], max_edits: float, seed: int = 7) -> ItemIndex:
@@ -90,88 +94,75 @@ class ItemIndex:
         place = np.concatenate([*[np.arange(len(h)) for h in hashes], np.zeros(0, np.int64)])
         table = np.zeros(1 << TABLE_BITS, np.bool_)
         table[(flat >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-        own = cls([i for i, _ in kept], texts, [int(max_edits * len(t)) for t in texts], table, flat[order], item[order], place[order], moves, share, [])
-        for t in texts:
-            own.codes.append(own.sample(own.walks(np.frombuffer(t, np.uint8)[None, :], len(t)), len(t))[0])
+        sizes = np.asarray([len(t) for t in texts], np.int64)
+        limits = [int(max_edits * len(t)) for t in texts]
+        own = cls([i for i, _ in kept], texts, limits, table, flat[order], item[order], place[order], moves, share, sizes, np.zeros(0))
+        wide = np.zeros((len(texts), int(sizes.max(initial=0))), np.uint8)
+        for row, t in zip(wide, texts):
+            row[: len(t)] = np.frombuffer(t, np.uint8)
+        own.codes = own.letters(wide, sizes)
         return own
 
-    def walks(self, windows: np.ndarray, n: int) -> np.ndarray:
-        """CGK walks of windows of n bytes: (walks, steps, windows)."""
-        count = len(windows)
-        padded = np.zeros((count, n + 1), np.uint8)
-        padded[:, :n] = windows
-        flat, base = padded.ravel(), np.arange(count) * (n + 1)
-        out = np.empty((WALKS, 2 * n, count), np.uint8)
-        for w in range(WALKS):
+    def letters(self, windows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Letters at the sampled places of the CGK walks over windows (zero past their
+        ends) of the given sizes: (windows, walks, samples, positions)."""
+        count, steps = len(windows), 2 * int(sizes.max(initial=0))
+        flat = np.concatenate([windows, np.zeros((count, 1), np.uint8)], axis=1).ravel()
+        base = np.arange(count) * (windows.shape[1] + 1)
+        seen = np.empty((count, *self.share.shape), np.uint8)
+        walk = np.empty((steps, count), np.uint8)
+        for w, moves in enumerate(self.moves):
             at = base.copy()
-            for j in range(2 * n):
-                letter = flat[at]
-                out[w, j] = letter
-                at += self.moves[w, j][letter]
+            for j in range(steps):
+                np.take(flat, at, out=walk[j])
+                at += moves[j].take(walk[j])
+            places = (self.share[w] * 2 * sizes[:, None, None]).astype(np.int64)
+            seen[:, w] = walk[places, np.arange(count)[:, None, None]]
+        return seen
+
+    def alike(self, items: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """Which windows fall into a bucket of their item in some sample of some walk."""
+        out = np.zeros(len(items), bool)
+        for a in range(0, len(items), 2048):
+            mine = items[a : a + 2048]
+            out[a : a + 2048] = (self.letters(windows[a : a + 2048], self.sizes[mine]) == self.codes[mine]).all(3).any((1, 2))
         return out
 
-    def sample(self, walks: np.ndarray, n: int) -> np.ndarray:
-        """Sampled letters: (windows, walks, samples, positions)."""
-        at = (self.share * 2 * n).astype(np.int64)
-        return np.stack([walks[w][at[w]] for w in range(WALKS)]).transpose(3, 0, 1, 2)
-
-    def alike(self, item: int, windows: np.ndarray) -> np.ndarray:
-        """Which windows fall into a bucket of the item in some sample of some walk."""
-        n, out = len(self.texts[item]), np.zeros(len(windows), bool)
-        for a in range(0, len(windows), 1024):
-            seen = self.sample(self.walks(windows[a : a + 1024], n), n)
-            out[a : a + 1024] = (seen == self.codes[item]).all(3).any((1, 2))
-        return out
+
+def _edits_at(pattern: bytes, letters, anchored: int) -> Iterator[int]:
+    """Edit distance of ``pattern`` to the text that ends at each letter, by bit vectors over
+    the pattern: to the whole of it if ``anchored``, else to its best ending."""
+    m, where = len(pattern), {}
+    for i, c in enumerate(pattern):
+        where[c] = where.get(c, 0) | 1 << i
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    plus, minus, score = full, 0, m
+    for c in letters:
+        eq = where.get(c, 0)
+        x = eq | minus
+        d0 = (((eq & plus) + plus) ^ plus) | x
+        up, down = minus | (full & ~(d0 | plus)), plus & d0
+        if up & top:
+            score += 1
+        elif down & top:
+            score -= 1
+        up, down = (up << 1 | anchored) & full, (down << 1) & full
+        plus, minus = down | (full & ~(d0 | up)), up & d0
+        yield score
 
 
 def best_match(item: bytes, text: bytes, limit: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best place of ``item`` in ``text``; None beyond ``limit``.
 
-    Edit distance by bit vectors over the item's bytes, free at both ends of the text;
-    the first best end, and for it the shortest place."""
-
-    def ends(pattern: bytes, letters) -> Iterator[int]:
-        m, where = len(pattern), {}
-        for i, c in enumerate(pattern):
-            where[c] = where.get(c, 0) | 1 << i
-        full, top = (1 << m) - 1, 1 << (m - 1)
-        plus, minus, score = full, 0, m
-        for c in letters:
-            eq = where.get(c, 0)
-            x = eq | minus
-            d0 = (((x & plus) + plus) ^ plus) | x
-            up, down = minus | (full & ~(d0 | plus)), plus & d0
-            if up & top:
-                score += 1
-            elif down & top:
-                score -= 1
-            up, down = (up << 1) & full, (down << 1) & full
-            plus, minus = down | (full & ~(d0 | up)), up & d0
-            yield score
-
-    scores = list(ends(item, text))
-    if not scores or min(scores) > limit:
-        return (len(item), 0, 0) if len(item) <= limit else None
-    edits = min(scores)
-    end = scores.index(edits) + 1
-    back = list(ends(item[::-1], reversed(text[:end])))
-    # the reversed run is free at its start too, so the first place that gives the same edits from `end`
-    size = _anchored(item[::-1], text[:end][::-1][: len(item) + limit], edits)
-    return edits, end - (size if size is not None else back.index(edits) + 1), end
-
-
-def _anchored(item: bytes, text: bytes, edits: int) -> int | None:
-    """Shortest prefix of ``text`` at ``edits`` edits from ``item`` (plain row by row)."""
-    row = list(range(len(item) + 1))
-    if row[-1] == edits:
-        return 0
-    for j, c in enumerate(text, 1):
-        last, row[0] = row[0], j
-        for i, x in enumerate(item, 1):
-            last, row[i] = row[i], min(row[i] + 1, row[i - 1] + 1, last + (x != c))
-        if row[-1] == edits:
-            return j
-    return None
+    The first best end, and for it the shortest place."""
+    edits, end = min(((e, j) for j, e in enumerate(_edits_at(item, text, 0), 1)), default=(len(item), 0))
+    if edits > limit:
+        return None
+    if edits >= len(item):
+        return len(item), 0, 0
+    back = _edits_at(item[::-1], reversed(text[:end]), 1)
+    size = next(j for j, e in enumerate(back, 1) if e == edits)
+    return edits, end - size, end
 
 
 def windows_of(index: ItemIndex, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +177,7 @@ def windows_of(index: ItemIndex, buf: np.ndarray, offsets: np.ndarray) -> tuple[
     kept = []
     ends = np.cumsum(times)
     first = 0
-    reach = max(map(len, index.texts), default=0)
+    reach = int(index.sizes.max(initial=0))
     wide = (len(buf) + 2 * reach) // (BAND // 2) + 2
     while first < len(at):  # postings of some hits at a time
         last = max(first + 1, int(np.searchsorted(ends, ends[first] - times[first] + HITS_AT_ONCE, "right")))
@@ -210,8 +201,8 @@ def windows_of(index: ItemIndex, buf: np.ndarray, offsets: np.ndarray) -> tuple[
     head = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
     if not len(head):
         return head, head
-    size = np.asarray([len(x) for x in index.texts])[item[head]]
-    on = np.add.reduceat(hits, head) >= np.where(size < 40, 1, 3)
+    size = index.sizes[item[head]]
+    on = np.add.reduceat(hits, head) >= np.where(size < 2 * HIT_BYTES, 1, np.maximum(2, size // HIT_BYTES))
     pairs = np.unique(np.stack([item[head][on], start[head][on]]), axis=1)
     return pairs[0], pairs[1]
 
@@ -222,29 +213,28 @@ def find_in(index: ItemIndex, texts: pa.Array) -> list[tuple[int, int, int, int,
     raw = fold(buf.tobytes())
     buf = np.frombuffer(raw, np.uint8)
     item, start = windows_of(index, buf, offsets)
-    padded = np.concatenate([buf, np.zeros(max(map(len, index.texts), default=0) + 1, np.uint8)])
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     cuts = offsets.tolist()
 
     def verify(k: int, at: int, row: int) -> None:
         t, edits = index.texts[k], index.max_edits[k]
-        a, b = max(cuts[row], at - edits - BAND), min(cuts[row + 1], at + len(t) + edits + BAND)
+        a, b = max(cuts[row], at - edits - MARGIN), min(cuts[row + 1], at + len(t) + 2 * edits + MARGIN)
         found = best_match(t, raw[a:b], edits) if a < b else None
         if found:
             place = (found[0], found[1] + a - cuts[row], found[2] + a - cuts[row])
             best[row, k] = min(best.get((row, k), place), place)
 
-    for k in np.unique(item).tolist():
-        n = len(index.texts[k])
-        s = start[item == k]
-        # the row of the window's middle; the window itself stays inside its row where it can
-        row = np.searchsorted(offsets, np.clip(s + n // 2, 0, max(len(buf) - 1, 0)), "right") - 1
-        s = np.maximum(s, offsets[row])
-        cells = s[:, None] + np.arange(n)
-        windows = np.where(cells < offsets[row + 1][:, None], padded[np.minimum(cells, len(padded) - 1)], 0)
-        on = index.alike(k, windows)
-        for at, r in zip(s[on].tolist(), row[on].tolist()):
-            verify(k, at, r)
+    size = index.sizes[item]
+    # the row of the window's middle; the window itself stays inside its row where it can
+    row = np.searchsorted(offsets, np.clip(start + size // 2, 0, max(len(buf) - 1, 0)), "right") - 1
+    start = np.maximum(start, offsets[row])
+    for a in range(0, len(item), WINDOWS_AT_ONCE):
+        k, s, r = item[a : a + WINDOWS_AT_ONCE], start[a : a + WINDOWS_AT_ONCE], row[a : a + WINDOWS_AT_ONCE]
+        cells = s[:, None] + np.arange(int(index.sizes[k].max()))
+        ends = np.minimum(offsets[r + 1], s + index.sizes[k])[:, None]
+        windows = np.where(cells < ends, buf[np.minimum(cells, len(buf) - 1)], 0)
+        for i in np.flatnonzero(index.alike(k, windows)).tolist():
+            verify(int(k[i]), int(s[i]), int(r[i]))
     for k, t in enumerate(index.texts):  # items too short for a gram: half of them is found as it is
         if len(t) < GRAM:
             half = t if not index.max_edits[k] else t[: len(t) // 2]
