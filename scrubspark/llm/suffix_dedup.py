@@ -45,8 +45,8 @@ from scrubspark.llm.common import text_buffer
 
 LENGTH = 50
 GRAM = 24
-BLOCK_BYTES = 8 << 20
-ROUTE_BYTES = 16 << 20  # text per route; a route holds about 1/14 as many anchors
+BLOCK_BYTES = 4 << 20
+ROUTE_BYTES = 8 << 20  # text per route; a route holds about 1/14 as many anchors
 HOT_DOCUMENTS = 1000
 SLICE = 60_000  # windows handled at once; below 2^16, as a position takes 16 bits
 WINDOW = LENGTH - GRAM + 1
@@ -416,17 +416,20 @@ def _cut(names: list[str], as_text: bool):
             on = b.ids[row] > least
             np.add.at(depth, b.offsets[row[on]] + lo[on], 1)
             np.subtract.at(depth, b.offsets[row[on]] + hi[on], 1)
-        gone = np.cumsum(depth[:n]) > 0
-        before = np.concatenate([[0], np.cumsum(gone)])
+        gone = np.cumsum(depth[:n], out=depth[:n]) > 0
+        before = np.zeros(n + 1, np.int32)  # a block is smaller than 2 GB, as an Arrow column is
+        np.cumsum(gone, out=before[1:])
         removed = before[b.offsets[1:]] - before[b.offsets[:-1]]
         head = gone.copy()  # first bytes of removed runs; a run ends with its document
         head[1:] &= ~gone[:-1]
         begin = b.offsets[:-1][(b.offsets[:-1] < b.offsets[1:])]
         head[begin] = gone[begin]
-        runs = np.concatenate([[0], np.cumsum(head)])
+        runs = np.zeros(n + 1, np.int32)
+        np.cumsum(head, out=runs[1:])
         spans = runs[b.offsets[1:]] - runs[b.offsets[:-1]]
         kept = b.buf[:n][~gone].tobytes()
         ends = (b.offsets - before[b.offsets]).tolist()
+        del before, runs, depth
         made = [
             pa.array(np.diff(b.offsets), pa.int64()),
             pa.array(removed, pa.int64()),
