@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from scrubspark.llm import bpe, chat, simhash, suffix_dedup, warc
+from scrubspark.llm import bpe, chat, decontam, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
+    "op4_decontaminate": decontam.op4_decontaminate,
     "op5_chat_format": chat.op5_chat_format,
     "op7_warc": warc.op7_warc,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
