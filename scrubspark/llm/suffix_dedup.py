@@ -46,7 +46,8 @@ from scrubspark.llm.common import text_buffer
 LENGTH = 50
 GRAM = 24
 BLOCK_BYTES = 4 << 20
-ROUTE_BYTES = 8 << 20  # text per route; a route holds about 1/14 as many anchors
+ROUTE_BYTES = 4 << 20  # text per route; a route holds about 1/14 as many anchors
+SORT_BYTES = 1 << 20  # text whose suffixes are sorted together, as whole anchors
 HOT_DOCUMENTS = 1000
 SLICE = 60_000  # windows handled at once; below 2^16, as a position takes 16 bits
 WINDOW = LENGTH - GRAM + 1
@@ -359,31 +360,35 @@ def window_minima(h: np.ndarray, size: np.ndarray, least: np.ndarray, body: np.n
         sizes = np.diff(np.append(first, len(names)))
         shared[order] = np.repeat(sizes, sizes) > 1
     windows = size[one] - LENGTH + 1
-    ctx, step = _ranges(windows)
-    lowest = own[ctx]
-    pick = np.flatnonzero(shared)
-    if len(pick):
-        place, inner = _ranges(size[one[pick]])
-        text = body[begin[one[pick]][place] + inner]
-        at = np.zeros(len(one), np.int64)
-        at[pick] = np.cumsum(size[one[pick]]) - size[one[pick]]
-        on = shared[ctx]
-        bucket = refine_buckets(text, at[ctx[on]] + step[on])
+    lowest = np.repeat(own, windows)
+    ends = np.cumsum(windows)
+    pick = order[shared[order]]  # by anchor
+    cut = np.cumsum(size[one[pick]]) // SORT_BYTES
+    while len(pick):
+        n = int(np.searchsorted(cut, cut[0], "right"))
+        while n < len(pick) and names[pick[n]] == names[pick[n - 1]]:
+            n += 1
+        some, pick, cut = pick[:n], pick[n:], cut[n:]
+        place, inner = _ranges(size[one[some]])
+        text = body[begin[one[some]][place] + inner]
+        at = np.cumsum(size[one[some]]) - size[one[some]]
+        which, step = _ranges(windows[some])
+        mine = (ends - windows)[some][which] + step
+        bucket = refine_buckets(text, at[which] + step)
         by = np.argsort(bucket, kind="stable")
         head = _starts(bucket[by[1:]] == bucket[by[:-1]])
-        low = np.minimum.reduceat(lowest[on][by], head)
-        found = np.empty(len(by), np.int64)
-        found[by] = np.repeat(low, np.diff(np.append(head, len(by))))
-        lowest[on] = found
+        low = np.minimum.reduceat(lowest[mine][by], head)
+        lowest[mine[by]] = np.repeat(low, np.diff(np.append(head, len(by))))
     # back to the contexts as they came
-    ends = np.cumsum(windows)
     which, inner = _ranges(windows[group])
     return which, lowest[(ends - windows)[group][which] + inner]
 
 
 def _answer_contexts(key, table):
     parts = [_open(x.as_py(), _CONTEXT) for x in table.column("data")]
+    counts = [len(p[0]) for p in parts]
     h, size, least, most, members, row, place, body = (np.concatenate(c) for c in zip(*parts))
+    del parts
     size = size.astype(np.int64)
     ctx, lowest = window_minima(h, size, least, body)
     inner = np.arange(len(ctx)) - np.searchsorted(ctx, ctx)
@@ -397,7 +402,7 @@ def _answer_contexts(key, table):
     which, nth = _ranges(members[c])
     m = begins[c][which] + nth
     found = np.stack([row[m].astype(np.int64), place[m] + inner[first][which], place[m] + inner[last][which] + LENGTH, lowest[first][which]])
-    blocks = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])[c][which]
+    blocks = np.repeat(np.arange(len(counts)), counts)[c][which]
     order = np.argsort(blocks, kind="stable")
     names, out = table.column("block").to_pylist(), []
     for k, a, z in _by_route(blocks[order]):

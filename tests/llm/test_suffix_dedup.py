@@ -46,6 +46,7 @@ def passages(seed, n=160):
 @pytest.mark.parametrize(("hot", "block"), [(1000, 1 << 20), (2, 700), (0, 3000)])
 def test_shared_passages(spark, monkeypatch, hot, block):
     monkeypatch.setattr(sd, "ROUTE_BYTES", 4000)
+    monkeypatch.setattr(sd, "SORT_BYTES", 300)
     rows = passages(hot + 1)
     docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, _text string").repartition(4)
     assert result(sd.remove_repeats(docs, ["doc_id"], hot_documents=hot, block_bytes=block)) == wanted(rows)
