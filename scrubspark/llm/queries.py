@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from scrubspark.llm import bpe, chat, decontam, simhash, suffix_dedup, warc
+from scrubspark.llm import bpe, chat, decontam, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op4_decontaminate": decontam.op4_decontaminate,
     "op5_chat_format": chat.op5_chat_format,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_warc": warc.op7_warc,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op10_bpe": bpe.op10_bpe,
