@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from scrubspark.llm import bpe, chat, decontam, simhash, suffix_dedup, toxicity, warc
+from scrubspark.llm import bpe, chat, decontam, language_id, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_simhash": simhash.op2_simhash,
     "op4_decontaminate": decontam.op4_decontaminate,
     "op5_chat_format": chat.op5_chat_format,
