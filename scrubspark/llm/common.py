@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,8 @@ from scrubspark.session import checkpoint_dir
 
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
+PART_BYTES = 4 << 20  # a text is split into words in parts of about this size
+_BLANK = b" \t\n\v\f\r"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -58,12 +60,16 @@ def str_list(texts: pa.Array) -> list[str]:
     return [t or "" for t in texts.to_pylist()]
 
 
-def to_batches(table: pa.Table, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    yield from table.combine_chunks().to_batches(max_chunksize=rows)
-
-
-def nonempty(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in batches if b.num_rows)
+def word_parts(raw: bytes) -> Iterator[list[bytes]]:
+    """Words of a text in order (runs without ASCII white space), in lists of bounded
+    size; cuts lie at white space."""
+    at = 0
+    while at < len(raw):
+        end = at + PART_BYTES
+        while end < len(raw) and raw[end] not in _BLANK:
+            end += 1
+        yield raw[at:end].split()
+        at = end
 
 
 def union_min_labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

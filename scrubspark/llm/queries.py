@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scrubspark.llm import bpe, chat, decontam, language_id, simhash, suffix_dedup, toxicity, warc
+from scrubspark.llm import bpe, chat, decontam, language_id, quality, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_warc": warc.op7_warc,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
 }
 

@@ -24,27 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubspark.llm.common import checkpointed, small_batches, str_list, union_min_labels
+from scrubspark.llm.common import checkpointed, small_batches, str_list, union_min_labels, word_parts
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
 SEED = 42
-PART_BYTES = 4 << 20  # a text is split into words in parts of about this size
 BYTES = 8
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)  # byte -> its 8 bits
 _LANES = (np.arange(8) * 256).astype(np.int64)
-_BLANK = b" \t\n\v\f\r"
-
-
-def _word_parts(raw: bytes) -> Iterator[list[bytes]]:
-    """Words of a text in order, in lists of bounded size; cuts lie at white space."""
-    at = 0
-    while at < len(raw):
-        end = at + PART_BYTES
-        while end < len(raw) and raw[end] not in _BLANK:
-            end += 1
-        yield raw[at:end].split()
-        at = end
 
 
 def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -57,7 +44,7 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
     from xxhash import xxh64_digest
 
     tallies, n, carry, k = np.zeros(8 * 256, np.int64), 0, [], shingle_words
-    for part in _word_parts(text.encode().lower()):
+    for part in word_parts(text.encode().lower()):
         words = carry + part
         if len(words) >= k:
             ends = np.cumsum([len(w) + 1 for w in words])

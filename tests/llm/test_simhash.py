@@ -8,7 +8,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from scrubspark.llm import simhash
+from scrubspark.llm import common, simhash
 from scrubspark.llm.common import union_min_labels
 
 SF = "/root/testdata/sf0.001"
@@ -49,7 +49,7 @@ def test_fingerprint(text):
 def test_fingerprint_of_long_text(monkeypatch):
     text = " ".join(f"w{i * 7919 % 997}" for i in range(5000))
     whole = simhash.fingerprint(text)
-    monkeypatch.setattr(simhash, "PART_BYTES", 50)
+    monkeypatch.setattr(common, "PART_BYTES", 50)
     assert whole == simhash.fingerprint(text) == plain_fingerprint(text)
     assert simhash.fingerprint(" " * 200 + "one") == plain_fingerprint("one")
 
