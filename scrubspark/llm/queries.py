@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from scrubspark.llm import bpe, chat, decontam, language_id, quality, simhash, suffix_dedup, toxicity, warc
+from scrubspark.llm import bpe, chat, decontam, language_id, license_scan, quality, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_simhash": simhash.op2_simhash,
+    "op3_license_scan": license_scan.op3_license_scan,
     "op4_decontaminate": decontam.op4_decontaminate,
     "op5_chat_format": chat.op5_chat_format,
     "op6_toxicity": toxicity.op6_toxicity,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_license_scan": license_scan.OP3_SQL,
     "op5_chat_format": chat.OP5_SQL,
     "op7_warc": warc.OP7_SQL,
 }
