@@ -1,4 +1,63 @@
-"""Corpus pipeline: stages over ``documents`` (filled in with the operators)."""
+"""Corpus pipeline: documents in, token ids of a clean corpus out.
 
-STAGES = []
+Each stage calls one operator of ``scrubspark.llm`` on all rows that the stage before it
+kept. Stages are written as Parquet in the shared folder and read again, so a lost
+executor costs at most the work of one stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scrubspark.llm import bpe, decontam, simhash, suffix_dedup, toxicity
+from scrubspark.session import shared_folder
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose clauses score below 0.5."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near copies."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without passages that a document of a smaller id also has."""
+    cut = suffix_dedup.drop_repeats(docs)
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item within the edit limit."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with the digests of ids and decoded text."""
+    return bpe.encode_digests(docs, bpe.tokenizer_path(), with_ids=True)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("suffix_array_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_contaminated),
+    ("bpe_encoding", tokenize),
+]
+
+#: Learned scores, edit distance over windows and BPE are not expressible in SQL.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = shared_folder(spark, "pipeline")
+    for number, (name, stage) in enumerate(STAGES):
+        at = f"{folder}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+    return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from scrubspark.llm import bpe, chat, decontam, language_id, license_scan, quality, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {
@@ -22,3 +24,6 @@ ORACLE = {
     "op5_chat_format": chat.OP5_SQL,
     "op7_warc": warc.OP7_SQL,
 }
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
