@@ -141,7 +141,7 @@ def clean(df: DataFrame, exact: bool = True, checkpoint: bool = False) -> CleanR
         raw_duplicate_rows=int(pre.duplicate_rows or 0),
         duplicates_removed=int(g["dups"] or 0),
     )
-    new_names = normalize_headers(df.columns)
+    new_names = normalize_headers(spark, df.columns)
     for f, new in zip(fields, new_names):
         plan.columns.append(
             ColumnDecision(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scrubspark.functions.text import normalize_header_expr
 from scrubspark.operators.stats import qcol
+from scrubspark.session import persist_reliably
 
 # --- fixed values -------------------------------------------------------------
 DEFAULT_STEM = "dataset"
@@ -45,13 +46,16 @@ def storage_names(df: DataFrame, col: str) -> DataFrame:
 
 
 def normalize_header_column(df: DataFrame, name_col: str, order_col: str) -> DataFrame:
-    """C12 over a catalogue of names: base rule per name, then ``_k`` on the
-    k-th occurrence of the same base (by ``order_col``).
+    """C12 over a catalogue of names: base rule per name, ``_k`` on the k-th
+    occurrence of the same base (by ``order_col``), then clashes between names
+    are settled in rounds: the earliest row of a name keeps it, the n-th later
+    one counts up by n (the rule of ``functions.text.unique_names``).
 
     The occurrence number is counted in two levels so that a base shared by a
     third of all rows is still split over many tasks: counts per (base, block
     of the order key), a running sum over the blocks, then a row number inside
-    each block."""
+    each block. The rounds only move rows whose name is taken, so their groups
+    are small."""
     pos = qcol(order_col)
     base = normalize_header_expr(qcol(name_col), pos)
     t = df.select(qcol(name_col).alias("name"), pos.alias("position"), base.alias("base")).withColumn(
@@ -61,9 +65,14 @@ def normalize_header_column(df: DataFrame, name_col: str, order_col: str) -> Dat
     wb = Window.partitionBy("base").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("base", "block", F.coalesce(F.sum("n").over(wb), F.lit(0)).alias("offset"))
     wr = Window.partitionBy("base", "block").orderBy("position")
-    ranked = t.withColumn("r", F.row_number().over(wr)).join(offsets, ["base", "block"])
-    k = F.col("offset") + F.col("r")
-    out = F.when(k == 1, F.col("base")).otherwise(F.concat(F.col("base"), F.lit("_"), k.cast("string")))
-    return ranked.select(
-        F.col("position").cast("long").alias("position"), "name", out.alias("normalized")
-    )
+    numbered = t.withColumn("r", F.row_number().over(wr)).join(offsets, ["base", "block"])
+    named = numbered.select("position", "name", "base", (F.col("offset") + F.col("r")).cast("long").alias("k"))
+
+    shown = F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("k").cast("string")))
+    rank = F.row_number().over(Window.partitionBy("normalized").orderBy("position")) - 1
+    while True:
+        ranked = persist_reliably(named.withColumn("normalized", shown).withColumn("later", rank))
+        if not ranked.filter("later > 0").limit(1).count():
+            break
+        named = ranked.select("position", "name", "base", (F.col("k") + F.col("later")).alias("k"))
+    return ranked.select(F.col("position").cast("long").alias("position"), "name", "normalized")

@@ -8,6 +8,7 @@ import pytest
 
 from scrubspark.functions.text import coerce_numeric_text, normalize_headers
 from scrubspark.operators.clean import clean
+from scrubspark.operators.names import normalize_header_column
 from scrubspark.sources.files import detect_delimiter, detect_encoding, read_csv, read_table
 from scrubspark.sources.workbook import read_workbooks
 
@@ -50,9 +51,23 @@ def test_na_tokens(spark):
     assert got == [None] * 7 + ["-", "x"]
 
 
-def test_header_rules():
+def test_header_rules(spark):
     cols = ["  Total  Sales ($)!", "a", "A", "a_2", "é", "__x--y__"]
-    assert normalize_headers(cols) == ["total_sales", "a", "a_2", "a_2_2", "column_5", "xy"]
+    assert normalize_headers(spark, cols) == ["total_sales", "a", "a_2", "a_2_2", "column_5", "xy"]
+    assert normalize_headers(spark, []) == []
+
+
+@pytest.mark.parametrize(
+    "cols",
+    [["a", "a", "a_2", "a"], ["a_2", "a", "a", "a_2", "a_2_2"], ["", "column_1", "", "column_3"], ["x"] * 5 + ["x_3"] * 3 + ["x_3_2"]],
+)
+def test_header_forms_agree(spark, cols):
+    want = normalize_headers(spark, cols)
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cols, start=1)], "pos long, h string").repartition(3)
+    got = [r["normalized"] for r in normalize_header_column(df, "h", "pos").orderBy("position").collect()]
+    assert got == want and len(set(got)) == len(cols)
+    if cols == ["a", "a", "a_2", "a"]:
+        assert got == ["a", "a_2", "a_2_2", "a_3"]
 
 
 def test_numeric_text_guard(spark):
