@@ -5,35 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- fixed values: candidate formats, in tie-break order ----------------------
-DATE_FORMATS = [
-    "yyyy-M-d",
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d'T'H:m:s",
-    "yyyy-M-d H:m",
-    "M/d/yyyy",
-    "d/M/yyyy",
-    "yyyy/M/d",
-    "M/d/yyyy H:m:s",
-    "d.M.yyyy",
-    "yyyy.M.d",
-    "MMM d, yyyy",
-    "MMMM d, yyyy",
-    "d MMM yyyy",
-    "d MMMM yyyy",
-    "M/d/yy",
-    "M-d-yyyy",
-]
+# --- fixed values: candidate formats with the shape of their text, in tie-break order ---
+DATE_SHAPES = {
+    "yyyy-M-d": r"\d{4}-\d{1,2}-\d{1,2}",
+    "yyyy-M-d H:m:s": r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}",
+    "yyyy-M-d'T'H:m:s": r"\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}",
+    "yyyy-M-d H:m": r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}",
+    "M/d/yyyy": r"\d{1,2}/\d{1,2}/\d{4}",
+    "d/M/yyyy": r"\d{1,2}/\d{1,2}/\d{4}",
+    "yyyy/M/d": r"\d{4}/\d{1,2}/\d{1,2}",
+    "M/d/yyyy H:m:s": r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}",
+    "d.M.yyyy": r"\d{1,2}\.\d{1,2}\.\d{4}",
+    "yyyy.M.d": r"\d{4}\.\d{1,2}\.\d{1,2}",
+    "MMM d, yyyy": r"[A-Za-z]{3} \d{1,2}, \d{4}",
+    "MMMM d, yyyy": r"[A-Za-z]{3,9} \d{1,2}, \d{4}",
+    "d MMM yyyy": r"\d{1,2} [A-Za-z]{3} \d{4}",
+    "d MMMM yyyy": r"\d{1,2} [A-Za-z]{3,9} \d{4}",
+    "M/d/yy": r"\d{1,2}/\d{1,2}/\d{2}",
+    "M-d-yyyy": r"\d{1,2}-\d{1,2}-\d{4}",
+    # fractions of a second, time zones (read as UTC instants), other common forms
+    "yyyy-M-d H:m:s.SSSSSSSSS": r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\.\d{1,9}",
+    "yyyy-M-d'T'H:m:s.SSSSSSSSS": r"\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}\.\d{1,9}",
+    "yyyy-M-d'T'H:m:s[.SSSSSSSSS]XXX": r"\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}(?:\.\d{1,9})?(?:Z|[+-]\d{2}:\d{2})",
+    "yyyy-M-d H:m:s[.SSSSSSSSS]XXX": r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}(?:\.\d{1,9})?(?:Z|[+-]\d{2}:\d{2})",
+    "M/d/yyyy H:m": r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}",
+    "d/M/yyyy H:m": r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}",
+    "d/M/yyyy H:m:s": r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}",
+    "d-MMM-yyyy": r"\d{1,2}-[A-Za-z]{3}-\d{4}",
+    "MMM d yyyy": r"[A-Za-z]{3} \d{1,2} \d{4}",
+    "MMMM d yyyy": r"[A-Za-z]{3,9} \d{1,2} \d{4}",
+}
+DATE_FORMATS = list(DATE_SHAPES)
 # -----------------------------------------------------------------------------
 
 
 def parse_date(c: Column | str, fmt: str) -> Column:
-    """Text -> timestamp with one pattern; anything else -> NULL."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.try_to_timestamp(c.cast("string"), F.lit(fmt))
+    """Text -> timestamp with one pattern; anything else -> NULL.
 
-
-def iso_text(c: Column | str) -> Column:
-    """Timestamp -> ISO-8601 text (seconds precision), like ``isoformat``."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    Only text of the format's shape is handed to the parser: a failed parse costs many
+    times a failed match. Month names are read in any case."""
+    c = (F.col(c) if isinstance(c, str) else c).cast("string")
+    shape, text = DATE_SHAPES.get(fmt), c
+    if "MMM" in fmt:  # initcap capitalises after blanks
+        text, fmt = F.initcap(F.replace(c, F.lit("-"), F.lit(" "))), fmt.replace("-", " ")
+    parsed = F.try_to_timestamp(text, F.lit(fmt))
+    return F.when(c.rlike(f"^(?:{shape})$"), parsed) if shape else parsed

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
 
 
 def format_number(c: Column | str, fractional: bool = True) -> Column:
@@ -22,7 +21,3 @@ def safe_number(*cols: Column | str) -> Column:
         d = c.cast("string").try_cast("double")
         parts.append(F.when(~F.isnan(d), d))
     return F.coalesce(*parts, F.lit(0.0))
-
-
-def is_fractional(dtype) -> bool:
-    return isinstance(dtype, (DoubleType, FloatType))

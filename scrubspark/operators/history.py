@@ -1,4 +1,4 @@
-"""Report history (H1-H4): an append-only Parquet table partitioned by client.
+"""Report history (H1-H4): an append-only Parquet table partitioned by batch and client.
 
 Listing and fetching always take a client id; the equality filter on the
 partition column prunes every other client's files.
@@ -6,6 +6,8 @@ partition column prunes every other client's files.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,22 +20,42 @@ HISTORY_PAGE = 20
 REPORT_COLUMNS = ["id", "created_at", "client_id", "dataset_path", "ai_report", "analysis_results"]
 
 
-def append_reports(reports: DataFrame, path: str) -> None:
-    """H1: add rows (dataset_path, ai_report, analysis_results, client_id);
-    the store sets id and created_at."""
-    out = reports.select(
-        F.expr("uuid()").alias("id"),
-        F.current_timestamp().alias("created_at"),
+def report_rows(reports: DataFrame) -> DataFrame:
+    """H1: the rows that an append stores, without their time. The id is a digest of
+    the row's content, so the same report has the same id in every attempt."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("client_id", "dataset_path", "ai_report", "analysis_results")]
+    sized = [x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), p)]
+    return reports.select(
+        F.sha2(F.concat(*sized), 256).alias("id"),
         "client_id",
         "dataset_path",
-        F.col("ai_report").cast("string"),
-        F.col("analysis_results").cast("string"),
+        F.col("ai_report").cast("string").alias("ai_report"),
+        F.col("analysis_results").cast("string").alias("analysis_results"),
+    )
+
+
+def append_reports(reports: DataFrame, path: str, batch: str | None = None) -> None:
+    """H1: add rows (dataset_path, ai_report, analysis_results, client_id); the store
+    sets id and created_at.
+
+    Rows lie under client and batch. An append with the name of an earlier batch
+    replaces that batch, so a retried one is stored once; without a name every call is
+    a batch of its own. Rows are gathered by client before the write (a large client
+    over several tasks), which keeps the number of files small."""
+    batch = batch if batch is not None else uuid.uuid4().hex
+    out = report_rows(reports).withColumns({"created_at": F.current_timestamp(), "batch": F.lit(batch)})
+    (
+        out.select(*REPORT_COLUMNS, "batch")
+        .hint("rebalance", "client_id")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("batch", "client_id")
+        .parquet(path)
     )
-    out.write.mode("append").partitionBy("client_id").parquet(path)
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.option("basePath", path).parquet(path).select(*REPORT_COLUMNS)
 
 
 def list_reports(reports: DataFrame, client_id: str | None, limit: int = HISTORY_PAGE) -> DataFrame:

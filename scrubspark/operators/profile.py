@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from scrubspark.operators.stats import qcol
 
 SAMPLE_VALUES = 3
+# Longest text that is compared as it is (a SHA-256 has 64 characters).
+WIDE_TEXT = 63
 
 
 def is_missing(df: DataFrame, name: str) -> Column:
@@ -57,15 +59,36 @@ def duplicate_row_count(df: DataFrame) -> int:
     return int(r["d"] or 0)
 
 
+def _distinct(df: DataFrame, cells: list[tuple[int, Column]]) -> DataFrame:
+    sp = df.select(*[c.alias(f"s{i}") for i, c in cells])
+    args = ", ".join(f"{i}, s{i}" for i, _ in cells)
+    long = sp.select(F.expr(f"stack({len(cells)}, {args}) AS (pos, value)")).where(F.col("value").isNotNull())
+    return long.select("pos", "value").distinct().groupBy("pos").agg(F.count(F.lit(1)).alias("unique_count"))
+
+
 def distinct_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(pos, unique_count) per column, NULL / NaN excluded, exact."""
+    """(pos, unique_count) per column, NULL / NaN excluded, exact.
+
+    Cells are shuffled as narrow keys: numbers, dates and times as their 64-bit hash
+    (one-to-one on 64 bits), text of more than ``WIDE_TEXT`` characters as its SHA-256."""
     cols = cols if cols is not None else df.columns
-    if not cols:
+    parts, numbers, texts = [], [], []
+    for i, c in enumerate(cols):
+        kind, x = df.schema[c].dataType, qcol(c)
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            numbers.append((i, F.when(x.isNotNull() & ~F.isnan(x), F.xxhash64(x.cast("double") + F.lit(0.0)))))
+        elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+            numbers.append((i, F.when(x.isNotNull(), F.xxhash64(x))))
+        else:
+            v = value_text(df, c)
+            texts.append((i, F.when(F.length(v) <= WIDE_TEXT, v).otherwise(F.sha2(v.cast("binary"), 256))))
+    if numbers:
+        parts.append(_distinct(df, numbers))
+    if texts:
+        parts.append(_distinct(df, texts))
+    if not parts:
         return df.sparkSession.createDataFrame([], "pos int, unique_count long")
-    sp = df.select(*[value_text(df, c).alias(f"s{i}") for i, c in enumerate(cols)])
-    args = ", ".join(f"{i}, s{i}" for i in range(len(cols)))
-    long = sp.select(F.expr(f"stack({len(cols)}, {args}) AS (pos, value)")).where(F.col("value").isNotNull())
-    return long.select("pos", "value").distinct().groupBy("pos").agg(F.count(F.lit(1)).alias("unique_count"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 @dataclass
@@ -129,10 +152,6 @@ def profile(
     )
 
 
-def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
-    return profile(df, exact=exact, duplicates=False).frame(df.sparkSession)
-
-
 def sample_values(df: DataFrame, order_by: str, k: int = SAMPLE_VALUES) -> DataFrame:
     """First ``k`` non-missing values per column by ``order_by`` (P5).
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import csv
 import io
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,50 +30,84 @@ NA_TOKENS = [
 ]
 # Candidate delimiters, in tie-break order; fallback is the first.
 DELIMITERS = [",", ";", "\t", "|"]
-# Lines looked at to choose the delimiter and read the header.
-SNIFF_LINES = 200
 TRUE_TOKENS = ["True", "TRUE", "true"]
 FALSE_TOKENS = ["False", "FALSE", "false"]
 # -----------------------------------------------------------------------------
 
+# Aggregates in one job: few enough for generated code.
+AGGS_PER_JOB = 300
 _INT_RE = r"^[+-]?\d+$"
 _FLOAT_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(inf|Inf|INF|infinity|Infinity)$"
 
 
-def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """First lines of the file decoded with ``encoding`` (the text source
-    keeps raw bytes)."""
-    raw = spark.read.text(path).limit(SNIFF_LINES)
-    return raw.select(F.decode(F.col("value").cast("binary"), encoding).alias("value"))
+@dataclass(frozen=True)
+class Layout:
+    """What one scan of a delimited file tells about it."""
 
+    encoding: str
+    delimiter: str
+    quotes_span_lines: bool
+    header: str
 
-def _sample_lines(spark: SparkSession, path: str, encoding: str) -> list[str]:
-    return [r["value"] for r in _lines(spark, path, encoding).collect()]
+
+def _delimiter_aggs(line: Column, prefix: str) -> list[Column]:
+    aggs = []
+    for i, d in enumerate(DELIMITERS):
+        n = F.when(line != "", F.length(line) - F.length(F.replace(line, F.lit(d), F.lit(""))))
+        aggs += [F.min(n).alias(f"{prefix}mn{i}"), F.avg(n).alias(f"{prefix}av{i}"), F.stddev_pop(n).alias(f"{prefix}sd{i}")]
+    return aggs
+
+
+def _pick_delimiter(r, prefix: str) -> str:
+    """The candidate that is on every line, with the most even count per line (lowest
+    spread relative to the mean); ties in listed order, the first candidate if none is."""
+    fit = [
+        ((r[f"{prefix}sd{i}"] or 0.0) / r[f"{prefix}av{i}"], i)
+        for i in range(len(DELIMITERS))
+        if r[f"{prefix}mn{i}"] is not None and r[f"{prefix}mn{i}"] >= 1
+    ]
+    return DELIMITERS[min(fit)[1]] if fit else DELIMITERS[0]
+
+
+def _decoded(encoding: str) -> Column:
+    """A raw line as text; the text source keeps the file's bytes."""
+    return F.decode(F.col("value").cast("binary"), encoding)
+
+
+def delimiter_counts(lines: DataFrame, col: str = "value") -> DataFrame:
+    """S2 over a column of lines: per candidate the least, mean and spread of its count
+    on the non-empty lines, and which one is chosen."""
+    r = lines.agg(*_delimiter_aggs(qcol(col), "")).first()
+    chosen = _pick_delimiter(r, "")
+    rows = [(d, r[f"mn{i}"], r[f"av{i}"], r[f"sd{i}"], d == chosen) for i, d in enumerate(DELIMITERS)]
+    return lines.sparkSession.createDataFrame(rows, "delimiter string, least int, mean double, spread double, chosen boolean")
+
+
+def inspect(spark: SparkSession, path: str) -> Layout:
+    """S2/S3 in one scan over the whole file: encoding (UTF-8 unless some line is not
+    valid UTF-8, then ISO-8859-1), delimiter, and whether quoted text spans lines (some
+    line holds an odd number of quotes)."""
+    raw = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    r = raw.agg(
+        F.count_if(~F.is_valid_utf8("value")).alias("bad"),
+        F.count_if(quotes % 2 == 1).alias("odd"),
+        *_delimiter_aggs(F.make_valid_utf8("value"), "u"),
+        *_delimiter_aggs(_decoded("ISO-8859-1"), "l"),
+    ).first()
+    encoding = "ISO-8859-1" if r["bad"] else "UTF-8"
+    first = raw.select(_decoded(encoding).alias("value")).filter(F.col("value") != "").head(1)
+    return Layout(encoding, _pick_delimiter(r, "l" if r["bad"] else "u"), bool(r["odd"]), first[0]["value"] if first else "")
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """S3: UTF-8 unless some line is not valid UTF-8, then ISO-8859-1."""
-    bad = spark.read.text(path).agg(F.count_if(~F.is_valid_utf8("value")).alias("bad")).collect()[0]["bad"]
-    return "UTF-8" if not bad else "ISO-8859-1"
+    """S3."""
+    return inspect(spark, path).encoding
 
 
-def detect_delimiter(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
-    """The candidate found on every sampled line with the most even count
-    per line (lowest spread relative to the mean); ties in listed order."""
-    lines = _lines(spark, path, encoding).where(F.length("value") > 0)
-    aggs = []
-    for i, d in enumerate(DELIMITERS):
-        n = F.length("value") - F.length(F.replace(F.col("value"), F.lit(d), F.lit("")))
-        aggs += [F.min(n).alias(f"mn{i}"), F.avg(n).alias(f"av{i}"), F.stddev_pop(n).alias(f"sd{i}")]
-    r = lines.agg(*aggs).collect()[0]
-    best, best_key = None, None
-    for i, d in enumerate(DELIMITERS):
-        if r[f"mn{i}"] is None or r[f"mn{i}"] < 1:
-            continue
-        key = ((r[f"sd{i}"] or 0.0) / r[f"av{i}"], i)
-        if best_key is None or key < best_key:
-            best, best_key = d, key
-    return best or DELIMITERS[0]
+def detect_delimiter(spark: SparkSession, path: str) -> str:
+    """S2."""
+    return inspect(spark, path).delimiter
 
 
 def header_names(raw: list[str]) -> list[str]:
@@ -96,31 +131,39 @@ def _na_to_null(c: Column) -> Column:
 
 
 def type_text_columns(df: DataFrame) -> DataFrame:
-    """Type each text column from its values in one aggregate job."""
+    """Type each text column from its values in one aggregate job.
+
+    Integers become long if every value fits, else decimal(38, 0) if every value fits,
+    else they stay text: no value is lost to a narrower type."""
     cols = df.columns
     aggs = []
     for i, c in enumerate(cols):
         x = qcol(c)
+        whole = x.rlike(_INT_RE)
         aggs += [
             F.count(x).alias(f"n{i}"),
-            F.count_if(x.rlike(_INT_RE)).alias(f"i{i}"),
+            F.count_if(whole).alias(f"i{i}"),
+            F.count(F.when(whole, x.try_cast("long"))).alias(f"l{i}"),
+            F.count(F.when(whole, x.try_cast("decimal(38,0)"))).alias(f"d{i}"),
             F.count_if(x.rlike(_FLOAT_RE)).alias(f"f{i}"),
             F.count_if(x.isin(TRUE_TOKENS + FALSE_TOKENS)).alias(f"b{i}"),
         ]
     aggs.append(F.count(F.lit(1)).alias("__rows"))
-    r = df.agg(*aggs).collect()[0]
-    rows = r["__rows"]
+    r = {}
+    for at in range(0, len(aggs), AGGS_PER_JOB):
+        r |= df.agg(*aggs[at : at + AGGS_PER_JOB]).first().asDict()
     sel = []
     for i, c in enumerate(cols):
         n = r[f"n{i}"]
         x = qcol(c)
         if n == 0:
-            sel.append(x.cast("double").alias(c))  # empty column: a number column of NULLs
+            sel.append(x.try_cast("double").alias(c))  # empty column: a number column of NULLs
         elif r[f"i{i}"] == n:
-            sel.append(x.try_cast("long").alias(c))
+            kind = "long" if r[f"l{i}"] == n else "decimal(38,0)" if r[f"d{i}"] == n else "string"
+            sel.append(x.try_cast(kind).alias(c))
         elif r[f"f{i}"] == n:
             sel.append(x.try_cast("double").alias(c))
-        elif r[f"b{i}"] == n and n == rows:
+        elif r[f"b{i}"] == n and n == r["__rows"]:
             sel.append(x.isin(TRUE_TOKENS).alias(c))
         else:
             sel.append(x.alias(c))
@@ -128,11 +171,12 @@ def type_text_columns(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> DataFrame:
-    """Delimited text with header -> typed DataFrame."""
-    encoding = encoding or detect_encoding(spark, path)
-    sep = sep or detect_delimiter(spark, path, encoding)
-    first = next((ln for ln in _sample_lines(spark, path, encoding) if ln != ""), "")
-    raw_names = next(csv.reader(io.StringIO(first), delimiter=sep)) if first else []
+    """Delimited text with header -> typed DataFrame.
+
+    A file is split over many tasks unless quoted text spans lines somewhere in it."""
+    seen = inspect(spark, path)
+    encoding, sep = encoding or seen.encoding, sep or seen.delimiter
+    raw_names = next(csv.reader(io.StringIO(seen.header), delimiter=sep)) if seen.header else []
     df = (
         spark.read.option("header", True)
         .option("sep", sep)
@@ -142,7 +186,7 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
         .option("emptyValue", "")
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .option("multiLine", True)
+        .option("multiLine", seen.quotes_span_lines)
         .csv(path)
     )
     names = header_names(raw_names) if len(raw_names) == len(df.columns) else df.columns

@@ -1,9 +1,12 @@
 import os
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from scrubspark.operators import history
+from scrubspark.streaming import stream_reports
 
 
 def test_append_list_fetch_isolation(spark):
@@ -25,3 +28,44 @@ def test_append_list_fetch_isolation(spark):
     # the client filter is a partition filter
     plan = rep.where(F.col("client_id") == "c1")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "client_id" in plan
+
+
+REPORT = "client_id string, dataset_path string, ai_report string, analysis_results string"
+
+
+def test_repeated_batch_is_stored_once(spark):
+    d = os.path.join(tempfile.mkdtemp(prefix="scrubspark-hist-"), "reports")
+    rows = spark.createDataFrame([("c1", "a.csv", "{}", "{}"), ("c2", None, None, "{}")], REPORT)
+    history.append_reports(rows, d, batch="b1")
+    history.append_reports(rows.limit(2), d, batch="b1")
+    first = {r.id for r in history.read_reports(spark, d).collect()}
+    assert len(first) == 2 and history.read_reports(spark, d).count() == 2
+    history.append_reports(rows, d, batch="b2")
+    history.append_reports(rows, d)
+    got = history.read_reports(spark, d)
+    assert got.count() == 6 and {r.id for r in got.collect()} == first
+
+
+def test_stream_goes_on_in_a_later_session(spark):
+    top = tempfile.mkdtemp(prefix="scrubspark-stream-")
+    source, path = os.path.join(top, "in"), os.path.join(top, "reports")
+    os.makedirs(source)
+
+    def add(name):
+        with open(os.path.join(source, name), "w") as f:
+            f.write('{"client_id": "c1", "dataset_path": "%s", "ai_report": "{}", "analysis_results": "{}"}\n' % name)
+
+    def run(session):
+        q = stream_reports(session, source, path, checkpoint=os.path.join(top, "progress"), once=True)
+        q.awaitTermination()
+
+    add("a.json")
+    run(spark)
+    run(spark.newSession())
+    assert history.read_reports(spark, path).count() == 1
+    add("b.json")
+    run(spark.newSession())
+    assert sorted(r.dataset_path for r in history.read_reports(spark, path).collect()) == ["a.json", "b.json"]
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(ValueError, match="progress folder"):
+            stream_reports(spark, source, path)

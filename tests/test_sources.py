@@ -9,7 +9,7 @@ import pytest
 from scrubspark.functions.text import coerce_numeric_text, normalize_headers
 from scrubspark.operators.clean import clean
 from scrubspark.operators.names import normalize_header_column
-from scrubspark.sources.files import detect_delimiter, detect_encoding, read_csv, read_table
+from scrubspark.sources.files import cleaned_path, delimiter_counts, detect_delimiter, detect_encoding, read_cleaned, read_csv, read_table, write_cleaned
 from scrubspark.sources.workbook import read_workbooks
 
 
@@ -84,6 +84,11 @@ def test_numeric_text_guard(spark):
         (["01/31/2024", "02/15/2024", "12/01/2023"], "timestamp"),
         (["31/01/2024", "15/02/2024", "13/12/2023"], "timestamp"),
         (["Jan 5, 2024", "Feb 10, 2024", "Mar 3, 2024"], "timestamp"),
+        (["2024-01-05 10:00:00.123", "2024-01-06 11:00:00.5", "2024-01-07 12:00:00.000001"], "timestamp"),
+        (["2024-01-05T10:00:00Z", "2024-02-10T11:30:00+02:00", "2024-03-01T00:00:00.25Z"], "timestamp"),
+        (["1/5/2024 10:30", "2/10/2024 9:05", "12/31/2024 23:59"], "timestamp"),
+        (["5-Jan-2024", "10-FEB-2024", "3-mar-2024"], "timestamp"),
+        (["Jan 5 2024", "feb 10 2024", "MAR 3 2024"], "timestamp"),
         (["2024-01-05", "2024-02-10", "hello", "world", "foo"], "string"),
         (["192.168.1.10", "marker 12", "192.168.1.11"], "string"),
     ],
@@ -149,3 +154,76 @@ def test_workbook_folder(spark):
     assert dict(df.dtypes)["qty"] == "bigint"
     assert sorted(r["qty"] for r in df.collect()) == [1, 2, 3, 4, 5]
     assert read_table(spark, d, fmt="xlsx").count() == 5
+
+
+def test_workbooks_are_matched_by_name(spark):
+    d = tempfile.mkdtemp(prefix="scrubspark-xlsx-")
+    _xlsx(os.path.join(d, "a.xlsx"), [["name", "qty"], ["n1", "1"]])
+    _xlsx(os.path.join(d, "b.xlsx"), [["qty", "name", "city"], ["2", "n2", "Oslo"]])
+    df = read_workbooks(spark, d)
+    assert df.columns == ["name", "qty", "city"]
+    assert sorted((r["name"], r["qty"], r["city"]) for r in df.collect()) == [("n1", 1, None), ("n2", 2, "Oslo")]
+
+
+def test_workbook_cells_without_reference_and_dates(spark):
+    d = tempfile.mkdtemp(prefix="scrubspark-xlsx-")
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    text = lambda v: f'<c t="inlineStr"><is><t>{v}</t></is></c>'
+    body = (
+        f"<row>{text('day')}{text('at')}{text('n')}{text('d2')}</row>"
+        '<row><c s="1"><v>45296</v></c><c s="2"><v>45296.5</v></c><c><v>3</v></c><c r="D2" s="3"><v>1.5</v></c></row>'
+        '<row><c s="1"><v>45297</v></c><c r="C3"><v>4</v></c></row>'
+    )
+    styles = (
+        f'<styleSheet {ns}><numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm\\-dd hh:mm"/>'
+        '<numFmt numFmtId="171" formatCode="0.0 &quot;days&quot;"/></numFmts>'
+        '<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>'
+    )
+    with zipfile.ZipFile(os.path.join(d, "x.xlsx"), "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
+        z.writestr("xl/styles.xml", styles)
+    rows = sorted(tuple(r) for r in read_workbooks(spark, d).collect())
+    assert rows == [("2024-01-05", "2024-01-05 12:00:00", 3, 1.5), ("2024-01-06", None, 4, None)]
+
+
+def test_long_integers_are_kept(spark):
+    ids = ["1234567890123456789012345", "9" * 25, "7"]
+    wide = ["1" * 45, "2", "3"]
+    p = _write("id,wide,n\n" + "\n".join(f"{a},{b},{i}" for i, (a, b) in enumerate(zip(ids, wide))) + "\n", "ids.csv")
+    df = read_csv(spark, p)
+    assert dict(df.dtypes) == {"id": "decimal(38,0)", "wide": "string", "n": "bigint"}
+    assert sorted(str(r["id"]) for r in df.collect()) == sorted(ids)
+    assert sorted(str(r["id"]) for r in clean(df).table.collect()) == sorted(ids)
+
+
+def test_delimiter_is_judged_on_all_lines(spark):
+    lines = [f"{i};a,b" for i in range(210)] + [f"{i};ab" for i in range(500)]
+    p = _write("\n".join(lines) + "\n", "late.csv")
+    assert detect_delimiter(spark, p) == ";"
+    got = {r["delimiter"]: r["chosen"] for r in delimiter_counts(spark.read.text(p)).collect()}
+    assert got == {",": False, ";": True, "\t": False, "|": False}
+
+
+def test_splitting_depends_on_quotes(spark):
+    body = "".join(f"{i},text {i}\n" for i in range(60000))
+    plain, quoted = _write("a,b\n" + body, "plain.csv"), _write('a,b\n1,"two\nlines"\n' + body, "quoted.csv")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
+    try:
+        split, whole = read_csv(spark, plain), read_csv(spark, quoted)
+        assert split.rdd.getNumPartitions() > 1 and split.count() == 60000
+        assert whole.count() == 60001 and whole.filter("a = 1 and b like 'two%lines'").count() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_sink_and_read_back(spark):
+    d = tempfile.mkdtemp(prefix="scrubspark-sink-")
+    df = spark.createDataFrame([(1, "a", 1.5), (2, None, None)], "k long, s string, x double")
+    for fmt in ("parquet", "csv"):
+        path = write_cleaned(df, cleaned_path(d, "My File (1).csv", fmt), fmt)
+        assert "/cleaned/my_file_1_" in path
+        got = read_cleaned(spark, path)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect())) and got.columns == df.columns
+        with pytest.raises(Exception, match="(?i)exist"):
+            write_cleaned(df, path, fmt)
