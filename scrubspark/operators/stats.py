@@ -4,14 +4,14 @@
                    power sums and cross products): mean, std, var, min, max,
                    skew, kurtosis per column and pairwise-complete Pearson r
                    (partial aggregation, one tiny exchange per batch).
-* ``quantiles``    exact linear-interpolated quantiles found by bucket
-                   refinement: every pass is a map-side aggregate keyed by
-                   (bracket, bucket), so no task ever holds a whole column.
+* ``quantiles``    exact linear-interpolated quantiles found by narrowing a
+                   bracket around each rank; passes are map-side aggregates,
+                   so no task ever holds a whole column.
 * ``bins``         one pass that assigns every value its histogram bin and
                    counts IQR outliers and box-plot whiskers per (column, bin).
 
-Results that reach the driver are O(columns) (or O(columns x buckets) during
-the quantile search), never O(rows).
+Results that reach the driver are O(columns), correlations O(columns squared);
+never O(rows).
 """
 
 from __future__ import annotations
@@ -39,6 +39,9 @@ DATETIME_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 # Aggregate expressions per job; keeps generated code small for wide tables.
 _AGG_BATCH = 240
 
+# Steps of the approximate grid that narrows a quantile search.
+GRID = 256
+
 
 def qcol(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
@@ -227,19 +230,71 @@ def _virtual_index(n: int, p: float) -> float:
 
 
 def _lerp(a: float, b: float, t: float) -> float:
+    if a == b or t == 0.0:  # also keeps infinities, whose difference is no number
+        return a
     diff = b - a
     if t >= 0.5:
         return b - diff * (1.0 - t)
     return a + diff * t
 
 
+@dataclass(frozen=True)
+class _Bracket:
+    """Values of one column strictly between a and b (None: no bound)."""
+
+    pos: int
+    a: float | None
+    b: float | None
+    below: int  # values that sort before them
+    count: int
+
+
+def _within(long: DataFrame, brackets: list[_Bracket]) -> DataFrame:
+    """(bid, v): the values of every bracket; the bracket table is O(columns)."""
+    rows = [(i, g.pos, g.a, g.b) for i, g in enumerate(brackets)]
+    table = long.sparkSession.createDataFrame(rows, "bid int, pos int, a double, b double")
+    inside = (F.col("a").isNull() | (F.col("v") > F.col("a"))) & (F.col("b").isNull() | (F.col("v") < F.col("b")))
+    return long.join(F.broadcast(table), "pos").where(inside).select("bid", "v")
+
+
+def _ranked(spark: SparkSession, wanted: list[tuple[int, int]]) -> DataFrame:
+    return F.broadcast(spark.createDataFrame(wanted, "bid int, nth long"))
+
+
+def _pivots(long: DataFrame, brackets: list[_Bracket], wanted: list[tuple[int, int]], accuracy: int) -> list:
+    """Per wanted (bracket, nth value) two values around it, from an approximate grid."""
+    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    q = _within(long, brackets).groupBy("bid").agg(F.percentile_approx("v", grid, accuracy).alias("q"), F.count(F.lit(1)).alias("n"))
+    slot = F.floor(F.col("nth") * GRID / F.col("n")).cast("int")
+    at = lambda k: F.element_at("q", F.least(F.greatest(k, F.lit(0)), F.lit(GRID)) + 1)
+    return q.join(_ranked(long.sparkSession, wanted), "bid").select("bid", "nth", at(slot - 1).alias("lo"), at(slot + 2).alias("hi")).collect()
+
+
+def _counts(long: DataFrame, brackets: list[_Bracket], pairs: list[tuple[int, int, float, float]]) -> list:
+    """Exact counts of each bracket's values before, at, between and at two values."""
+    table = long.sparkSession.createDataFrame(pairs, "bid int, nth long, lo double, hi double")
+    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+    return (
+        _within(long, brackets)
+        .join(F.broadcast(table), "bid")
+        .groupBy("bid", "nth", "lo", "hi")
+        .agg(
+            F.count_if(v < lo).alias("before"),
+            F.count_if(v == lo).alias("at_lo"),
+            F.count_if((v > lo) & (v < hi)).alias("between"),
+            F.count_if((v == hi) & (hi > lo)).alias("at_hi"),
+            F.count_if(v > hi).alias("after"),
+        )
+        .collect()
+    )
+
+
 def quantiles(
     spark: SparkSession,
     proj: DataFrame,
     info: dict[int, tuple[int, float | None, float | None]],
     probs: list[float],
     exact: bool = True,
-    buckets: int = 1024,
     finish_at: int = 4096,
     accuracy: int = 10000,
 ) -> dict[int, list[float | None]]:
@@ -248,91 +303,67 @@ def quantiles(
     ``proj`` is the numeric projection (``v0..vN``), ideally cached; ``info``
     maps position -> (non-null count, min, max) from ``moments``.
 
-    Exact mode searches the order statistics by bucket refinement: a bracket
-    [a, b] known to hold the wanted rank is split into ``buckets`` equal-width
-    buckets by one aggregate (count, min, max per bucket); the bucket holding
-    the rank becomes the next bracket. Once a bracket holds at most
-    ``finish_at`` values it is grouped by value instead, which ends the search.
-    Map-side partial aggregation keeps hot values cheap.
+    Exact mode narrows a bracket around every wanted rank. A pass takes two values
+    near the rank from an approximate quantile grid of the bracket, then counts
+    exactly what lies before, at and between them; this cuts the bracket to about
+    1/``GRID`` of its values whatever their distribution, and a value that many rows
+    share leaves the bracket at once. A bracket of at most ``finish_at`` values is
+    sorted on an executor, which picks the ranks. The driver gets one row per rank.
+    Infinities are values like others.
     """
     out: dict[int, list[float | None]] = {p: [None] * len(probs) for p in info}
     live = {p: v for p, v in info.items() if v[0] > 0}
     if not live:
         return out
-    n_cols = len(proj.columns)
-    long = long_values(proj, n_cols)
+    long = long_values(proj, len(proj.columns))
     if not exact:
         arr = F.array(*[F.lit(float(q)) for q in probs])
-        rows = (
-            long.where(F.col("pos").isin(list(live)))
-            .groupBy("pos")
-            .agg(F.percentile_approx("v", arr, accuracy).alias("q"))
-            .collect()
-        )
+        rows = long.where(F.col("pos").isin(list(live))).groupBy("pos").agg(F.percentile_approx("v", arr, accuracy).alias("q")).collect()
         for r in rows:
             out[int(r["pos"])] = [float(x) for x in r["q"]]
         return out
 
-    # wanted 0-based ranks
     plan: dict[int, list[tuple[int, int, float]]] = {}
-    state: dict[tuple[int, int], tuple[float, float, int, int]] = {}
-    resolved: dict[tuple[int, int], float] = {}
+    state: dict[tuple[int, int], _Bracket] = {}  # (column, rank) -> bracket
+    found: dict[tuple[int, int], float] = {}
     for pos, (n, mn, mx) in live.items():
         plan[pos] = []
         for q in probs:
             h = _virtual_index(n, q)
-            lo = int(math.floor(h))
-            lo = min(max(lo, 0), n - 1)
-            hi = min(lo + 1, n - 1)
-            plan[pos].append((lo, hi, h - math.floor(h)))
-            for r in (lo, hi):
-                state[(pos, r)] = (float(mn), float(mx), 0, n)
-
-    schema = "bid int, pos int, a double, b double, small boolean"
-    while True:
-        for key, (a, b, _below, _cnt) in list(state.items()):
-            if a == b:
-                resolved[key] = a
-                del state[key]
-        if not state:
-            break
-        groups: dict[tuple[int, float, float, int, int], list[tuple[int, int]]] = {}
-        for key, (a, b, below, cnt) in state.items():
-            groups.setdefault((key[0], a, b, below, cnt), []).append(key)
-        gkeys = list(groups)
-        rows = [(bid, g[0], g[1], g[2], g[4] <= finish_at) for bid, g in enumerate(gkeys)]
-        bdf = spark.createDataFrame(rows, schema)
-        j = long.join(F.broadcast(bdf), "pos").where((F.col("v") >= F.col("a")) & (F.col("v") <= F.col("b")))
-        k = F.when(F.col("small"), F.col("v")).otherwise(
-            F.expr(f"width_bucket(v, a, b, {int(buckets)})").cast("double")
-        )
-        res = j.groupBy("bid", k.alias("k")).agg(
-            F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx")
-        ).collect()
-        by_bid: dict[int, list[tuple[float, int, float, float]]] = {}
-        for r in res:
-            by_bid.setdefault(int(r["bid"]), []).append((float(r["k"]), int(r["c"]), float(r["mn"]), float(r["mx"])))
-        for bid, g in enumerate(gkeys):
-            pos, _a, _b, below, _cnt = g
-            bks = sorted(by_bid.get(bid, []))
-            for key in groups[g]:
-                rank = key[1]
-                acc = below
-                found = None
-                for _k, c, mn, mx in bks:
-                    if acc <= rank < acc + c:
-                        found = (mn, mx, acc, c)
+            lo = min(max(int(math.floor(h)), 0), n - 1)
+            plan[pos].append((lo, min(lo + 1, n - 1), h - math.floor(h)))
+            for r in plan[pos][-1][:2]:
+                state[pos, r] = _Bracket(pos, None, None, 0, n)
+        if mn == mx:
+            found |= {(pos, r): float(mn) for p, r in state if p == pos}
+    while state := {k: g for k, g in state.items() if k not in found}:
+        brackets = list(dict.fromkeys(state.values()))
+        number = {g: i for i, g in enumerate(brackets)}
+        key_of = {(number[g], k[1] - g.below): k for k, g in state.items()}
+        small = [w for w, k in key_of.items() if state[k].count <= finish_at]
+        large = [w for w, k in key_of.items() if state[k].count > finish_at]
+        if small:
+            held = _within(long, brackets).join(_ranked(spark, sorted({(b, 0) for b, _ in small})), "bid")
+            lists = held.groupBy("bid").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+            picked = lists.join(_ranked(spark, small), "bid").select("bid", "nth", F.element_at("vs", (F.col("nth") + 1).cast("int")).alias("v"))
+            found |= {key_of[r["bid"], r["nth"]]: float(r["v"]) for r in picked.collect()}
+        if large:
+            pairs = [(r["bid"], r["nth"], r["lo"], r["hi"]) for r in _pivots(long, brackets, large, accuracy)]
+            for r in _counts(long, brackets, pairs):
+                key, g, nth = key_of[r["bid"], r["nth"]], brackets[r["bid"]], r["nth"]
+                parts = [("before", g.a, r["lo"]), ("at_lo", r["lo"], r["lo"]), ("between", r["lo"], r["hi"]), ("at_hi", r["hi"], r["hi"]), ("after", r["hi"], g.b)]
+                done = 0
+                for name, a, b in parts:
+                    if nth < done + r[name]:
+                        if name.startswith("at_"):
+                            found[key] = float(a)
+                        else:
+                            state[key] = _Bracket(g.pos, a, b, g.below + done, r[name])
                         break
-                    acc += c
-                if found is None:  # cannot happen with consistent counts
-                    raise RuntimeError(f"quantile search lost rank {rank} of column {pos}")
-                state[key] = found
+                    done += r[name]
 
     for pos, specs in plan.items():
-        vals = []
-        for lo, hi, t in specs:
-            vals.append(_lerp(resolved[(pos, lo)], resolved[(pos, hi)], t))
-        out[pos] = vals
+        out[pos] = [_lerp(found[pos, lo], found[pos, hi], t) for lo, hi, t in specs]
     return out
 
 
@@ -351,6 +382,8 @@ def auto_bins(n: int, mn: float, mx: float, q1: float, q3: float, integral: bool
     """Equal-width "auto" rule: width = min(max(FD, sqrt/2), Sturges); integer
     columns get width >= 1; k = ceil(range / width), 1 when the width is 0."""
     first, last = float(mn), float(mx)
+    if not math.isfinite(first) or not math.isfinite(last):
+        return BinSpec(first, last, 1, 0.0)  # an infinite range has one bin
     if first == last:
         first, last = first - 0.5, last + 0.5
     ptp = float(mx - mn)
@@ -380,7 +413,7 @@ def bin_index(v: Column, first: Column, last: Column, k: Column, step: Column) -
 
     g2 = F.when(v < edge(g1), g1 - 1).otherwise(g1)
     g3 = F.when((v >= edge(g2 + 1)) & (g2 != k - 1), g2 + 1).otherwise(g2)
-    return g3 + 1
+    return F.when(k == 1, F.lit(1)).otherwise(g3 + 1)
 
 
 def bins_pass(spark: SparkSession, proj: DataFrame, params: list[tuple]) -> DataFrame:
