@@ -10,7 +10,7 @@ def format_number(c: Column | str, fractional: bool = True) -> Column:
     """Floats with 3 decimals, integers as they are, NULL as ``N/A``."""
     c = F.col(c) if isinstance(c, str) else c
     text = F.format_string("%.3f", c.cast("double")) if fractional else c.cast("string")
-    return F.coalesce(text, F.lit("N/A"))
+    return F.when(c.isNull(), F.lit("N/A")).otherwise(text)  # formatted, a null would be text
 
 
 def safe_number(*cols: Column | str) -> Column:

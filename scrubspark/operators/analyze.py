@@ -21,6 +21,7 @@ from scrubspark.functions.dates import parse_date
 from scrubspark.functions.text import UNKNOWN_TEXT
 from scrubspark.operators import stats
 from scrubspark.operators.detect import detect_dates
+from scrubspark.operators.profile import WIDE_TEXT, narrow_text
 from scrubspark.operators.stats import DATETIME_TYPES, qcol
 
 # --- fixed values -------------------------------------------------------------
@@ -310,11 +311,14 @@ class Analysis:
     # ------------------------------------------------------------------ A6 / A7
     @cached_property
     def freq_raw(self) -> DataFrame:
-        """(pos, value, count) over categorical columns, NULL kept as a value."""
+        """(pos, value, count) over categorical columns, NULL kept as a value.
+
+        Text of more than ``WIDE_TEXT`` characters stands as its SHA-256 (64 hex digits,
+        no shorter text has its length), so that long text is neither shuffled nor kept."""
         cats = self.categorical
         if not cats:
             return self.spark.createDataFrame([], "pos int, value string, count long")
-        sp = self.df.select(*[qcol(c).alias(f"s{i}") for i, c in enumerate(cats)])
+        sp = self.df.select(*[narrow_text(qcol(c)).alias(f"s{i}") for i, c in enumerate(cats)])
         args = ", ".join(f"{i}, s{i}" for i in range(len(cats)))
         long = sp.select(F.expr(f"stack({len(cats)}, {args}) AS (pos, value)"))
         return self._persist(long.groupBy("pos", "value").agg(F.count(F.lit(1)).alias("count")))
@@ -332,16 +336,33 @@ class Analysis:
         )
         return keep.unionByName(unk)
 
+    def _wide_values(self, top: DataFrame) -> DataFrame:
+        """``top`` (pos, rank, value, count) with the digests' texts: the few digests are
+        looked up in the columns that hold them."""
+        held = top.where(F.length("value") > WIDE_TEXT).select("pos", "value").collect()  # k per column
+        if not held:
+            return top
+        texts = None
+        for pos in sorted({r["pos"] for r in held}):
+            c = qcol(self.categorical[pos])
+            keys = [r["value"] for r in held if r["pos"] == pos]
+            t = self.df.select(F.lit(pos).alias("pos"), narrow_text(c).alias("value"), c.alias("text")).where(F.col("value").isin(keys))
+            t = t.groupBy("pos", "value").agg(F.first("text").alias("text"))
+            texts = t if texts is None else texts.unionByName(t)
+        return top.join(F.broadcast(texts), ["pos", "value"], "left").withColumn("value", F.coalesce("text", "value")).drop("text")
+
     def _names(self, cols: list[str], name: str = "column") -> DataFrame:
         return F.broadcast(
             self.spark.createDataFrame(list(enumerate(cols)), f"pos int, {name} string")
         )
 
     def category_top(self, top: int = TOP_CATEGORIES) -> DataFrame:
+        """Most frequent values per column; of equally frequent ones the first by text
+        (long ones by digest) count."""
         w = Window.partitionBy("pos").orderBy(F.desc("count"), F.asc("value"))
         ranked = self.freq.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
         total = self.rows
-        return ranked.join(self._names(self.categorical), "pos").select(
+        return self._wide_values(ranked).join(self._names(self.categorical), "pos").select(
             "column",
             F.col("rank").cast("int").alias("rank"),
             "value",
@@ -473,18 +494,23 @@ class Analysis:
                 best_v = i
         return self.datetime[best_d], (self.numeric[best_v] if best_v is not None else None)
 
-    def monthly_mean(self) -> DataFrame:
+    @cached_property
+    def _monthly(self) -> DataFrame:
         d, v = self.series_columns
         if d is None or v is None:
             return self.spark.createDataFrame([], "period string, value double")
         x = stats.numeric_value(self.df, v)
-        return (
+        return self._persist(
             self.df.select(qcol(d).alias("d"), x.alias("x"))
             .where(F.col("d").isNotNull() & F.col("x").isNotNull())
             .groupBy(F.date_format("d", "yyyy-MM").alias("period"))
             .agg(F.avg("x").alias("value"))
         )
 
+    def monthly_mean(self) -> DataFrame:
+        """Mean of the series per month with rows; one row per month, kept for all uses."""
+        return self._monthly
+
     def trend(self) -> DataFrame:
         d, v = self.series_columns
         schema = "date_column string, value_column string, detected boolean, months long, trend_direction string, slope double"
@@ -520,9 +546,8 @@ class Analysis:
         return self.spark.createDataFrame([(d, v)], "date_column string, value_column string")
 
 
-def analyze(df: DataFrame, exact: bool = True) -> dict[str, DataFrame]:
-    """Whole analysis (A15): every section as a DataFrame."""
-    a = Analysis(df, exact=exact)
+def analysis_sections(a: Analysis) -> dict[str, DataFrame]:
+    """Every section of an analysis as a DataFrame."""
     return {
         "column_types": a.column_types(),
         "overview": a.overview(),
@@ -536,3 +561,8 @@ def analyze(df: DataFrame, exact: bool = True) -> dict[str, DataFrame]:
         "monthly": a.monthly_mean(),
         "trend": a.trend(),
     }
+
+
+def analyze(df: DataFrame, exact: bool = True) -> dict[str, DataFrame]:
+    """Whole analysis of a table."""
+    return analysis_sections(Analysis(df, exact=exact))

@@ -35,8 +35,10 @@ def top_variance(a: Analysis, k: int = MAX_DISTRIBUTION_CHARTS) -> DataFrame:
 
 def sample_points(df: DataFrame, k: int = PLOT_SAMPLE_LIMIT, seed: int = SAMPLE_SEED) -> DataFrame:
     """V2: a repeatable sample of at most k rows: the k smallest seeded row
-    hashes (a top-k, so each task forwards at most k rows)."""
-    h = F.xxhash64(*[qcol(c) for c in df.columns], F.lit(seed))
+    hashes (a top-k, so each task forwards at most k rows). The hash is the MD5 of
+    the values' texts and the seed, which any engine can repeat."""
+    texts = [F.coalesce(qcol(c).cast("string"), F.lit("")) for c in df.columns]
+    h = F.md5(F.concat_ws("|", *texts, F.lit(str(seed))).cast("binary"))
     return df.withColumn("__h", h).orderBy("__h", *[qcol(c) for c in df.columns]).limit(k).drop("__h")
 
 

@@ -41,6 +41,11 @@ def value_text(df: DataFrame, name: str) -> Column:
     return c.cast("string")
 
 
+def narrow_text(v: Column) -> Column:
+    """Text as it is, or its SHA-256 if it is longer than ``WIDE_TEXT``: equal iff the texts are."""
+    return F.when(F.length(v) <= WIDE_TEXT, v).otherwise(F.sha2(v.cast("binary"), 256))
+
+
 def groupable(df: DataFrame) -> list[Column]:
     """All columns in a form usable as grouping keys (maps/variants -> JSON)."""
     out = []
@@ -80,8 +85,7 @@ def distinct_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType, T.TimestampType, T.TimestampNTZType)):
             numbers.append((i, F.when(x.isNotNull(), F.xxhash64(x))))
         else:
-            v = value_text(df, c)
-            texts.append((i, F.when(F.length(v) <= WIDE_TEXT, v).otherwise(F.sha2(v.cast("binary"), 256))))
+            texts.append((i, narrow_text(value_text(df, c))))
     if numbers:
         parts.append(_distinct(df, numbers))
     if texts:

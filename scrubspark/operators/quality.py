@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrubspark.functions.numbers import format_number, safe_number
 from scrubspark.operators.analyze import Analysis
 from scrubspark.operators.clean import CleanResult
 
@@ -30,7 +33,32 @@ FINDING = (
     "outlier cells %s%%, high-cardinality categorical columns %s."
 )
 TOP_FACT_VALUES = 5
-CONTEXT_SECTIONS = ["numeric", "positive_correlation", "negative_correlation", "categorical", "time_series"]
+SAMPLE_MONTHS = 3
+CONTEXT_HEADINGS = {
+    -2: "Dataset overview:",
+    -1: "Cleaning summary:",
+    1: "Numeric column statistics:",
+    2: "Top positive correlations:",
+    3: "Top negative correlations:",
+    4: "Categorical breakdowns:",
+    5: "Time series:",
+    6: "Anomaly and outlier summary:",
+}
+NO_NUMERIC = "- No numeric columns detected."
+NO_PAIRS = "- No qualifying correlation pairs detected."
+NO_CATEGORIES = "- No categorical columns detected."
+NO_SERIES = "- No time series pattern detected."
+NUMERIC_FACT = "- %s: count=%s, mean=%s, median=%s, std=%s, skewness=%s, outliers=%s, distribution=%s"
+PAIR_FACT = "- %s and %s: r=%s"
+CATEGORY_FACT = "- %s: unique=%s of %s rows, high_cardinality=%s, top values: %s"
+SERIES_FACTS = [
+    "- Date column: %s",
+    "- Value column: %s",
+    "- Trend direction: %s",
+    "- Slope: %s",
+    "- Monthly aggregation sample start: %s",
+    "- Monthly aggregation sample end: %s",
+]
 # -----------------------------------------------------------------------------
 
 
@@ -114,9 +142,8 @@ def band(score: Column, bands, low: str) -> Column:
 
 
 def clamp_score(x: Column) -> Column:
-    """UI clamp: a number in [0, 100], rounded; non-numbers -> NULL."""
-    d = x.cast("string").try_cast("double")
-    return F.when(~F.isnan(d), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(d, 0))).cast("int"))
+    """UI clamp: a number in [0, 100], rounded; anything else is 0."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(safe_number(x), 0))).cast("int")
 
 
 def score_band(score: DataFrame) -> DataFrame:
@@ -136,23 +163,42 @@ def correlation_strength(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("strength", tone)
 
 
-def fmt3(c: Column) -> Column:
-    """Q7: float with 3 decimals, NULL -> N/A."""
-    return F.coalesce(F.format_string("%.3f", c), F.lit("N/A"))
+def score_factors() -> Column:
+    """The factors of a score as compact JSON text."""
+    names = ["missing_cell_percentage", "duplicate_row_percentage", "outlier_percentage", "high_cardinality_columns", "type_conversions"]
+    return F.to_json(F.struct(*names))
+
+
+def merge_findings(reports: DataFrame, score: DataFrame) -> DataFrame:
+    """Q2: each report's findings with the factor line of ``score`` (one row) put first
+    unless it is among them, and the objective score with its factors.
+
+    ``reports`` has ai_report as JSON text; findings that are no list of text count as
+    none. Adds data_quality_score, findings (array) and score_factors (JSON text)."""
+    row = score_finding(score).join(score, "score").select("score", "finding", score_factors().alias("factors")).first()
+    line = F.lit(row["finding"])
+    own = F.from_json(F.get_json_object("ai_report", "$.data_quality_assessment.findings"), "array<string>")
+    own = F.coalesce(own, F.array().cast("array<string>"))
+    return reports.select(
+        "*",
+        F.lit(row["score"]).alias("data_quality_score"),
+        F.when(F.array_contains(own, line), own).otherwise(F.concat(F.array(line), own)).alias("findings"),
+        F.lit(row["factors"]).alias("score_factors"),
+    )
 
 
 def _numeric_facts(a: Analysis) -> DataFrame:
     d = a.describe_numeric()
     shape = a.shape_class().select("column", "classification")
     pos = a.spark.createDataFrame(list(enumerate(a.numeric)), "ord int, column string")
-    std = F.when(F.col("count") > 1, fmt3(F.col("std"))).otherwise(F.lit("0"))
-    skew = F.when(F.col("count") > 2, fmt3(F.col("skewness"))).otherwise(F.lit("0"))
+    std = F.when(F.col("count") > 1, format_number(F.col("std"))).otherwise(F.lit("0"))
+    skew = F.when(F.col("count") > 2, format_number(F.col("skewness"))).otherwise(F.lit("0"))
     line = F.format_string(
-        "- %s: count=%s, mean=%s, median=%s, std=%s, skewness=%s, outliers=%s, distribution=%s",
+        NUMERIC_FACT,
         F.col("column"),
         F.col("count").cast("string"),
-        fmt3(F.col("mean")),
-        fmt3(F.col("median")),
+        format_number(F.col("mean")),
+        format_number(F.col("median")),
         std,
         skew,
         F.col("outlier_count").cast("string"),
@@ -163,7 +209,7 @@ def _numeric_facts(a: Analysis) -> DataFrame:
 
 def _corr_facts(a: Analysis, direction: str, section: int) -> DataFrame:
     top = a.correlation_top().where(F.col("direction") == direction)
-    line = F.format_string("- %s and %s: r=%s", F.col("column_a"), F.col("column_b"), fmt3(F.col("r")))
+    line = F.format_string(PAIR_FACT, F.col("column_a"), F.col("column_b"), format_number(F.col("r")))
     return top.select(F.lit(section).alias("section"), F.col("rank").alias("ord"), line.alias("line"))
 
 
@@ -171,14 +217,14 @@ def _categorical_facts(a: Analysis) -> DataFrame:
     top = a.category_top(TOP_FACT_VALUES)
     item = F.struct(
         F.col("rank"),
-        F.format_string("%s (%s rows, %s%%)", F.col("value"), F.col("count").cast("string"), fmt3(F.col("percentage"))).alias("t"),
+        F.format_string("%s (%s rows, %s%%)", F.col("value"), F.col("count").cast("string"), format_number(F.col("percentage"))).alias("t"),
     )
     values = top.groupBy("column").agg(F.array_sort(F.collect_list(item)).alias("items"))
     card = a.cardinality()
     pos = a.spark.createDataFrame(list(enumerate(a.categorical)), "ord int, column string")
     hc = F.when(F.col("high_cardinality"), F.lit("True")).otherwise(F.lit("False"))
     line = F.format_string(
-        "- %s: unique=%s of %s rows, high_cardinality=%s, top values: %s",
+        CATEGORY_FACT,
         F.col("column"),
         F.col("unique_count").cast("string"),
         F.col("total_rows").cast("string"),
@@ -188,61 +234,79 @@ def _categorical_facts(a: Analysis) -> DataFrame:
     return card.join(values, "column").join(pos, "column").select(F.lit(4).alias("section"), "ord", line.alias("line"))
 
 
+def _lines(spark, section: int, lines: list[str]) -> DataFrame:
+    return spark.createDataFrame([(section, i, t) for i, t in enumerate(lines)], "section int, ord int, line string")
+
+
 def _series_facts(a: Analysis) -> DataFrame:
-    spark = a.spark
-    d, v = a.series_columns
+    """Trend and the first and last months, from the analysis' one monthly frame."""
     t = a.trend().collect()[0]
-    if d is None or v is None or not t["detected"]:
-        return spark.createDataFrame([(5, 0, "- No time series pattern detected.")], "section int, ord int, line string")
-    m = a.monthly_mean()
-    months = m.count()
-    ranked = m.withColumn("i", F.row_number().over(_period_window()))
-    rec = F.to_json(F.struct("period", "value"))
-    first = ranked.where(F.col("i") <= 3).agg(
-        F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", rec.alias("j")))), lambda x: x["j"]), ","), F.lit("]")).alias("j")
+    if not t["detected"]:
+        return _lines(a.spark, 5, [NO_SERIES])
+    record = F.to_json(F.struct("period", "value"))
+    months = a.monthly_mean().agg(F.array_sort(F.collect_list(F.struct("period", record.alias("j")))).alias("m")).select(
+        F.transform("m", lambda x: x["j"]).alias("m")
     )
-    last = ranked.where((F.col("i") > months - 3) & F.lit(months > 3)).agg(
-        F.concat(F.lit("["), F.coalesce(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", rec.alias("j")))), lambda x: x["j"]), ","), F.lit("")), F.lit("]")).alias("j")
+    listed = lambda c: F.concat(F.lit("["), F.array_join(c, ","), F.lit("]"))
+    last = F.when(F.size("m") > SAMPLE_MONTHS, F.slice("m", -SAMPLE_MONTHS, SAMPLE_MONTHS)).otherwise(F.array().cast("array<string>"))
+    r = months.select(
+        listed(F.slice("m", 1, SAMPLE_MONTHS)).alias("first"), listed(last).alias("last"), format_number(F.lit(t["slope"])).alias("slope")
+    ).first()
+    return _lines(
+        a.spark, 5,
+        [SERIES_FACTS[0] % t["date_column"], SERIES_FACTS[1] % t["value_column"], SERIES_FACTS[2] % t["trend_direction"],
+         SERIES_FACTS[3] % r["slope"], SERIES_FACTS[4] % r["first"], SERIES_FACTS[5] % r["last"]],
     )
-    fr = first.collect()[0]["j"]
-    lr = last.collect()[0]["j"]
+
+
+def overview_facts(a: Analysis) -> DataFrame:
+    """Q6: the dataset overview block."""
+    kinds = [(a.numeric, "Numeric columns"), (a.categorical, "Categorical columns"), (a.datetime, "Datetime columns detected")]
+    lines = [f"- Total rows: {a.rows}", f"- Total columns: {len(a.columns)}"]
+    return _lines(a.spark, -2, lines + [f"- {name}: {len(cols)} ({', '.join(cols)})" for cols, name in kinds])
+
+
+def cleaning_facts(res: CleanResult) -> DataFrame:
+    """Q6: the cleaning block; lists as compact JSON text, whole."""
+    spark, p = res.table.sparkSession, res.plan
+    total = p.summary(spark).first()
+    rows = lambda df: [json.loads(x) for x in df.toJSON().collect()]  # noqa: E731  one row per column
+    packed = lambda value: json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    changed = sorted(r["column"] for r in p.change_log(spark).select("column").collect())
     lines = [
-        f"- Date column: {d}",
-        f"- Value column: {v}",
-        f"- Trend direction: {t['trend_direction']}",
-        None,
-        f"- Monthly aggregation sample start: {fr}",
-        f"- Monthly aggregation sample end: {lr}",
+        f"- Rows before cleaning: {total['rows_before']}",
+        f"- Rows after cleaning: {total['rows_after']}",
+        f"- Full-row duplicates removed: {total['duplicates_removed']}",
+        f"- Nulls filled: {total['nulls_filled']}",
+        f"- Type conversions: {packed(sorted(rows(p.conversion_log(spark)), key=str))}",
+        f"- Columns cleaned: {packed(changed)}",
     ]
-    base = spark.createDataFrame([(5, i, s) for i, s in enumerate(lines)], "section int, ord int, line string")
-    slope = a.trend().select(F.format_string("- Slope: %s", fmt3(F.col("slope"))).alias("s")).collect()[0]["s"]
-    return base.select("section", "ord", F.coalesce("line", F.lit(slope)).alias("line"))
+    return _lines(spark, -1, lines)
 
 
-def _period_window():
-    from pyspark.sql import Window
-
-    return Window.orderBy("period")
+def outlier_facts(a: Analysis) -> DataFrame:
+    """Q6: the anomaly block."""
+    total, pct = a.outlier_totals()
+    spark = a.spark
+    head = spark.range(1).select(F.lit(6).alias("section"), F.lit(1).alias("ord"), F.concat(F.lit("- Overall outlier percentage: "), format_number(F.lit(float(pct))), F.lit("%")).alias("line"))
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "column", "outlier_count")))
+    most = a.outlier_ranking().agg(F.to_json(F.transform(ranked, lambda x: F.struct(x["column"].alias("column"), x["outlier_count"].alias("outlier_count")))).alias("j"))
+    return (
+        _lines(spark, 6, [f"- Total outliers detected: {total}"])
+        .unionByName(head)
+        .unionByName(most.select(F.lit(6).alias("section"), F.lit(2).alias("ord"), F.concat(F.lit("- Columns with most outliers: "), F.coalesce("j", F.lit("[]"))).alias("line")))
+    )
 
 
 def report_facts(a: Analysis) -> DataFrame:
     """Q5: (section, ord, line) fact lines for the report context."""
     spark = a.spark
-    parts = []
-    if a.numeric:
-        parts.append(_numeric_facts(a))
-    else:
-        parts.append(spark.createDataFrame([(1, 0, "- No numeric columns detected.")], "section int, ord int, line string"))
+    parts = [_numeric_facts(a) if a.numeric else _lines(spark, 1, [NO_NUMERIC])]
+    top = a.correlation_top()
+    directions = {r["direction"] for r in top.select("direction").collect()}  # at most ten rows
     for direction, section in (("positive", 2), ("negative", 3)):
-        f = _corr_facts(a, direction, section)
-        none = spark.createDataFrame(
-            [(section, 0, "- No qualifying correlation pairs detected.")], "section int, ord int, line string"
-        )
-        parts.append(f if f.count() else none)
-    if a.categorical:
-        parts.append(_categorical_facts(a))
-    else:
-        parts.append(spark.createDataFrame([(4, 0, "- No categorical columns detected.")], "section int, ord int, line string"))
+        parts.append(_corr_facts(a, direction, section) if direction in directions else _lines(spark, section, [NO_PAIRS]))
+    parts.append(_categorical_facts(a) if a.categorical else _lines(spark, 4, [NO_CATEGORIES]))
     parts.append(_series_facts(a))
     out = parts[0]
     for p in parts[1:]:
@@ -250,9 +314,16 @@ def report_facts(a: Analysis) -> DataFrame:
     return out.select(F.col("section").cast("int"), F.col("ord").cast("int"), "line")
 
 
-def report_context(facts: DataFrame) -> DataFrame:
-    """Q6: all fact lines in (section, ord) order as one text."""
-    return facts.agg(
+def report_context(a: Analysis, res: CleanResult | None = None) -> DataFrame:
+    """Q6: overview, cleaning (if given), facts and outliers, each block under its
+    heading, as one text; never cut."""
+    spark = a.spark
+    parts = [overview_facts(a), report_facts(a), outlier_facts(a)] + ([cleaning_facts(res)] if res is not None else [])
+    heads = [(s, -1, h) for s, h in CONTEXT_HEADINGS.items() if res is not None or s != -1]
+    out = spark.createDataFrame(heads, "section int, ord int, line string")
+    for p in parts:
+        out = out.unionByName(p.select(F.col("section").cast("int"), F.col("ord").cast("int"), "line"))
+    return out.agg(
         F.expr("listagg(line, '\\n') WITHIN GROUP (ORDER BY section, ord)").alias("context"),
         F.count(F.lit(1)).alias("lines"),
     )

@@ -301,7 +301,7 @@ dup AS (SELECT {_dups('stripped')} AS d),
 outl AS (SELECT CAST({' + '.join(f'o_{c}' for c in CLEAN_NUM)} AS DOUBLE) / (n_rows * {len(CLEAN_NUM)}) * 100 AS pct FROM oc),
 hc AS (SELECT CAST(count(DISTINCT priority_text) > 0.5 * count(*) AS INTEGER) AS h FROM cleaned),
 f AS (SELECT CAST(missing AS DOUBLE) / (rows_before * total_columns) * 100 AS m,
-  CAST(d AS DOUBLE) / rows_before * 100 AS dp, pct AS op, h, 2 AS conv, total_columns FROM pre, dup, outl, hc)
+  CAST(d AS DOUBLE) / rows_before * 100 AS dp, pct AS op, h, (SELECT count(*) FROM ({_conversions()}) cv) AS conv, total_columns FROM pre, dup, outl, hc)
 SELECT CAST(round_even(greatest(0, least(100, 100 - (least(35, m * 0.7) + least(25, dp * 1.2) + least(20, op * 1.5)
   + least(10, h / 1 * 10) + least(5, CAST(conv AS DOUBLE) / total_columns * 5)))), 0) AS INTEGER) AS score,
   {r6('round_even(m, 2)')} AS missing_cell_percentage, {r6('round_even(dp, 2)')} AS duplicate_row_percentage,
@@ -446,15 +446,15 @@ nl AS (SELECT count(*) FILTER (WHERE priority_text IS NULL) + count(*) FILTER (W
 SELECT CAST((SELECT count(*) FROM dirty_orders) AS BIGINT) AS rows_before,
   CAST((SELECT count(*) FROM dedup) AS BIGINT) AS rows_after,
   {_dups('stripped')} AS duplicates_removed, {_dups('dirty_orders')} AS raw_duplicate_rows,
-  CAST((SELECT filled FROM nl) AS BIGINT) AS nulls_filled, CAST(2 AS BIGINT) AS type_conversions,
-  CAST(5 AS BIGINT) AS columns_cleaned"""
+  CAST((SELECT filled FROM nl) AS BIGINT) AS nulls_filled, CAST((SELECT count(*) FROM ({_conversions()}) cv) AS BIGINT) AS type_conversions,
+  CAST((SELECT count(*) FROM ({_changed()}) ch) AS BIGINT) AS columns_cleaned"""
 
 
-def _conversion_log() -> str:
+def _conversions() -> str:
+    """Rows of the conversion log, over the CHAIN's CTEs."""
     hint = f"count(*) FILTER (WHERE regexp_matches({strip('date_text')}, '{HINT}', 'i'))"
     parse = "count(try_strptime(date_text, '%Y-%m-%d'))"
-    return f"""WITH {CHAIN}
-SELECT 'date_text' AS "column", 'string' AS original_dtype, 'timestamp' AS converted_dtype, 'datetime' AS conversion
+    return f"""SELECT 'date_text' AS "column", 'string' AS original_dtype, 'timestamp' AS converted_dtype, 'datetime' AS conversion
 FROM dedup HAVING {hint} >= 0.6 * count(date_text) AND {parse} >= 0.6 * count(date_text)
 UNION ALL
 SELECT 'price_text', 'string', 'double', 'numeric' FROM dedup HAVING count({num('price_text')}) >= 0.8 * count(price_text)
@@ -463,6 +463,17 @@ SELECT 'priority_text', 'string', 'double', 'numeric' FROM dedup
 HAVING count({num('priority_text')}) > 0 AND count({num('priority_text')}) >= 0.8 * count(priority_text)"""
 
 
+def _conversion_log() -> str:
+    return f"WITH {CHAIN}\n{_conversions()}"
+
+
+def _changed() -> str:
+    """Columns that the cleaning changes: stripped, converted or filled."""
+    stripped = [f"SELECT '{c}' AS c FROM dirty_orders HAVING count(*) FILTER (WHERE {c} <> {strip(c)}) > 0" for c in TEXT_COLS]
+    filled = [f"SELECT '{c}' FROM conv HAVING count(*) FILTER (WHERE {c} IS NULL) > 0" for c in ("o_orderkey", "priority_text", "price_text", "price", "cust_num")]
+    return f"SELECT DISTINCT c FROM ({union([*stripped, *filled])} UNION ALL SELECT \"column\" FROM ({_conversions()}) cv) z"
+
+
 def _change_log() -> str:
     return (
         _change_rows()
@@ -541,6 +552,212 @@ def _bar_data() -> str:
     )
 
 
+# ----------------------------------------------------------------------------- files, dates, samples
+
+
+def _delimiter_counts() -> str:
+    cands = {",": "','", ";": "';'", "\t": "chr(9)", "|": "'|'"}
+    parts = [
+        f"SELECT {i} AS pos, {lit} AS delimiter, min(n) AS least, avg(n) AS mean, stddev_pop(n) AS spread "
+        f"FROM (SELECT length(l) - length(replace(l, {lit}, '')) AS n FROM lines WHERE l <> '') z"
+        for i, lit in enumerate(cands.values())
+    ]
+    return f"""WITH lines AS (SELECT unnest(string_split(text, chr(10))) AS l FROM documents),
+c AS ({union(parts)}),
+best AS (SELECT pos FROM c WHERE least >= 1 ORDER BY spread / mean, pos LIMIT 1)
+SELECT delimiter, CAST(least AS INTEGER) AS least, {r6('mean')} AS mean, {r6('spread')} AS spread,
+  pos = coalesce((SELECT pos FROM best), 0) AS chosen FROM c"""
+
+
+def _date_shapes() -> str:
+    day = "strftime(o_orderdate, '%Y-%m-%dT00:00:00')"
+    minute = "strftime(o_orderdate, '%Y-%m-%dT%H:%M:00')"
+    return f"""SELECT o_orderkey, {iso('o_orderdate')} AS fraction, {iso('o_orderdate')} AS zone, {minute} AS minutes,
+  {day} AS day_month, {day} AS month_day FROM orders"""
+
+
+def _sample_points() -> str:
+    text = "CAST(l_quantity AS VARCHAR) || '|' || CAST(l_extendedprice AS VARCHAR) || '|42'"
+    return f"""SELECT {r6('l_quantity')} AS l_quantity, {r6('l_extendedprice')} AS l_extendedprice FROM (
+  SELECT l_quantity, l_extendedprice, row_number() OVER (ORDER BY md5({text}), l_quantity, l_extendedprice) AS k FROM lineitem) z
+WHERE k <= 1800"""
+
+
+def _history_rows() -> str:
+    parts = " || ".join(f"CAST(length({c}) AS VARCHAR) || ':' || {c}" for c in ("client_id", "dataset_path", "ai_report", "analysis_results"))
+    return f"""WITH {_history_base()}
+SELECT sha256({parts}) AS id, client_id, dataset_path, ai_report, analysis_results FROM reports"""
+
+
+# ----------------------------------------------------------------------------- charts over wide tables
+
+LINEITEM_INT = {"l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"}
+WIDE_LINEITEM = """wide AS (SELECT *, l_quantity * 3 AS quantity_3, l_extendedprice * (1 - l_discount) AS net,
+  CAST(l_linenumber % 2 AS INTEGER) AS odd_line FROM lineitem)"""
+WIDE_NUM = LINEITEM_NUM + ["quantity_3", "net", "odd_line"]
+WIDE_TEXT_COLS = ["o_orderstatus", "o_orderpriority", "k3", "k5", "k7", "k11", "k13", "k40"]
+WIDE_ORDERS = "wide AS (SELECT o_orderstatus, o_orderpriority, " + ", ".join(
+    f"CAST(o_orderkey % {m} AS VARCHAR) AS k{m}" for m in (3, 5, 7, 11, 13, 40)
+) + " FROM orders)"
+
+
+def _with(cte: str, sql: str) -> str:
+    return sql.replace("WITH ", f"WITH {cte}, ", 1) if sql.startswith("WITH ") else f"WITH {cte}\n{sql}"
+
+
+def _distribution_data() -> str:
+    top = _top_variance("lineitem", LINEITEM_NUM, 4)
+    return f"""SELECT * FROM ({_histogram("lineitem", LINEITEM_NUM, LINEITEM_INT)}) h
+WHERE "column" IN (SELECT "column" FROM ({top}) t)"""
+
+
+def _heatmap_wide() -> str:
+    top = f'SELECT "column" FROM ({_top_variance("wide", WIDE_NUM, 8)}) t'
+    m = matrix_sql("wide", WIDE_NUM, digits=2)
+    return f"WITH {WIDE_LINEITEM}\nSELECT * FROM ({m}) m WHERE column_a IN ({top}) AND column_b IN ({top})"
+
+
+def _bar_data_wide() -> str:
+    return f"""WITH {WIDE_ORDERS}, {freq_cte('wide', WIDE_TEXT_COLS)},
+u AS (SELECT col, count(*) AS u FROM freq GROUP BY col HAVING count(*) < 20 ORDER BY u, col LIMIT 6)
+SELECT col AS "column", CAST(rank AS INTEGER) AS rank, value, CAST(cnt AS BIGINT) AS count FROM (
+  SELECT *, row_number() OVER (PARTITION BY col ORDER BY cnt DESC, value) AS rank FROM freq JOIN u USING (col)) z WHERE rank <= 10"""
+
+
+def _rows(sql: str) -> str:
+    return f"(SELECT count(*) FROM ({sql}) q)"
+
+
+def _chart_bundle() -> str:
+    charts = {
+        "distributions": f"SELECT * FROM ({_histogram('orders', ORDERS_NUM, ORDERS_INT)}) h",
+        "correlation_heatmap": matrix_sql("orders", ORDERS_NUM),
+        "categorical_bars": _bar_data(),
+        "time_series": _monthly(),
+    }
+    boxes = " + ".join(f"CAST(o_{c} > 0 AS INTEGER)" for c in ORDERS_NUM)
+    return union([f"SELECT '{k}' AS chart, {_rows(q)} AS row_count" for k, q in charts.items()]) + f"""
+UNION ALL SELECT 'outlier_boxes', n FROM (WITH {quart_cte('orders', ORDERS_NUM)}, {outliers_cte('orders', ORDERS_NUM)}
+  SELECT {boxes} AS n FROM oc) b WHERE n > 0"""
+
+
+def _analysis_sections() -> str:
+    n = len(ORDERS_NUM)
+    return union(
+        [
+            f"SELECT '{k}' AS section, {v} AS row_count"
+            for k, v in {
+                "column_types": "(SELECT count(*) FROM (DESCRIBE orders))",
+                "overview": 1,
+                "descriptive_stats": n,
+                "categorical_top": _rows(top_sql("orders", ["o_orderstatus", "o_orderpriority"], 10)),
+                "cardinality": 2,
+                "correlation_matrix": n * n,
+                "correlation_top": _rows(corr_top_sql("orders", ORDERS_NUM)),
+                "distribution": n,
+                "outlier_ranking": n,
+                "monthly": _rows(_monthly()),
+                "trend": 1,
+            }.items()
+        ]
+    )
+
+
+# ----------------------------------------------------------------------------- report texts
+
+
+def _f3(x: str) -> str:
+    return f"coalesce(printf('%.3f', {x}), 'N/A')"
+
+
+def _facts() -> str:
+    """(section, ord, line) of the fact lines of ``orders``."""
+    cats = ["o_orderstatus", "o_orderpriority"]
+    order = lambda cols: " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(cols))
+    numeric = f"""SELECT 1 AS section, CASE d."column" {order(ORDERS_NUM)} END AS ord, '- ' || d."column" || ': count=' || CAST(d.count AS VARCHAR)
+  || ', mean=' || {_f3('d.mean')} || ', median=' || {_f3('d.median')} || ', std=' || CASE WHEN d.count > 1 THEN {_f3('d.std')} ELSE '0' END
+  || ', skewness=' || CASE WHEN d.count > 2 THEN {_f3('d.skewness')} ELSE '0' END || ', outliers=' || CAST(d.outlier_count AS VARCHAR)
+  || ', distribution=' || s.classification AS line
+FROM ({describe_sql('orders', ORDERS_NUM)}) d JOIN ({shape_sql('orders', ORDERS_NUM, ORDERS_INT)}) s USING ("column")"""
+    pairs = [
+        f"""SELECT {section}, rank, '- ' || column_a || ' and ' || column_b || ': r=' || {_f3('r')} FROM ({corr_top_sql('orders', ORDERS_NUM)}) c{section}
+WHERE direction = '{direction}'
+UNION ALL SELECT {section}, 0, '- No qualifying correlation pairs detected.'
+WHERE NOT EXISTS (SELECT 1 FROM ({corr_top_sql('orders', ORDERS_NUM)}) e{section} WHERE direction = '{direction}')"""
+        for section, direction in ((2, "positive"), (3, "negative"))
+    ]
+    share = _f3("cnt / n * 100")
+    categorical = f"""SELECT 4, CASE col {order(cats)} END, '- ' || col || ': unique=' || CAST(any_value(u) AS VARCHAR) || ' of ' || CAST(any_value(n) AS VARCHAR)
+  || ' rows, high_cardinality=' || CASE WHEN any_value(u) > 0.5 * any_value(n) THEN 'True' ELSE 'False' END || ', top values: '
+  || string_agg(value || ' (' || CAST(cnt AS VARCHAR) || ' rows, ' || {share} || '%)', ', ' ORDER BY rank)
+FROM (WITH {freq_cte('orders', cats)} SELECT *, row_number() OVER (PARTITION BY col ORDER BY cnt DESC, value) AS rank,
+  count(*) OVER (PARTITION BY col) AS u, (SELECT count(*) FROM orders) AS n FROM freq) z WHERE rank <= 5 GROUP BY col"""
+    record = "'{\"period\":\"' || period || '\",\"value\":' || CAST(value AS VARCHAR) || '}'"
+    series = f"""SELECT 5, ord, line FROM (WITH t AS ({_trend()}), m AS (SELECT *, row_number() OVER (ORDER BY period) AS i, count(*) OVER () AS n FROM ({_monthly()}) q)
+  SELECT 0 AS ord, '- Date column: ' || date_column AS line FROM t
+  UNION ALL SELECT 1, '- Value column: ' || value_column FROM t
+  UNION ALL SELECT 2, '- Trend direction: ' || trend_direction FROM t
+  UNION ALL SELECT 3, '- Slope: ' || {_f3('slope')} FROM t
+  UNION ALL SELECT 4, '- Monthly aggregation sample start: [' || string_agg({record}, ',' ORDER BY i) || ']' FROM m WHERE i <= 3
+  UNION ALL SELECT 5, '- Monthly aggregation sample end: [' || coalesce(string_agg({record}, ',' ORDER BY i) FILTER (i > n - 3 AND n > 3), '') || ']' FROM m) s"""
+    return union([numeric, *pairs, categorical, series])
+
+
+def _report_facts() -> str:
+    return f"SELECT CAST(section AS INTEGER) AS section, CAST(ord AS INTEGER) AS ord, line FROM ({_facts()}) f"
+
+
+def _report_context() -> str:
+    heads = {-2: "Dataset overview:", 1: "Numeric column statistics:", 2: "Top positive correlations:", 3: "Top negative correlations:",
+             4: "Categorical breakdowns:", 5: "Time series:", 6: "Anomaly and outlier summary:"}
+    o = f"({_overview()}) o"
+    rank = {c: i for i, c in enumerate(ORDERS_NUM)}
+    ranked = union([f"SELECT {i} AS p, '{c}' AS c, o_{c} AS n FROM oc" for c, i in rank.items()])
+    item = "'{\"column\":\"' || c || '\",\"outlier_count\":' || CAST(n AS VARCHAR) || '}'"
+    lines = [
+        *[f"SELECT {s} AS section, -1 AS ord, '{h}' AS line" for s, h in heads.items()],
+        f"SELECT -2, 0, '- Total rows: ' || CAST(total_rows AS VARCHAR) FROM {o}",
+        f"SELECT -2, 1, '- Total columns: ' || CAST(total_columns AS VARCHAR) FROM {o}",
+        f"SELECT -2, 2, '- Numeric columns: ' || CAST(numeric_columns_count AS VARCHAR) || ' (' || numeric_columns || ')' FROM {o}",
+        f"SELECT -2, 3, '- Categorical columns: ' || CAST(categorical_columns_count AS VARCHAR) || ' (' || categorical_columns || ')' FROM {o}",
+        f"SELECT -2, 4, '- Datetime columns detected: ' || CAST(datetime_columns_detected AS VARCHAR) || ' (' || datetime_columns || ')' FROM {o}",
+        f"SELECT section, ord, line FROM ({_facts()}) f",
+        f"SELECT 6, 0, '- Total outliers detected: ' || CAST(total_outliers_detected AS VARCHAR) FROM {o}",
+        f"SELECT 6, 1, '- Overall outlier percentage: ' || {_f3('overall_outlier_percentage')} || '%' FROM {o}",
+        f"""SELECT 6, 2, '- Columns with most outliers: [' || string_agg({item}, ',' ORDER BY n DESC, p) || ']'
+FROM (WITH {quart_cte('orders', ORDERS_NUM)}, {outliers_cte('orders', ORDERS_NUM)} SELECT * FROM ({ranked}) r ORDER BY n DESC, p LIMIT 5) z""",
+    ]
+    return f"""SELECT string_agg(line, chr(10) ORDER BY section, ord) AS context, count(*) AS lines FROM ({union(lines)}) l"""
+
+
+def _cleaning_facts() -> str:
+    conv = "'{' || string_agg('\"' || k || '\":\"' || v || '\"', ',') || '}'"
+    keys = union([f"SELECT {i} AS i, \"column\" AS c, '{k}' AS k, \"{k}\" AS v FROM ({_conversions()}) q{i}" for i, k in enumerate(["column", "original_dtype", "converted_dtype", "conversion"])])
+    conv = conv.replace("',')", "',' ORDER BY i)")
+    return f"""WITH {CHAIN}, r AS ({_clean_report().replace(f'WITH {CHAIN},', 'WITH ', 1)})
+SELECT CAST(ord AS INTEGER) AS ord, line FROM (
+SELECT 0 AS ord, '- Rows before cleaning: ' || CAST(rows_before AS VARCHAR) AS line FROM r
+UNION ALL SELECT 1, '- Rows after cleaning: ' || CAST(rows_after AS VARCHAR) FROM r
+UNION ALL SELECT 2, '- Full-row duplicates removed: ' || CAST(duplicates_removed AS VARCHAR) FROM r
+UNION ALL SELECT 3, '- Nulls filled: ' || CAST(nulls_filled AS VARCHAR) FROM r
+UNION ALL SELECT 4, '- Type conversions: [' || coalesce(string_agg(j, ',' ORDER BY c), '') || ']' FROM (SELECT c, {conv} AS j FROM ({keys}) k GROUP BY c) t
+UNION ALL SELECT 5, '- Columns cleaned: [' || coalesce(string_agg('"' || c || '"', ',' ORDER BY c), '') || ']' FROM ({_changed()}) ch) z"""
+
+
+def _findings_merge() -> str:
+    line = f"(SELECT finding FROM ({_score_finding()}) f)"
+    number = lambda c: f"CAST({c} AS VARCHAR)"
+    names = ["missing_cell_percentage", "duplicate_row_percentage", "outlier_percentage", "high_cardinality_columns", "type_conversions"]
+    factors = " || ',' || ".join(f"'\"{n}\":' || {number(n)}" for n in names)
+    return f"""SELECT doc_id, (SELECT score FROM ({_quality_score()}) s) AS data_quality_score,
+  CASE doc_id % 3 WHEN 0 THEN source || ' / ' || {line} WHEN 1 THEN {line} || ' / ' || source ELSE {line} END AS findings,
+  (SELECT '{{' || {factors} || '}}' FROM ({_quality_score()}) s) AS score_factors FROM documents"""
+
+
+def _safe_numbers() -> str:
+    return f"""WITH {DIRTY} SELECT o_orderkey, {r6('coalesce(TRY_CAST(price_text AS DOUBLE), price, 0)')} AS number, {_f3('price')} AS shown FROM dirty_orders"""
+
+
 ORACLE = {
     "profile_columns": _profile_columns(),
     "profile_samples": _profile_samples(),
@@ -615,4 +832,24 @@ UNION ALL SELECT 'value', o_value, {r6('o_value / n_rows * 100')} FROM oc""",
     "storage_names": _storage_names(),
     "preview": f"""SELECT o_orderkey, o_custkey, o_orderstatus, {r6('o_totalprice')} AS o_totalprice,
   {iso('o_orderdate')} AS o_orderdate, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 10""",
+    "json_rows": f"""SELECT event_id, {iso('ts')} AS ts, user_id, event_type, {r6('value')} AS value, props FROM events""",
+    "sample_points": _sample_points(),
+    "csv_typing": f"""SELECT o_orderkey, o_custkey, o_orderstatus, {r6('o_totalprice')} AS o_totalprice, o_orderpriority,
+  '1234567890123456789' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS long_id, o_custkey % 2 = 0 AS even,
+  CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END AS gaps FROM orders""",
+    "csv_round_trip": f"SELECT c_custkey, c_name, c_nationkey, {r6('c_acctbal')} AS c_acctbal, c_mktsegment FROM customer",
+    "delimiter_counts": _delimiter_counts(),
+    "date_shapes": _date_shapes(),
+    "history_rows": _history_rows(),
+    "distribution_data": _distribution_data(),
+    "chart_bundle": _chart_bundle(),
+    "analysis_sections": _analysis_sections(),
+    "top_variance_wide": _with(WIDE_LINEITEM, _top_variance("wide", WIDE_NUM, 8).replace(r6("v"), "round(v, 2)")),
+    "heatmap_wide": _heatmap_wide(),
+    "bar_data_wide": _bar_data_wide(),
+    "report_facts": _report_facts(),
+    "report_context": _report_context(),
+    "cleaning_facts": _cleaning_facts(),
+    "findings_merge": _findings_merge(),
+    "safe_numbers": _safe_numbers(),
 }

@@ -8,24 +8,39 @@ of ``dirty_orders``, one analysis per table) is memoised per session.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubspark.functions.text import coerce_numeric_text, date_hint, strip_text
+from scrubspark.functions.dates import parse_date
+from scrubspark.functions.numbers import format_number, safe_number
 from scrubspark.operators import charts, history, quality
-from scrubspark.operators.analyze import Analysis
-from scrubspark.operators.clean import CleanResult, clean, group_rows, strip_columns
-from scrubspark.operators.detect import date_ratios, numeric_text_counts
+from scrubspark.operators.analyze import Analysis, analysis_sections
+from scrubspark.operators.clean import CleanResult, clean, strip_columns
+from scrubspark.operators.detect import date_ratios, detect_dates, numeric_text_counts
 from scrubspark.operators.names import normalize_header_column, storage_names
 from scrubspark.operators.profile import duplicate_row_count, sample_values
 from scrubspark.operators.stats import qcol
 from scrubspark.functions.jsonsafe import is_json_object, json_rows, lenient_json
+from scrubspark.session import shared_folder
+from scrubspark.sources import files
 from scrubspark.sources.tables import dirty_orders, table
 
+# Shared work of one application and data folder; work of another one is released.
 _memo: dict = {}
 
 
+def _shared(spark: SparkSession, sf: str, name: str, make):
+    scope = (spark.sparkContext.applicationId, sf)
+    for old in [k for k in _memo if k[0] != scope]:
+        held = _memo.pop(old)
+        if old[0][0] == scope[0]:
+            held.close()
+    if (scope, name) not in _memo:
+        _memo[scope, name] = make()
+    return _memo[scope, name]
+
+
 def canon(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, timestamps as ISO text (comparison-stable form)."""
     out = []
@@ -39,23 +54,38 @@ def canon(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*out)
 
 
-def _key(spark: SparkSession, *parts) -> tuple:
-    return (id(spark.sparkContext._jsc), *parts)
+def cleaned(spark: SparkSession, sf: str) -> CleanResult:
+    return _shared(spark, sf, "clean", lambda: clean(dirty_orders(spark, sf)))
 
 
-def cleaned(spark: SparkSession, sf: str) -> CleanResult:
-    k = _key(spark, "clean", sf)
-    if k not in _memo:
-        _memo[k] = clean(dirty_orders(spark, sf))
-    return _memo[k]
+def _source(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    if name == "clean_dirty_orders":
+        return cleaned(spark, sf).table
+    if name == "wide_lineitem":
+        return wide_lineitem(spark, sf)
+    if name == "wide_orders":
+        return wide_orders(spark, sf)
+    return table(spark, sf, name)
 
 
 def analysis(spark: SparkSession, sf: str, name: str) -> Analysis:
-    k = _key(spark, "analysis", sf, name)
-    if k not in _memo:
-        src = cleaned(spark, sf).table if name == "clean_dirty_orders" else table(spark, sf, name)
-        _memo[k] = Analysis(src)
-    return _memo[k]
+    return _shared(spark, sf, f"analysis {name}", lambda: Analysis(_source(spark, sf, name)))
+
+
+def wide_lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    """``lineitem`` with three more numeric columns (eleven in all)."""
+    return table(spark, sf, "lineitem").selectExpr(
+        "*", "l_quantity * 3 AS quantity_3", "l_extendedprice * (1 - l_discount) AS net", "CAST(l_linenumber % 2 AS INT) AS odd_line"
+    )
+
+
+def wide_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """``orders`` with six more text columns (eight in all)."""
+    return table(spark, sf, "orders").selectExpr(
+        "o_orderkey", "o_orderstatus", "o_orderpriority", "CAST(o_orderkey % 3 AS STRING) AS k3", "CAST(o_orderkey % 5 AS STRING) AS k5",
+        "CAST(o_orderkey % 7 AS STRING) AS k7", "CAST(o_orderkey % 11 AS STRING) AS k11", "CAST(o_orderkey % 13 AS STRING) AS k13",
+        "CAST(o_orderkey % 40 AS STRING) AS k40",
+    )
 
 
 # ----------------------------------------------------------------------------- profile (P)
@@ -294,7 +324,25 @@ def q_report_facts(spark, sf):
 
 
 def q_report_context(spark, sf):
-    return quality.report_context(quality.report_facts(analysis(spark, sf, "orders")))
+    return quality.report_context(analysis(spark, sf, "orders"))
+
+
+def q_cleaning_facts(spark, sf):
+    return quality.cleaning_facts(cleaned(spark, sf)).select("ord", "line")
+
+
+def q_findings_merge(spark, sf):
+    docs = table(spark, sf, "documents")
+    line = quality.score_finding(_score(spark, sf)).first()["finding"]  # some reports have it already
+    own = F.when(F.col("doc_id") % 3 == 0, F.array(F.col("source"), F.lit(line))).when(F.col("doc_id") % 3 == 1, F.array("source"))
+    report = F.to_json(F.struct(F.struct(own.alias("findings"), F.lit(1).alias("score")).alias("data_quality_assessment")))
+    merged = quality.merge_findings(docs.select("doc_id", report.alias("ai_report")), _score(spark, sf))
+    return merged.select("doc_id", "data_quality_score", F.array_join("findings", " / ").alias("findings"), "score_factors")
+
+
+def q_safe_numbers(spark, sf):
+    d = dirty_orders(spark, sf)
+    return canon(d.select("o_orderkey", safe_number("price_text", "price").alias("number"), format_number(F.col("price")).alias("shown")))
 
 
 def q_lenient_json(spark, sf):
@@ -341,11 +389,78 @@ def q_storage_names(spark, sf):
 
 
 def q_preview(spark, sf):
-    return canon(table(spark, sf, "orders").orderBy("o_orderkey").limit(10))
+    return canon(files.preview(table(spark, sf, "orders"), 10, ["o_orderkey"]))
 
 
 def q_json_rows(spark, sf):
-    return json_rows(table(spark, sf, "events"))
+    """The JSON text of each event, parsed again."""
+    back = F.from_json("json", "event_id long, ts string, user_id long, event_type string, value double, props string")
+    return canon(json_rows(table(spark, sf, "events")).select(back.alias("j")).select("j.*"))
+
+
+def q_csv_typing(spark, sf):
+    orders = table(spark, sf, "orders")
+    texts = orders.select(
+        *[qcol(c).cast("string").alias(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")],
+        F.concat(F.lit("1234567890123456789"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0")).alias("long_id"),
+        (F.col("o_custkey") % 2 == 0).cast("string").alias("even"),
+        F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey").cast("string")).alias("gaps"),
+    )
+    return canon(files.type_text_columns(texts)).withColumn("long_id", F.col("long_id").cast("string"))
+
+
+def q_csv_round_trip(spark, sf):
+    """Sink and read-back of a delimited file in the shared folder."""
+    base = shared_folder(spark, "csv")
+    return canon(files.read_cleaned(spark, files.write_cleaned(table(spark, sf, "customer"), files.cleaned_path(base, "customer.csv", "csv"), "csv")))
+
+
+def q_delimiter_counts(spark, sf):
+    lines = table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    return canon(files.delimiter_counts(lines, "line"))
+
+
+def q_date_shapes(spark, sf):
+    """Order dates written in five shapes, recognised and read back."""
+    d = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("d"))
+    shapes = {
+        "fraction": "yyyy-MM-dd HH:mm:ss.SSS", "zone": "yyyy-MM-dd'T'HH:mm:ss'Z'", "minutes": "M/d/yyyy HH:mm", "day_month": "d-MMM-yyyy", "month_day": "MMM d yyyy",
+    }
+    texts = d.select("o_orderkey", *[F.date_format("d", f).alias(n) for n, f in shapes.items()])
+    formats = detect_dates(texts, list(shapes))
+    return canon(texts.select("o_orderkey", *[(parse_date(n, formats[n]) if n in formats else F.col(n)).alias(n) for n in shapes]))
+
+
+def q_history_rows(spark, sf):
+    return history.report_rows(_reports(spark, sf))
+
+
+def q_distribution_data(spark, sf):
+    return canon(charts.distribution_data(analysis(spark, sf, "lineitem")))
+
+
+def _sizes(spark, frames, name):
+    return spark.createDataFrame([(k, f.count()) for k, f in frames.items()], f"{name} string, row_count long")
+
+
+def q_chart_bundle(spark, sf):
+    return _sizes(spark, charts.chart_frames(analysis(spark, sf, "orders")), "chart")
+
+
+def q_analysis_sections(spark, sf):
+    return _sizes(spark, analysis_sections(analysis(spark, sf, "orders")), "section")
+
+
+def q_top_variance_wide(spark, sf):
+    return canon(charts.top_variance(analysis(spark, sf, "wide_lineitem"), 8), 2)
+
+
+def q_heatmap_wide(spark, sf):
+    return canon(charts.heatmap(analysis(spark, sf, "wide_lineitem")))
+
+
+def q_bar_data_wide(spark, sf):
+    return canon(charts.bar_data(analysis(spark, sf, "wide_orders")))
 
 
 QUERIES = {
@@ -402,4 +517,18 @@ QUERIES = {
     "storage_names": q_storage_names,
     "preview": q_preview,
     "json_rows": q_json_rows,
+    "csv_typing": q_csv_typing,
+    "csv_round_trip": q_csv_round_trip,
+    "delimiter_counts": q_delimiter_counts,
+    "date_shapes": q_date_shapes,
+    "history_rows": q_history_rows,
+    "distribution_data": q_distribution_data,
+    "chart_bundle": q_chart_bundle,
+    "analysis_sections": q_analysis_sections,
+    "top_variance_wide": q_top_variance_wide,
+    "heatmap_wide": q_heatmap_wide,
+    "bar_data_wide": q_bar_data_wide,
+    "findings_merge": q_findings_merge,
+    "cleaning_facts": q_cleaning_facts,
+    "safe_numbers": q_safe_numbers,
 }
