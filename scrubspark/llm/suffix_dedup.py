@@ -226,8 +226,10 @@ class _Block:
 
 
 def _route(h: np.ndarray, routes: int) -> np.ndarray:
-    """Route of a 48-bit hash (a range of its values, so that sorted hashes stay together)."""
-    return ((h >> np.uint64(16)) * np.uint64(routes) >> np.uint64(32)).astype(np.int64)
+    """Route of a hash. Anchors are the smallest hashes of their windows, so the hash is
+    mixed once more: its own ranges would not be equally full."""
+    mixed = (h ^ h >> np.uint64(23)) * _K[1] >> np.uint64(32)
+    return (mixed * np.uint64(routes) >> np.uint64(32)).astype(np.int64)
 
 
 def _by_route(routes: np.ndarray) -> list[tuple[int, int, int]]:
@@ -258,8 +260,10 @@ def _send_anchors(routes: int):
             change[first] = 1
             docs = np.add.reduceat(change, first)
             values = h[first] << np.uint64(8) | np.minimum(docs, 255).astype(np.uint64)
-            for r, a, z in _by_route(_route(h[first], routes)):
-                rows.append((r, key[0].as_py(), _planes(values[a:z])))
+            route = _route(h[first], routes)
+            by = np.argsort(route, kind="stable")
+            for r, a, z in _by_route(route[by]):
+                rows.append((r, key[0].as_py(), _planes(values[by[a:z]])))
         cols = list(zip(*rows)) or [(), (), ()]
         return pa.table([pa.array(c, f.type) for c, f in zip(cols, _SENT)], schema=_SENT)
 
