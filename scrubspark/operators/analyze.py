@@ -87,8 +87,8 @@ class Analysis:
 
     @cached_property
     def _moments(self):
-        rows, m, pairs = stats.moments(self.proj, [f"v{i}" for i in range(len(self.numeric))], pairs=True)
-        return rows, {self.numeric[i]: m[f"v{i}"] for i in range(len(self.numeric))}, pairs
+        rows, m = stats.moments(self.proj, [f"v{i}" for i in range(len(self.numeric))])
+        return rows, {self.numeric[i]: m[f"v{i}"] for i in range(len(self.numeric))}
 
     @property
     def rows(self) -> int:
@@ -390,43 +390,37 @@ class Analysis:
         return int(self.cardinality().where("high_cardinality").count())
 
     # ------------------------------------------------------------------ A8 / A9
-    @property
-    def pair_r(self) -> dict[tuple[int, int], float | None]:
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """(i, j, r) for numeric column positions i < j."""
         if len(self.numeric) < 2:
-            return {}
-        return self._moments[2]
-
-    def matrix_rows(self, cols: list[str] | None = None) -> list[tuple]:
-        cols = cols if cols is not None else self.numeric
-        idx = {c: i for i, c in enumerate(self.numeric)}
-        out = []
-        for a in cols:
-            for b in cols:
-                ia, ib = idx[a], idx[b]
-                if ia == ib:
-                    m = self.moments[a]
-                    r = 1.0 if (m.var or 0) > 0 else None
-                else:
-                    r = self.pair_r[(min(ia, ib), max(ia, ib))]
-                out.append((a, b, r))
-        return out
-
-    def correlation_matrix(self) -> DataFrame:
-        rows = self.matrix_rows() if len(self.numeric) >= 2 else []
-        return self.spark.createDataFrame(rows, "column_a string, column_b string, r double")
+            return self.spark.createDataFrame([], "i int, j int, r double")
+        m = [self.moments[c] for c in self.numeric]
+        return self._persist(stats.pair_correlations(self.proj, [x.mean for x in m], [x.min == x.max for x in m]))
+
+    def correlation_matrix(self, cols: list[str] | None = None) -> DataFrame:
+        """Pearson r of every ordered pair, the diagonal included."""
+        keep = [i for i, c in enumerate(self.numeric) if cols is None or c in cols] if len(self.numeric) >= 2 else []
+        schema = "column_a string, column_b string, r double"
+        if not keep:
+            return self.spark.createDataFrame([], schema)
+        p = self.pairs.where(F.col("i").isin(keep) & F.col("j").isin(keep))
+        names = F.array(*[F.lit(c) for c in self.numeric])
+        name = lambda c: F.element_at(names, F.col(c) + 1)
+        upper = p.select(name("i").alias("column_a"), name("j").alias("column_b"), "r")
+        lower = p.select(name("j").alias("column_a"), name("i").alias("column_b"), "r")
+        own = [(self.numeric[i],) * 2 + (1.0 if (self.moments[self.numeric[i]].var or 0) > 0 else None,) for i in keep]
+        return upper.unionByName(lower).unionByName(self.spark.createDataFrame(own, schema))
 
     def correlation_top(self, top: int = TOP_CORRELATION_PAIRS) -> DataFrame:
-        pairs = []
-        for (i, j), r in self.pair_r.items():
-            if r is None:
-                continue
-            pairs.append((i, j, r))
-        pos = sorted([p for p in pairs if p[2] > 0], key=lambda p: (-p[2], p[0], p[1]))[:top]
-        neg = sorted([p for p in pairs if p[2] < 0], key=lambda p: (p[2], p[0], p[1]))[:top]
-        rows = [("positive", k + 1, self.numeric[i], self.numeric[j], r) for k, (i, j, r) in enumerate(pos)]
-        rows += [("negative", k + 1, self.numeric[i], self.numeric[j], r) for k, (i, j, r) in enumerate(neg)]
+        """The strongest positive and negative pairs; ties by column position."""
+        found = self.pairs.where(F.col("r") != 0)
+        parts = []
+        for direction, side, order in (("positive", F.col("r") > 0, F.desc("r")), ("negative", F.col("r") < 0, F.asc("r"))):
+            best = found.where(side).orderBy(order, "i", "j").limit(top).collect()  # at most ``top`` rows
+            parts += [(direction, k + 1, self.numeric[r["i"]], self.numeric[r["j"]], r["r"]) for k, r in enumerate(best)]
         return self.spark.createDataFrame(
-            rows, "direction string, rank int, column_a string, column_b string, r double"
+            parts, "direction string, rank int, column_a string, column_b string, r double"
         )
 
     # ------------------------------------------------------------------ A10 / A11

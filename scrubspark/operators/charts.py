@@ -53,8 +53,7 @@ def heatmap(a: Analysis) -> DataFrame:
     if len(a.numeric) < MIN_HEATMAP_COLUMNS:
         return a.spark.createDataFrame([], "column_a string, column_b string, r double")
     cols = [c for _, c, _ in _by_variance(a)[:MAX_HEATMAP_COLUMNS]]
-    df = a.spark.createDataFrame(a.matrix_rows(cols), "column_a string, column_b string, r double")
-    return df.select("column_a", "column_b", F.round("r", 2).alias("r"))
+    return a.correlation_matrix(cols).select("column_a", "column_b", F.round("r", 2).alias("r"))
 
 
 def bar_data(a: Analysis) -> DataFrame:

@@ -3,12 +3,12 @@
 Jobs, in order:
   1. raw rows: rows, nulls and strip-change counts in one aggregate; exact
      distinct counts from one (column, value) aggregate
-  2. raw rows grouped by all columns, regrouped by their stripped values
-     (persisted): raw duplicates, duplicates removed and the dedup frame
+  2. rows grouped by their stripped values (persisted): raw duplicates,
+     duplicates removed and the dedup frame
   3. date detection on the deduplicated rows (hint ratio, then parse counts)
   4. numeric-text detection on the remaining text columns
   5. converted rows: null counts, min/max/count of numeric columns
-  6. exact medians of the numeric columns that need filling (bucket search)
+  6. exact medians of the numeric columns that need filling (rank search)
 The cleaned table itself is one lazy projection over the persisted dedup frame.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from scrubspark.functions.text import normalize_headers, strip_text
 from scrubspark.operators import stats
 from scrubspark.operators.detect import detect_dates, detect_numeric_text
-from scrubspark.operators.profile import Profile, groupable, is_missing, profile
+from scrubspark.operators.profile import Profile, groupable, is_missing, profile, row_digest
 from scrubspark.operators.stats import qcol
 from scrubspark.plans.cleanplan import CleanPlan, ColumnDecision
 from scrubspark.session import persist_reliably
@@ -50,11 +50,6 @@ def strip_counts(df: DataFrame) -> dict[str, int]:
     return {c: int(r[f"s{i}"]) for i, c in enumerate(text)}
 
 
-def group_rows(df: DataFrame) -> DataFrame:
-    """Distinct rows with their multiplicity ``__n`` (NULL equals NULL)."""
-    return df.groupBy(*groupable(df)).agg(F.count(F.lit(1)).alias("__n"))
-
-
 @dataclass
 class CleanResult:
     table: DataFrame
@@ -103,16 +98,17 @@ def clean(df: DataFrame, exact: bool = True, checkpoint: bool = False) -> CleanR
     pre = profile(df, exact=exact, duplicates=False, extra=strip_aggs)
     stripped_counts = {c: int(pre.extra[f"strip_{i}"]) for i, c in enumerate(text_cols)}
 
-    # job 2: raw rows grouped, then regrouped by their stripped values: gives the
-    # raw duplicate count, the post-strip duplicate count and the dedup frame in
-    # one chain (persisted: every later job reads it)
-    raw_groups = group_rows(df)
-    stripped_keys = [
-        strip_text(qcol(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else qcol(f.name)
-        for f in fields
-    ]
-    grouped = raw_groups.groupBy(*stripped_keys).agg(
-        F.sum("__n").alias("__n"), F.sum(F.col("__n") - 1).alias("__raw_dups")
+    # job 2: rows grouped once by their stripped values (persisted: every later job reads
+    # it). Rows that the strip leaves alone are equal as raw rows iff they share a group;
+    # only rows that it changes are compared by a digest of their raw cells.
+    changed = F.lit(False)
+    for c in text_cols:
+        changed = changed | F.coalesce(qcol(c) != strip_text(qcol(c)), F.lit(False))
+    keys = [strip_text(k).alias(f.name) if f.name in text_cols else k.alias(f.name) for f, k in zip(fields, groupable(df))]
+    grouped = (
+        df.select(*keys, changed.alias("__changed"))
+        .groupBy(*[qcol(f.name) for f in fields])
+        .agg(F.count(F.lit(1)).alias("__n"), F.count_if(~F.col("__changed")).alias("__same"))
     )
     if checkpoint:
         grouped = persist_reliably(grouped, spark)
@@ -122,18 +118,17 @@ def clean(df: DataFrame, exact: bool = True, checkpoint: bool = False) -> CleanR
     g = grouped.agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum(F.col("__n") - 1).alias("dups"),
-        F.sum("__raw_dups").alias("raw_dups"),
+        F.sum(F.greatest(F.col("__same") - 1, F.lit(0))).alias("same_dups"),
     ).collect()[0]
-    pre.duplicate_rows = int(g["raw_dups"] or 0)
+    raw_dups = int(g["same_dups"] or 0)
+    if any(stripped_counts.values()):
+        d = df.where(changed).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(row_digest(df)).alias("u")).collect()[0]
+        raw_dups += d["n"] - d["u"]
+    pre.duplicate_rows = raw_dups
     stripped = strip_columns(df)
-    dedup = grouped.select(*[qcol(c) for c in df.columns])
-    # grouping turned maps into JSON text; restore the original column types
-    dedup = dedup.select(
-        *[
-            (F.from_json(qcol(f.name), f.dataType) if isinstance(f.dataType, T.MapType) else qcol(f.name)).alias(f.name)
-            for f in fields
-        ]
-    )
+    # grouping turned maps and variants into JSON text; restore the original types
+    restore = {T.MapType: lambda f: F.from_json(qcol(f.name), f.dataType), T.VariantType: lambda f: F.parse_json(qcol(f.name))}
+    dedup = grouped.select(*[restore.get(type(f.dataType), lambda f: qcol(f.name))(f).alias(f.name) for f in fields])
 
     plan = CleanPlan(
         rows_before=pre.rows,

@@ -57,10 +57,20 @@ def groupable(df: DataFrame) -> list[Column]:
     return out
 
 
+def row_digest(df: DataFrame) -> Column:
+    """SHA-256 of a row's cells, equal iff the rows are (NULL equals NULL, -0.0 equals 0.0)."""
+    cells = []
+    for f, c in zip(df.schema.fields, groupable(df)):
+        c = c + F.lit(0.0) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else c
+        cells.append(c.alias(f.name))
+    return F.sha2(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).cast("binary"), 256)
+
+
 def duplicate_row_count(df: DataFrame) -> int:
-    """Rows equal to an earlier row (NULL equals NULL): sum(count - 1)."""
-    g = df.groupBy(*groupable(df)).agg(F.count(F.lit(1)).alias("__n"))
-    r = g.agg(F.sum(F.col("__n") - 1).alias("d")).collect()[0]
+    """Rows equal to an earlier row (NULL equals NULL): rows minus different digests,
+    so that a row is shuffled as its digest."""
+    n = df.select(row_digest(df).alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    r = n.agg(F.sum(F.col("n") - 1).alias("d")).collect()[0]
     return int(r["d"] or 0)
 
 

@@ -1,24 +1,28 @@
 """Shared statistics frames over the numeric columns of one table.
 
 * ``moments``      two scans of plain sums (count/sum/min/max, then centred
-                   power sums and cross products): mean, std, var, min, max,
-                   skew, kurtosis per column and pairwise-complete Pearson r
-                   (partial aggregation, one tiny exchange per batch).
+                   power sums): mean, std, var, min, max, skew, kurtosis per
+                   column (partial aggregation, one tiny exchange per batch).
+* ``pair_correlations``  one scan that adds up blocks of products of centred
+                   values: pairwise-complete Pearson r of all columns.
 * ``quantiles``    exact linear-interpolated quantiles found by narrowing a
                    bracket around each rank; passes are map-side aggregates,
                    so no task ever holds a whole column.
 * ``bins``         one pass that assigns every value its histogram bin and
                    counts IQR outliers and box-plot whiskers per (column, bin).
 
-Results that reach the driver are O(columns), correlations O(columns squared);
-never O(rows).
+Results that reach the driver are O(columns); correlations stay a DataFrame.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,15 +116,12 @@ def _agg_batches(df: DataFrame, exprs: list[Column]) -> dict:
     return out
 
 
-def moments(
-    df: DataFrame, cols: list[str], pairs: bool = False
-) -> tuple[int, dict[str, ColumnMoments], dict[tuple[int, int], float | None]]:
-    """Row count, per-column moments and (optionally) pairwise-complete
-    Pearson r, in two scans of plain sums:
+def moments(df: DataFrame, cols: list[str]) -> tuple[int, dict[str, ColumnMoments]]:
+    """Row count and per-column moments, in two scans of plain sums (more for
+    very wide tables, ``_AGG_BATCH`` aggregates each):
 
     1. count, sum, min, max, sample variance per column (-> mean);
-    2. sums of the 2nd-4th powers of ``v - mean`` per column and of the
-       cross products of centred values per column pair.
+    2. sums of the 2nd-4th powers of ``v - mean`` per column.
 
     Centring on the mean keeps the power sums free of cancellation (the same
     two-pass arithmetic a single-machine library uses), and plain ``sum``
@@ -150,19 +151,6 @@ def moments(
             F.sum(d[i] * d[i] * d[i]).alias(f"d3_{i}"),
             F.sum(d[i] * d[i] * d[i] * d[i]).alias(f"d4_{i}"),
         ]
-    pair_list = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))] if pairs else []
-    complete = [n[i] == rows for i in range(len(cols))]
-    for i, j in pair_list:
-        second.append(F.sum(d[i] * d[j]).alias(f"x_{i}_{j}"))
-        if not (complete[i] and complete[j]):
-            both = d[i].isNotNull() & d[j].isNotNull()
-            second += [
-                F.count_if(both).alias(f"pn_{i}_{j}"),
-                F.sum(F.when(both, d[i])).alias(f"pa_{i}_{j}"),
-                F.sum(F.when(both, d[j])).alias(f"pb_{i}_{j}"),
-                F.sum(F.when(both, d[i] * d[i])).alias(f"paa_{i}_{j}"),
-                F.sum(F.when(both, d[j] * d[j])).alias(f"pbb_{i}_{j}"),
-            ]
     r2 = _agg_batches(df, second) if second else {}
 
     out: dict[str, ColumnMoments] = {}
@@ -193,32 +181,64 @@ def moments(
             kurt=_adjust_kurt(k, g2) if m2 > 0 else 0.0,
         )
 
-    corr: dict[tuple[int, int], float | None] = {}
-    for i, j in pair_list:
-        sxy = r2[f"x_{i}_{j}"]
-        if complete[i] and complete[j]:
-            k, sx, sy = rows, r2[f"d1_{i}"], r2[f"d1_{j}"]
-            sxx, syy = r2[f"d2_{i}"], r2[f"d2_{j}"]
-        else:
-            k = int(r2[f"pn_{i}_{j}"])
-            sx, sy = r2[f"pa_{i}_{j}"], r2[f"pb_{i}_{j}"]
-            sxx, syy = r2[f"paa_{i}_{j}"], r2[f"pbb_{i}_{j}"]
-        if k < 2 or sxy is None:
-            corr[(i, j)] = None
-            continue
-        cxx = sxx - sx * sx / k
-        cyy = syy - sy * sy / k
-        cxy = sxy - sx * sy / k
-        if cxx <= 0 or cyy <= 0:
-            corr[(i, j)] = None
-        else:
-            corr[(i, j)] = max(-1.0, min(1.0, cxy / math.sqrt(cxx * cyy)))
-    return rows, out, corr
-
-
-def correlations(df: DataFrame, cols: list[str]) -> dict[tuple[int, int], float | None]:
-    """Pairwise-complete Pearson r for every i < j (None when undefined)."""
-    return moments(df, cols, pairs=True)[2]
+    return rows, out
+
+
+# ----------------------------------------------------------------------------- correlations
+
+_SUMS = ("n", "x", "y", "xx", "yy", "xy")
+_GRAM = "i int, salt int, " + ", ".join(f"{k} array<double>" for k in _SUMS)
+_MERGE = 64  # partial rows of a column that are added up together before the rest
+
+
+def _gram_rows(means: list[float]):
+    """Per task one row per column i: sums over rows in which i and j are both present,
+    for every j, of 1, x, y, x*x, y*y and x*y (x, y: values of i and j minus their means)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, m = len(means), np.asarray(means)
+        total = {k: np.zeros((p, p)) for k in _SUMS}
+        seen = False
+        for batch in batches:
+            seen = True
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1)
+            here = ~np.isnan(x)
+            x, w = np.where(here, x - m, 0.0), here.astype(float)
+            with np.errstate(invalid="ignore"):  # infinities make a pair undefined
+                total["n"] += w.T @ w
+                total["x"] += x.T @ w
+                total["xx"] += (x * x).T @ w
+                total["xy"] += x.T @ x
+        if seen:
+            total["y"], total["yy"] = total["x"].T, total["xx"].T
+            salt = TaskContext.get().partitionId() % _MERGE
+            cols = [pa.array(range(p), pa.int32()), pa.array([salt] * p, pa.int32())]
+            cols += [pa.array(list(total[k]), pa.list_(pa.float64())) for k in _SUMS]
+            yield pa.RecordBatch.from_arrays(cols, names=["i", "salt", *_SUMS])
+
+    return run
+
+
+def _add_rows(table):
+    """Sum of the arrays of a group of partial rows."""
+    arrays = [pa.array([np.sum([np.asarray(a.values) for a in table.column(k)], axis=0)], pa.list_(pa.float64())) for k in _SUMS]
+    return pa.table([table.column("i")[:1], table.column("salt")[:1], *arrays], names=["i", "salt", *_SUMS])
+
+
+def pair_correlations(proj: DataFrame, means: list[float | None], constant: list[bool]) -> DataFrame:
+    """(i, j, r), i < j: pairwise-complete Pearson r of the columns of ``proj``, NULL where
+    undefined. One scan for any number of columns: tasks add up blocks of products, and the
+    sums of a column are merged in two steps, so that no task holds more than some of them."""
+    parts = proj.mapInArrow(_gram_rows([m if m is not None and math.isfinite(m) else 0.0 for m in means]), _GRAM)
+    merged = parts.groupBy("i", "salt").applyInArrow(_add_rows, _GRAM).groupBy("i").applyInArrow(_add_rows, _GRAM)
+    z = F.arrays_zip(*_SUMS)
+    each = merged.select("i", F.posexplode(z).alias("j", "s")).where("j > i").select("i", "j", "s.*")
+    n = F.col("n")
+    cxx, cyy, cxy = (F.col(k) - F.col(a) * F.col(b) / n for k, a, b in (("xx", "x", "x"), ("yy", "y", "y"), ("xy", "x", "y")))
+    flat = [k for k, c in enumerate(constant) if c]
+    ok = (n >= 2) & (cxx > 0) & (cyy > 0) & ~F.isnan(cxy) & ~F.col("i").isin(flat) & ~F.col("j").isin(flat)
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cxy / F.sqrt(cxx * cyy)))
+    return each.select("i", "j", F.when(ok, r).alias("r"))
 
 
 # ----------------------------------------------------------------------------- quantiles
