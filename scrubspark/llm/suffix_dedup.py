@@ -6,8 +6,8 @@ and every task sorts a bounded share:
 
 1. *Sampled offsets.* The smallest hashed 24-gram of each 50-byte window is its
    anchor; equal windows have equal anchors at equal offsets. Documents are dealt
-   into blocks of some megabytes; a block sends its distinct anchor hashes (48 bits,
-   with a document count) to the hash's route, which answers with the anchors that
+   into blocks of some megabytes; a block sends the names of its distinct anchors (hashes of
+   some 40 bits, with a document count) to the name's route, which answers with the anchors that
    more than one document holds.
 2. *Bucket refinement.* For such anchors a block sends the distinct contexts (the
    bytes of all windows of one anchor) with the smallest and largest id of their
@@ -121,10 +121,12 @@ def _values(planes: bytes) -> np.ndarray:
 
 
 def _press(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of numbers, each byte plane by byte plane, compressed."""
     import zstandard
 
     head = np.asarray([a.nbytes for a in arrays], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes() if len(a) else b"" for a in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(planes))
 
 
 def _open(data: bytes, kinds: list) -> list[np.ndarray]:
@@ -132,7 +134,8 @@ def _open(data: bytes, kinds: list) -> list[np.ndarray]:
 
     raw, at, out = zstandard.ZstdDecompressor().decompress(data), 8 * len(kinds), []
     for size, kind in zip(np.frombuffer(raw, np.int64, len(kinds)).tolist(), kinds):
-        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+        planes = np.frombuffer(raw, np.uint8, size, at).reshape(np.dtype(kind).itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel() if size else np.zeros(0, kind))
         at += size
     return out
 
@@ -208,9 +211,10 @@ class _Block:
         self.ids = np.asarray(ids.take(order), np.int64)
         self.buf, self.offsets = text_buffer(self.table.column("_text"))
 
-    def repeated(self, answers: pa.Table):
+    def repeated(self, answers: pa.Table, bits: int):
         """Runs whose anchor more than one document holds; hot ones window by window."""
         lo, hi, h = block_anchors(self.buf, self.offsets)
+        h = _names(h, bits)
         known = [_values(x.as_py()) for x in answers.column("data")] if answers.num_rows else []
         known = np.sort(np.concatenate(known)) if known else np.zeros(0, np.uint64)
         names = known >> np.uint64(8)
@@ -225,11 +229,20 @@ class _Block:
         return lo[which] + step, np.where(hot[which], lo[which] + step, hi[which]), h[which], hot[which]
 
 
-def _route(h: np.ndarray, routes: int) -> np.ndarray:
-    """Route of a hash. Anchors are the smallest hashes of their windows, so the hash is
-    mixed once more: its own ranges would not be equally full."""
-    mixed = (h ^ h >> np.uint64(23)) * _K[1] >> np.uint64(32)
-    return (mixed * np.uint64(routes) >> np.uint64(32)).astype(np.int64)
+def name_bits(total_bytes: int) -> int:
+    """Bits of an anchor's name: about 2^-12 of different anchors share one at any size."""
+    return min(48, max(32, math.ceil(math.log2(total_bytes / 8 + 1)) + 12))
+
+
+def _names(h: np.ndarray, bits: int) -> np.ndarray:
+    """Names of anchor hashes. Anchors are the smallest hashes of their windows, so the
+    hash is mixed once more; its own ranges would not be equally full."""
+    return (h ^ h >> np.uint64(23)) * _K[1] >> np.uint64(64 - bits)
+
+
+def _route(names: np.ndarray, bits: int, routes: int) -> np.ndarray:
+    """Route of a name: a range of names, so that sorted names stay together."""
+    return ((names >> np.uint64(bits - 32)) * np.uint64(routes) >> np.uint64(32)).astype(np.int64)
 
 
 def _by_route(routes: np.ndarray) -> list[tuple[int, int, int]]:
@@ -246,10 +259,11 @@ ANSWER = "block long, data binary"
 _ANSWER = pa.schema([("block", pa.int64()), ("data", pa.binary())])
 
 
-def _send_anchors(routes: int):
+def _send_anchors(routes: int, bits: int):
     def run(key, table):
         b = _Block(table)
         lo, _, h = block_anchors(b.buf, b.offsets)
+        h = _names(h, bits)
         doc = np.searchsorted(b.offsets, lo, "right")
         order = np.argsort(h, kind="stable")
         h, doc = h[order], doc[order]
@@ -260,10 +274,8 @@ def _send_anchors(routes: int):
             change[first] = 1
             docs = np.add.reduceat(change, first)
             values = h[first] << np.uint64(8) | np.minimum(docs, 255).astype(np.uint64)
-            route = _route(h[first], routes)
-            by = np.argsort(route, kind="stable")
-            for r, a, z in _by_route(route[by]):
-                rows.append((r, key[0].as_py(), _planes(values[by[a:z]])))
+            for r, a, z in _by_route(_route(h[first], bits, routes)):
+                rows.append((r, key[0].as_py(), _planes(values[a:z])))
         cols = list(zip(*rows)) or [(), (), ()]
         return pa.table([pa.array(c, f.type) for c, f in zip(cols, _SENT)], schema=_SENT)
 
@@ -293,16 +305,19 @@ def _answer_anchors(hot_documents: int):
     return run
 
 
-#: what a block sends for its distinct contexts: anchor hash, length, smallest and largest id, members; per member row and place; bytes
-_CONTEXT = [np.uint64, np.uint8, np.int64, np.int64, np.int32, np.int32, np.int64, np.uint8]
+#: what a block sends for its distinct contexts: steps of the low 24 bits of the anchor's name (they
+#: only tell which contexts are sorted together), length, smallest id and span of ids, members; per
+#: member row and place; bytes
+_CONTEXT = [np.uint32, np.uint8, np.int64, np.int64, np.int32, np.int32, np.int64, np.uint8]
+_LOW = np.uint64((1 << 24) - 1)
 
 
-def _send_contexts(routes: int):
+def _send_contexts(routes: int, bits: int):
     def run(key, table, answers):
         rows = []
         if table.num_rows and answers.num_rows:
             b = _Block(table)
-            lo, hi, h, hot = b.repeated(answers)
+            lo, hi, h, hot = b.repeated(answers, bits)
             if len(lo):
                 wide = np.concatenate([b.buf, np.zeros(WIDTH + 8, np.uint8)])
                 size = hi - lo + LENGTH
@@ -324,15 +339,15 @@ def _send_contexts(routes: int):
                 mix = words[one, 0]
                 for j in range(1, 7):  # a hot window goes by its own 50 bytes
                     mix = (mix ^ mix >> np.uint64(31)) * _K[j % 4] + words[one, j]
-                mix = (mix ^ mix >> np.uint64(29)) * _K[1] >> np.uint64(16)
-                route = _route(np.where(hot[one], mix, h[one]), routes)
-                by = np.argsort(route, kind="stable")
+                route = _route(np.where(hot[one], _names(mix, bits), h[one]), bits, routes)
+                low = (h[one] & _LOW).astype(np.uint32)
+                by = np.lexsort((low, route))
                 flat = words.view(np.uint8).reshape(len(words), 80)
                 for r, a, z in _by_route(route[by]):
                     c = by[a:z]
                     pick = np.concatenate([order[first[i] : first[i] + members[i]] for i in c.tolist()])
                     body = flat[one[c]][np.arange(80) < size[one[c], None]]
-                    rows.append((r, key[0].as_py(), _press([h[one[c]], size[one[c]].astype(np.uint8), least[c], most[c], members[c].astype(np.int32), doc[pick].astype(np.int32), (lo[pick] - b.offsets[doc[pick]]).astype(np.int64), body])))
+                    rows.append((r, key[0].as_py(), _press([np.diff(low[c], prepend=np.uint32(0)), size[one[c]].astype(np.uint8), least[c], most[c] - least[c], members[c].astype(np.int32), doc[pick].astype(np.int32), (lo[pick] - b.offsets[doc[pick]]).astype(np.int64), body])))
         cols = list(zip(*rows)) or [(), (), ()]
         return pa.table([pa.array(c, f.type) for c, f in zip(cols, _SENT)], schema=_SENT)
 
@@ -391,9 +406,11 @@ def window_minima(h: np.ndarray, size: np.ndarray, least: np.ndarray, body: np.n
 def _answer_contexts(key, table):
     parts = [_open(x.as_py(), _CONTEXT) for x in table.column("data")]
     counts = [len(p[0]) for p in parts]
-    h, size, least, most, members, row, place, body = (np.concatenate(c) for c in zip(*parts))
+    h = np.concatenate([np.cumsum(p[0], dtype=np.uint32) for p in parts])
+    _, size, least, most, members, row, place, body = (np.concatenate(c) for c in zip(*parts))
     del parts
     size = size.astype(np.int64)
+    most = most + least  # a span may be beyond 2^63 and wraps back
     ctx, lowest = window_minima(h, size, least, body)
     inner = np.arange(len(ctx)) - np.searchsorted(ctx, ctx)
     # runs of windows of one context with the same smallest id, where a member has a larger one
@@ -407,10 +424,10 @@ def _answer_contexts(key, table):
     m = begins[c][which] + nth
     found = np.stack([row[m].astype(np.int64), place[m] + inner[first][which], place[m] + inner[last][which] + LENGTH, lowest[first][which]])
     blocks = np.repeat(np.arange(len(counts)), counts)[c][which]
-    order = np.argsort(blocks, kind="stable")
+    order = np.lexsort((found[1], found[0], blocks))
     names, out = table.column("block").to_pylist(), []
     for k, a, z in _by_route(blocks[order]):
-        out.append((names[k], _press(list(found[:, order[a:z]]))))
+        out.append((names[k], _press([np.ascontiguousarray(x) for x in found[:, order[a:z]]])))
     cols = list(zip(*out)) or [(), ()]
     return pa.table([pa.array(x, f.type) for x, f in zip(cols, _ANSWER)], schema=_ANSWER)
 
@@ -470,13 +487,13 @@ def remove_repeats(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", tex
     )
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     blocks = math.ceil(total / block_bytes) or 1
-    routes = math.ceil(total / ROUTE_BYTES) or 1
+    routes, bits = math.ceil(total / ROUTE_BYTES) or 1, name_bits(total)
     parts = max(1, min(blocks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // 8)))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("_id", "_digest"), F.lit(blocks))).repartition(parts, "block")
 
-    anchors = dealt.groupBy("block").applyInArrow(_send_anchors(routes), SENT)
+    anchors = dealt.groupBy("block").applyInArrow(_send_anchors(routes, bits), SENT)
     known = anchors.groupBy("route").applyInArrow(_answer_anchors(hot_documents), ANSWER)
-    contexts = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_send_contexts(routes), SENT)
+    contexts = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_send_contexts(routes, bits), SENT)
     found = contexts.groupBy("route").applyInArrow(_answer_contexts, ANSWER)
     out = T.StructType([docs.schema[k] for k in keep] + [T.StructField(k, T.LongType()) for k in made[:3]] + [T.StructField(made[3], T.StringType() if as_text else T.BinaryType())])
     return dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_cut(out.names, as_text), out)
