@@ -13,12 +13,13 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from scrubspark.operators import charts  # noqa: E402
+from scrubspark.operators import charts, quality  # noqa: E402
 from scrubspark.operators.analyze import Analysis  # noqa: E402
 from scrubspark.operators.clean import clean  # noqa: E402
 from scrubspark.operators.profile import profile  # noqa: E402
 from scrubspark.queries import QUERIES  # noqa: E402
-from scrubspark.session import get_spark  # noqa: E402
+from scrubspark.session import get_spark, shared_folder  # noqa: E402
+from scrubspark.sources.files import cleaned_path, read_csv, write_cleaned  # noqa: E402
 from scrubspark.sources.tables import dirty_orders, table  # noqa: E402
 
 
@@ -58,6 +59,22 @@ def run_profile(spark, sf, name):
     profile(table(spark, sf, name), exact=True)
 
 
+def run_csv(spark, sf):
+    """Write ``lineitem`` as delimited text once, then read, type and drain it."""
+    path = write_cleaned(table(spark, sf, "lineitem"), cleaned_path(shared_folder(spark, "bench"), "lineitem.csv", "csv"), "csv")
+    read_csv(spark, path).write.format("noop").mode("overwrite").save()
+
+
+def run_report(spark, sf):
+    """Quality score, fact lines and context of the cleaned orders."""
+    res = clean(dirty_orders(spark, sf))
+    a = Analysis(res.table)
+    _drain(quality.quality_score(res, a))
+    _drain(quality.report_context(a, res))
+    a.close()
+    res.close()
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -71,6 +88,8 @@ def main() -> None:
         "analyze_orders": lambda: run_analysis(spark, sf, "orders"),
         "profile_lineitem": lambda: run_profile(spark, sf, "lineitem"),
         "analyze_events": lambda: run_analysis(spark, sf, "events"),
+        "csv_read_lineitem": lambda: run_csv(spark, sf),
+        "score_and_report": lambda: run_report(spark, sf),
         "normalize_headers": lambda: _drain(QUERIES["normalize_headers"](spark, sf)),
         "storage_names": lambda: _drain(QUERIES["storage_names"](spark, sf)),
         "lenient_json": lambda: _drain(QUERIES["lenient_json"](spark, sf)),
