@@ -29,6 +29,7 @@ from scrubspark.llm.common import checkpointed, small_batches, str_list, union_m
 SHINGLE_WORDS = 3
 MAX_BITS = 3
 SEED = 42
+HOT_SHARE = 1000
 BYTES = 8
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)  # byte -> its 8 bits
 _LANES = (np.arange(8) * 256).astype(np.int64)
@@ -158,13 +159,18 @@ def near_duplicates(
     other than the two named are ignored.
     """
     rows = checkpointed(fingerprints(docs, doc_id, text, shingle_words))
-    fps = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    fps = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = union_min_labels(near_links(fps.select("fp"), max_bits))
     linked = fps.join(roots, F.col("fp") == F.col("node"))
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(names, "root").select("fp", "component_id")
-    table = fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    table = fps.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
+    # a fingerprint that more than one in HOT_SHARE rows has goes by broadcast: there are fewer than HOT_SHARE
+    most = (fps.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE
+    hot = F.broadcast(checkpointed(table.filter(F.col("n") > most).select("fp", "component_id")))
+    cold = table.filter(F.col("n") <= most).select("fp", "component_id")
+    found = rows.join(hot, "fp").unionByName(rows.join(hot.select("fp"), "fp", "left_anti").join(cold, "fp"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
