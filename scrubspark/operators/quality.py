@@ -243,7 +243,7 @@ def _series_facts(a: Analysis) -> DataFrame:
     t = a.trend().collect()[0]
     if not t["detected"]:
         return _lines(a.spark, 5, [NO_SERIES])
-    record = F.to_json(F.struct("period", "value"))
+    record = F.to_json(F.struct("period", F.round("value", 6).alias("value")))  # beyond that, sums depend on their order
     months = a.monthly_mean().agg(F.array_sort(F.collect_list(F.struct("period", record.alias("j")))).alias("m")).select(
         F.transform("m", lambda x: x["j"]).alias("m")
     )

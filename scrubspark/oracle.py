@@ -692,7 +692,7 @@ WHERE NOT EXISTS (SELECT 1 FROM ({corr_top_sql('orders', ORDERS_NUM)}) e{section
   || string_agg(value || ' (' || CAST(cnt AS VARCHAR) || ' rows, ' || {share} || '%)', ', ' ORDER BY rank)
 FROM (WITH {freq_cte('orders', cats)} SELECT *, row_number() OVER (PARTITION BY col ORDER BY cnt DESC, value) AS rank,
   count(*) OVER (PARTITION BY col) AS u, (SELECT count(*) FROM orders) AS n FROM freq) z WHERE rank <= 5 GROUP BY col"""
-    record = "'{\"period\":\"' || period || '\",\"value\":' || CAST(value AS VARCHAR) || '}'"
+    record = "'{\"period\":\"' || period || '\",\"value\":' || CAST(round(value, 6) AS VARCHAR) || '}'"
     series = f"""SELECT 5, ord, line FROM (WITH t AS ({_trend()}), m AS (SELECT *, row_number() OVER (ORDER BY period) AS i, count(*) OVER () AS n FROM ({_monthly()}) q)
   SELECT 0 AS ord, '- Date column: ' || date_column AS line FROM t
   UNION ALL SELECT 1, '- Value column: ' || value_column FROM t
@@ -816,7 +816,7 @@ UNION ALL SELECT 'value', o_value, {r6('o_value / n_rows * 100')} FROM oc""",
     "ORDER BY v DESC NULLS LAST, p LIMIT 1) AS value_column",
     "monthly_mean": f"SELECT period, {r6('value')} AS value FROM ({_monthly()}) m",
     "trend": _trend(),
-    "top_variance": _top_variance("lineitem", LINEITEM_NUM, 8),
+    "top_variance": _top_variance("lineitem", LINEITEM_NUM, 8).replace(r6("v"), "round(v, 2)"),
     "heatmap": matrix_sql("lineitem", LINEITEM_NUM, digits=2),
     "bar_data": _bar_data(),
     "box_data": _box_data(),
