@@ -290,14 +290,14 @@ def _pivots(long: DataFrame, brackets: list[_Bracket], wanted: list[tuple[int, i
     return q.join(_ranked(long.sparkSession, wanted), "bid").select("bid", "nth", at(slot - 1).alias("lo"), at(slot + 2).alias("hi")).collect()
 
 
-def _counts(long: DataFrame, brackets: list[_Bracket], pairs: list[tuple[int, int, float, float]]) -> list:
+def _counts(long: DataFrame, brackets: list[_Bracket], pairs: list[tuple[int, float, float]]) -> list:
     """Exact counts of each bracket's values before, at, between and at two values."""
-    table = long.sparkSession.createDataFrame(pairs, "bid int, nth long, lo double, hi double")
+    table = long.sparkSession.createDataFrame(pairs, "bid int, lo double, hi double")
     v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
     return (
         _within(long, brackets)
         .join(F.broadcast(table), "bid")
-        .groupBy("bid", "nth", "lo", "hi")
+        .groupBy("bid", "lo", "hi")
         .agg(
             F.count_if(v < lo).alias("before"),
             F.count_if(v == lo).alias("at_lo"),
@@ -315,7 +315,7 @@ def quantiles(
     info: dict[int, tuple[int, float | None, float | None]],
     probs: list[float],
     exact: bool = True,
-    finish_at: int = 4096,
+    finish_at: int = 16384,
     accuracy: int = 10000,
 ) -> dict[int, list[float | None]]:
     """Quantiles (linear interpolation) per column position.
@@ -368,19 +368,22 @@ def quantiles(
             picked = lists.join(_ranked(spark, small), "bid").select("bid", "nth", F.element_at("vs", (F.col("nth") + 1).cast("int")).alias("v"))
             found |= {key_of[r["bid"], r["nth"]]: float(r["v"]) for r in picked.collect()}
         if large:
-            pairs = [(r["bid"], r["nth"], r["lo"], r["hi"]) for r in _pivots(long, brackets, large, accuracy)]
-            for r in _counts(long, brackets, pairs):
-                key, g, nth = key_of[r["bid"], r["nth"]], brackets[r["bid"]], r["nth"]
+            around: dict[tuple, list[int]] = {}  # neighbouring ranks mostly share their two values
+            for r in _pivots(long, brackets, large, 8 * GRID):
+                around.setdefault((r["bid"], r["lo"], r["hi"]), []).append(r["nth"])
+            for r in _counts(long, brackets, sorted(around)):
+                g = brackets[r["bid"]]
                 parts = [("before", g.a, r["lo"]), ("at_lo", r["lo"], r["lo"]), ("between", r["lo"], r["hi"]), ("at_hi", r["hi"], r["hi"]), ("after", r["hi"], g.b)]
-                done = 0
-                for name, a, b in parts:
-                    if nth < done + r[name]:
-                        if name.startswith("at_"):
-                            found[key] = float(a)
-                        else:
-                            state[key] = _Bracket(g.pos, a, b, g.below + done, r[name])
-                        break
-                    done += r[name]
+                for nth in around[r["bid"], r["lo"], r["hi"]]:
+                    key, done = key_of[r["bid"], nth], 0
+                    for name, a, b in parts:
+                        if nth < done + r[name]:
+                            if name.startswith("at_"):
+                                found[key] = float(a)
+                            else:
+                                state[key] = _Bracket(g.pos, a, b, g.below + done, r[name])
+                            break
+                        done += r[name]
 
     for pos, specs in plan.items():
         out[pos] = [_lerp(found[pos, lo], found[pos, hi], t) for lo, hi, t in specs]
@@ -433,7 +436,7 @@ def bin_index(v: Column, first: Column, last: Column, k: Column, step: Column) -
 
     g2 = F.when(v < edge(g1), g1 - 1).otherwise(g1)
     g3 = F.when((v >= edge(g2 + 1)) & (g2 != k - 1), g2 + 1).otherwise(g2)
-    return F.when(k == 1, F.lit(1)).otherwise(g3 + 1)
+    return g3 + 1
 
 
 def bins_pass(spark: SparkSession, proj: DataFrame, params: list[tuple]) -> DataFrame:
@@ -443,11 +446,13 @@ def bins_pass(spark: SparkSession, proj: DataFrame, params: list[tuple]) -> Data
     schema = (
         "pos int, first double, last double, k int, step double, lo_fence double, hi_fence double"
     )
-    pdf = spark.createDataFrame(params, schema)
+    # an infinite range has one bin: any finite edges do, with its values put inside
+    finite = [(p, *((a, z, k, s) if math.isfinite(z - a) else (0.0, 1.0, 1, 1.0)), lo, hi) for p, a, z, k, s, lo, hi in params]
+    pdf = spark.createDataFrame(finite, schema)
     long = long_values(proj, len(proj.columns))
-    j = long.join(F.broadcast(pdf), "pos")
+    j = long.join(F.broadcast(pdf), "pos").withColumn("inside", F.greatest("first", F.least("last", "v")))
     v = F.col("v")
-    b = bin_index(v, F.col("first"), F.col("last"), F.col("k"), F.col("step"))
+    b = bin_index(F.col("inside"), F.col("first"), F.col("last"), F.col("k"), F.col("step"))
     out_flag = (v < F.col("lo_fence")) | (v > F.col("hi_fence"))
     return j.groupBy("pos", b.alias("bin")).agg(
         F.count(F.lit(1)).alias("count"),
