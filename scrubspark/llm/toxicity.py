@@ -38,13 +38,13 @@ from scrubspark.llm.common import id_remainder, small_batches, str_list
 FIT_ROWS = 20_000
 MODULUS, HELD_OUT = 5, 0
 PREFIXES = (4, 5, 6, 7, 8)  # lengths of word beginnings that may enter the lexicon
-LEAST_SHARE = 0.3  # of the documents with an entry that are toxic
+LEAST_SHARE = 0.5  # of the documents with an entry that are toxic
 MOST_WEIGHT = 6.0  # of an entry; a threat word weighs half as much
 EXTRA = 2  # features besides the patterns: total weight and its density
 LEXICON_SIZE = 5_000  # most entries, strongest first; bounds what is broadcast
 
 # Fixed word lists (English, German, French, Spanish).
-THREAT = "kill hurt destroy shoot stab burn beat murder die töten umbringen verletzen sterben tuer frapper mourir matar golpear morir"
+THREAT = "kill hurt destroy shoot stab burn beat murder töten umbringen verletzen sterben tuer frapper mourir matar golpear morir"
 TARGET = "you your yours he she they them him her his their du dich dir dein deine ihr euch er sie tu toi ton ta vous il elle ils tú te ti usted ustedes él ella ellos"
 NEGATION = "not no never none nobody isn't aren't wasn't don't doesn't nicht nie kein keine niemand ne pas jamais aucun personne nunca jamás nadie tampoco"
 REPORT = "said says say told wrote writes claimed claims quoted quote reported called sagte sagt schrieb behauptet dit écrit affirme dijo dice escribió afirma"
@@ -164,13 +164,17 @@ class Grammar:
             yield low[begin:done]
 
     def patterns(self, text: str) -> dict[int, float]:
-        """pattern -> weight of the clauses that hold an insult or a threat."""
+        """pattern -> weight of the clauses that hold an insult or a threat. A word weighs
+        where it comes first; a line that is repeated many times says no more than once."""
         found: dict[int, float] = {}
+        heard: set[str] = set()
         for clause in self.clauses(text):
             state, weight = 0, 0.0
             for token in _token.findall(clause):
                 c, w = self.arc(token)
-                weight += w
+                if w and token not in heard:
+                    heard.add(token)
+                    weight += w
                 state = self.table[state][c]
             if weight:
                 p = self.pattern[state]
@@ -193,7 +197,8 @@ class Grammar:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
-    """(text, y, half): a bounded sample of the labelled rows that may be learned from."""
+    """(text, y, half): a bounded sample of the labelled rows that may be learned from; of
+    equal texts one (it is toxic if one of them is), as copies say nothing new."""
     known = (
         labels.filter("toxic is not null and doc_id is not null")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -205,7 +210,8 @@ def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
     if total > fit_rows:  # by a hash, a little below the bound
         known = known.filter(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * fit_rows * 0.97 / total))
     known = known.select("doc_id", "y", F.pmod(F.shiftright("h", 40), F.lit(2)).cast("int").alias("half"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("text", "y", "half")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    return rows.groupBy("text").agg(F.max("y").alias("y"), F.min("half").alias("half"))
 
 
 def _candidates(words: set[str]) -> set[str]:
@@ -261,7 +267,14 @@ def _lexicon(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Learn the lexicon and the pattern weights from the labelled rows."""
     small_batches(docs.sparkSession)
-    sample = _sample(docs, labels, fit_rows)
+    sample = _sample(docs, labels, fit_rows).persist()
+    try:
+        return _fit(sample)
+    finally:
+        sample.unpersist()
+
+
+def _fit(sample: DataFrame) -> Model:
     sizes = {(r.half, r.y > 0): r.n for r in sample.groupBy("half", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = (sizes.get((0, True), 0), sizes.get((0, False), 0))
     ones, zeros = toxic + sizes.get((1, True), 0), clean + sizes.get((1, False), 0)

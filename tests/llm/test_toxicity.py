@@ -69,6 +69,8 @@ def test_edges_of_input(spark):
     assert tx.score(docs.limit(0), tx.fit(docs.limit(0), none)).collect() == []
     strong = tx.Model({"idiot": 1.0}, [3.0] * len(tx.PATTERNS) + [0.0, 0.0], -1.0)
     by = {r.doc_id: r.score for r in tx.score(docs, strong).collect()}
+    shouted = tx.Grammar({"idiot": 2.0, "fool": 1.0}).patterns("idiot! Idiot! idiot, fool idiot")
+    assert shouted == {tx.PATTERNS[1, 0, 0, 0, 0]: 2.0, tx.PATTERNS[2, 0, 0, 0, 0]: 1.0}
     assert by[3] == pytest.approx(1 / (1 + math.exp(1 - 3 * math.log(2)))) and by[2] == pytest.approx(1 / (1 + math.e))
 
 
