@@ -841,6 +841,8 @@ UNION ALL SELECT 'value', o_value, {r6('o_value / n_rows * 100')} FROM oc""",
     "delimiter_counts": _delimiter_counts(),
     "date_shapes": _date_shapes(),
     "history_rows": _history_rows(),
+    "history_append": f"SELECT h.* FROM ({_history_rows()}) h, range(2)",
+    "csv_latin1": f"SELECT c_custkey, c_name || ' é, à' AS c_name, {r6('c_acctbal')} AS c_acctbal FROM customer",
     "distribution_data": _distribution_data(),
     "chart_bundle": _chart_bundle(),
     "analysis_sections": _analysis_sections(),

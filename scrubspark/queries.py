@@ -416,6 +416,14 @@ def q_csv_round_trip(spark, sf):
     return canon(files.read_cleaned(spark, files.write_cleaned(table(spark, sf, "customer"), files.cleaned_path(base, "customer.csv", "csv"), "csv")))
 
 
+def q_csv_latin1(spark, sf):
+    """A delimited file in ISO-8859-1 with semicolons, recognised and read."""
+    path = shared_folder(spark, "latin1")
+    rows = table(spark, sf, "customer").select("c_custkey", F.concat("c_name", F.lit(" é, à")).alias("c_name"), "c_acctbal")
+    rows.write.option("header", True).option("sep", ";").option("encoding", "ISO-8859-1").csv(path)
+    return canon(files.read_csv(spark, path))
+
+
 def q_delimiter_counts(spark, sf):
     lines = table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
     return canon(files.delimiter_counts(lines, "line"))
@@ -436,6 +444,15 @@ def q_history_rows(spark, sf):
     return history.report_rows(_reports(spark, sf))
 
 
+def q_history_append(spark, sf):
+    """The stored history after one batch was written twice and another once."""
+    path = shared_folder(spark, "history")
+    reports = _reports(spark, sf)
+    for batch in ("first", "first", "second"):
+        history.append_reports(reports, path, batch)
+    return history.read_reports(spark, path).drop("created_at")
+
+
 def q_distribution_data(spark, sf):
     return canon(charts.distribution_data(analysis(spark, sf, "lineitem")))
 
@@ -520,9 +537,11 @@ QUERIES = {
     "json_rows": q_json_rows,
     "csv_typing": q_csv_typing,
     "csv_round_trip": q_csv_round_trip,
+    "csv_latin1": q_csv_latin1,
     "delimiter_counts": q_delimiter_counts,
     "date_shapes": q_date_shapes,
     "history_rows": q_history_rows,
+    "history_append": q_history_append,
     "distribution_data": q_distribution_data,
     "chart_bundle": q_chart_bundle,
     "analysis_sections": q_analysis_sections,

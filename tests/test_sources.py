@@ -57,6 +57,15 @@ def test_header_rules(spark):
     assert normalize_headers(spark, []) == []
 
 
+def test_headers_of_many_tables(spark):
+    tables = {"t1": ["a", "a", "b"], "t2": ["a", "A "], "t3": ["", "x"]}
+    rows = [(t, i, c) for t, cs in tables.items() for i, c in enumerate(cs, start=1)]
+    got = normalize_header_column(spark.createDataFrame(rows, "tab string, pos long, h string"), "h", "pos", "tab")
+    by = {(r["tab"], r["position"]): r["normalized"] for r in got.collect()}
+    for t, cs in tables.items():
+        assert [by[t, i] for i in range(1, len(cs) + 1)] == normalize_headers(spark, cs)
+
+
 @pytest.mark.parametrize(
     "cols",
     [["a", "a", "a_2", "a"], ["a_2", "a", "a", "a_2", "a_2_2"], ["", "column_1", "", "column_3"], ["x"] * 5 + ["x_3"] * 3 + ["x_3_2"]],
