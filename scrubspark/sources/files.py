@@ -16,7 +16,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scrubspark.functions.jsonsafe import json_safe_columns
 from scrubspark.operators.names import safe_stem
