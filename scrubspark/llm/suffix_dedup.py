@@ -31,7 +31,6 @@ an empty table gives an empty frame; other columns pass through if named in ``ke
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -517,23 +516,3 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     got = remove_repeats(docs, ["doc_id"])
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
-
-
-def brute_force(rows: list[tuple[int | None, str | None]], length: int = LENGTH) -> list[tuple]:
-    """(n_bytes, n_removed, n_spans, kept_sha256) of each row, by a table of all strings (for tests)."""
-    least: dict[bytes, int] = {}
-    raws = [(NO_ID if i is None else i, (t or "").encode()) for i, t in rows]
-    for i, raw in raws:
-        for p in range(len(raw) - length + 1):
-            s = raw[p : p + length]
-            least[s] = min(i, least.get(s, i))
-    out = []
-    for i, raw in raws:
-        gone = bytearray(len(raw))
-        for p in range(len(raw) - length + 1):
-            if least[raw[p : p + length]] < i:
-                gone[p : p + length] = b"\1" * length
-        spans = sum(1 for p, g in enumerate(gone) if g and (p == 0 or not gone[p - 1]))
-        kept = bytes(c for c, g in zip(raw, gone) if not g)
-        out.append((len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
-    return out

@@ -1,12 +1,15 @@
 """The pipeline, stage by stage, against plain versions of its operators."""
 
+import hashlib
+
 import corpus_pipeline
 from tests.llm.test_bpe import expected
 from tests.llm.test_decontam import least_edits
 from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_suffix_dedup import brute_force
 from tokenizers import Tokenizer
 
-from scrubspark.llm import bpe, decontam, suffix_dedup, toxicity
+from scrubspark.llm import bpe, decontam, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,11 +36,11 @@ def test_stages_against_plain_versions(spark):
     assert all(single[d] == source[d] for d in single)
 
     rows = [(d, r.text) for d, r in sorted(single.items())]
-    for (d, text), (n, gone, _, digest) in zip(rows, suffix_dedup.brute_force(rows)):
+    for (d, text), (n, gone, _, digest) in zip(rows, brute_force(rows)):
         assert len(cut[d].text.encode()) <= n - gone and (gone or cut[d].text == text)
         assert cut[d].n_chars == len(cut[d].text)
         if len(cut[d].text.encode()) == n - gone:
-            assert suffix_dedup.hashlib.sha256(cut[d].text.encode()).hexdigest() == digest
+            assert hashlib.sha256(cut[d].text.encode()).hexdigest() == digest
     assert set(cut) == set(single)
 
     bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

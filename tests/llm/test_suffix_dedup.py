@@ -1,5 +1,6 @@
 """Repeated passages against a table of all 50-byte strings."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -10,8 +11,28 @@ from scrubspark.llm import suffix_dedup as sd
 SF = "/root/testdata/sf0.001"
 
 
+def brute_force(rows: list[tuple[int | None, str | None]], length: int = sd.LENGTH) -> list[tuple]:
+    """(n_bytes, n_removed, n_spans, kept_sha256) of each row, by a table of all strings."""
+    least: dict[bytes, int] = {}
+    raws = [(sd.NO_ID if i is None else i, (t or "").encode()) for i, t in rows]
+    for i, raw in raws:
+        for p in range(len(raw) - length + 1):
+            s = raw[p : p + length]
+            least[s] = min(i, least.get(s, i))
+    out = []
+    for i, raw in raws:
+        gone = bytearray(len(raw))
+        for p in range(len(raw) - length + 1):
+            if least[raw[p : p + length]] < i:
+                gone[p : p + length] = b"\1" * length
+        spans = sum(1 for p, g in enumerate(gone) if g and (p == 0 or not gone[p - 1]))
+        kept = bytes(c for c, g in zip(raw, gone) if not g)
+        out.append((len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
 def result(df):
-    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, sd.hashlib.sha256(bytes(r.kept_bytes)).hexdigest()) for r in df.collect()), key=str)
+    return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept_bytes)).hexdigest()) for r in df.collect()), key=str)
 
 
 def wanted(rows):
