@@ -36,7 +36,7 @@ def result(df):
 
 
 def wanted(rows):
-    return sorted(((i, *x) for (i, _), x in zip(rows, sd.brute_force(rows))), key=str)
+    return sorted(((i, *x) for (i, _), x in zip(rows, brute_force(rows))), key=str)
 
 
 def test_query_against_brute_force(spark):
