@@ -1,15 +1,10 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH and exact edit distance.
+"""Benchmark decontamination: shared grams and exact edit distance.
 
-The CGK random walk reads a string with a pointer that moves on or stays by a random
-bit per step and letter; two strings of small edit distance give walks of small Hamming
-distance. A window of a document is a candidate for an item if, in one of several walks,
-one of several samples of walk positions agrees in full (bit-sampling LSH); candidates
-are verified by the exact edit distance of the item to the best place around the window.
-
-Windows are as long as the item. Of all offsets, those are embedded where the window
-shares enough 10-byte grams with the item on about the same diagonal: windows within
-the edit limit keep some grams, and the gram's places give the window's offset. Embedding
-every offset for every item length would cost some thousand steps a byte.
+A window of a document is as long as the item. Of all offsets, those are looked at where
+the window shares enough 10-byte grams with the item on about the same diagonal; the gram's
+places give the window's offset. Each of these windows is verified by the exact edit distance
+of the item to the best place around it, many windows at a time; no sampled comparison (as
+an embedding with locality-sensitive hashing) comes between, so none is lost there.
 
 Every document is read once, by one task, and meets the items of one block at a time;
 a block of items has a bounded size, so what is broadcast does not grow with the table.
@@ -36,11 +31,10 @@ ITEM_BLOCK_BYTES = 2 << 20  # text of the items that are broadcast together
 GRAM = 10
 MARGIN = 16  # bytes around a window in which its item is placed, besides the edits
 BAND = 64  # diagonals that count as about the same
-WALKS, SAMPLES, POSITIONS = 6, 32, 4  # LSH: walks, samples per walk, positions per sample
 TABLE_BITS = 22
 HIT_BYTES = 25  # a window needs a shared gram for each so many bytes of its item
 HITS_AT_ONCE = 1 << 20
-WINDOWS_AT_ONCE = 1 << 14
+WINDOWS_AT_ONCE = 1 << 12
 _K = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _FOLD = bytes(32 if chr(b) in "\t\n\v\f\r " else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -64,7 +58,7 @@ def gram_hashes(buf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class ItemIndex:
-    """What a task needs of a block of items: texts, grams and LSH samples."""
+    """What a task needs of a block of items: texts and grams."""
 
     ids: list
     texts: list[bytes]
@@ -73,20 +67,12 @@ class ItemIndex:
     grams: np.ndarray  # sorted hashes, with the item and place of each
     gram_item: np.ndarray
     gram_place: np.ndarray
-    moves: np.ndarray  # (walks, steps, 256): whether the pointer moves on
-    share: np.ndarray  # (walks, samples, positions): sampled places of a walk, as a share of it
     sizes: np.ndarray  # bytes of each item
-    codes: np.ndarray  # (items, walks, samples, positions): letters there
 
     @classmethod
-    def build(cls, rows: list[tuple], max_edits: float, seed: int = 7) -> ItemIndex:
+    def build(cls, rows: list[tuple], max_edits: float) -> ItemIndex:
         kept = [(i, t) for i, raw in rows if (t := fold((raw or "").encode())).strip()]
         texts = [t for _, t in kept]
-        rng = np.random.default_rng(seed)
-        steps = 2 * max(map(len, texts), default=1)
-        moves = rng.integers(0, 2, (WALKS, steps, 256), dtype=np.uint8)
-        moves[:, :, 0] = 0  # the letter past the end
-        share = rng.random((WALKS, SAMPLES, POSITIONS))
         hashes = [gram_hashes(np.frombuffer(t, np.uint8)) for t in texts]
         flat = np.concatenate([*hashes, np.zeros(0, np.uint64)])
         order = np.argsort(flat, kind="stable")
@@ -96,37 +82,54 @@ class ItemIndex:
         table[(flat >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
         sizes = np.asarray([len(t) for t in texts], np.int64)
         limits = [int(max_edits * len(t)) for t in texts]
-        own = cls([i for i, _ in kept], texts, limits, table, flat[order], item[order], place[order], moves, share, sizes, np.zeros(0))
-        wide = np.zeros((len(texts), int(sizes.max(initial=0))), np.uint8)
-        for row, t in zip(wide, texts):
-            row[: len(t)] = np.frombuffer(t, np.uint8)
-        own.codes = own.letters(wide, sizes)
-        return own
-
-    def letters(self, windows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Letters at the sampled places of the CGK walks over windows (zero past their
-        ends) of the given sizes: (windows, walks, samples, positions)."""
-        count, steps = len(windows), 2 * int(sizes.max(initial=0))
-        flat = np.concatenate([windows, np.zeros((count, 1), np.uint8)], axis=1).ravel()
-        base = np.arange(count) * (windows.shape[1] + 1)
-        seen = np.empty((count, *self.share.shape), np.uint8)
-        walk = np.empty((steps, count), np.uint8)
-        for w, moves in enumerate(self.moves):
-            at = base.copy()
-            for j in range(steps):
-                np.take(flat, at, out=walk[j])
-                at += moves[j].take(walk[j])
-            places = (self.share[w] * 2 * sizes[:, None, None]).astype(np.int64)
-            seen[:, w] = walk[places, np.arange(count)[:, None, None]]
-        return seen
-
-    def alike(self, items: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        """Which windows fall into a bucket of their item in some sample of some walk."""
-        out = np.zeros(len(items), bool)
-        for a in range(0, len(items), 2048):
-            mine = items[a : a + 2048]
-            out[a : a + 2048] = (self.letters(windows[a : a + 2048], self.sizes[mine]) == self.codes[mine]).all(3).any((1, 2))
-        return out
+        return cls([i for i, _ in kept], texts, limits, table, flat[order], item[order], place[order], sizes)
+
+
+def near(patterns: list[bytes], which: np.ndarray, limits: np.ndarray, buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which stretches ``begin`` to ``end`` of ``buf`` hold their pattern within its limit of edits,
+    exactly: bit vectors as in ``_edits_at``, in words of 64 bits, over many stretches at a time."""
+    out = np.zeros(len(which), bool)
+    sizes = np.asarray([len(t) for t in patterns], np.int64)[which]
+    words = (sizes + 63) // 64
+    order = np.lexsort((end - begin, words))
+    first = 0
+    while first < len(order):
+        count = int(words[order[first]])
+        last = min(first + max(64, WINDOWS_AT_ONCE // count), int(np.searchsorted(words[order], count, "right")))
+        rows = order[first:last]
+        first = last
+        own, mine = np.unique(which[rows], return_inverse=True)
+        where = np.zeros((len(own), 257, count), np.uint64)  # letter 256 stands past the end
+        for k, i in enumerate(own.tolist()):
+            t = np.frombuffer(patterns[i], np.uint8)
+            at = np.arange(len(t))
+            np.bitwise_or.at(where, (k, t, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+        where, mine = where.reshape(-1, count), mine * 257
+        top = ((sizes[rows] - 1) % 64).astype(np.uint64)
+        plus, minus = np.full((count, len(rows)), ~np.uint64(0)), np.zeros((count, len(rows)), np.uint64)
+        score = sizes[rows].copy()
+        best = score.copy()
+        one, high = np.uint64(1), np.uint64(63)
+        for j in range(int((end - begin)[rows].max(initial=0))):
+            at = begin[rows] + j
+            letter = np.where(at < end[rows], buf[np.minimum(at, len(buf) - 1)], 256)
+            found = where[mine + letter]
+            up_in = down_in = np.zeros(len(rows), np.uint64)
+            for w in range(count):
+                eq, p, m = found[:, w], plus[w], minus[w]
+                x = eq | m
+                eq = eq | down_in
+                d0 = (((eq & p) + p) ^ p) | eq
+                up, down = m | ~(d0 | p), p & d0
+                if w == count - 1:
+                    score += ((up >> top) & one).astype(np.int64) - ((down >> top) & one).astype(np.int64)
+                up_out, down_out = up >> high, down >> high
+                up, down = up << one | up_in, down << one | down_in
+                plus[w], minus[w] = down | ~(x | up), up & x
+                up_in, down_in = up_out, down_out
+            np.minimum(best, score, out=best)
+        out[rows] = best <= limits[rows]
+    return out
 
 
 def _edits_at(pattern: bytes, letters, anchored: int) -> Iterator[int]:
@@ -227,14 +230,10 @@ def find_in(index: ItemIndex, texts: pa.Array) -> list[tuple[int, int, int, int,
     size = index.sizes[item]
     # the row of the window's middle; the window itself stays inside its row where it can
     row = np.searchsorted(offsets, np.clip(start + size // 2, 0, max(len(buf) - 1, 0)), "right") - 1
-    start = np.maximum(start, offsets[row])
-    for a in range(0, len(item), WINDOWS_AT_ONCE):
-        k, s, r = item[a : a + WINDOWS_AT_ONCE], start[a : a + WINDOWS_AT_ONCE], row[a : a + WINDOWS_AT_ONCE]
-        cells = s[:, None] + np.arange(int(index.sizes[k].max()))
-        ends = np.minimum(offsets[r + 1], s + index.sizes[k])[:, None]
-        windows = np.where(cells < ends, buf[np.minimum(cells, len(buf) - 1)], 0)
-        for i in np.flatnonzero(index.alike(k, windows)).tolist():
-            verify(int(k[i]), int(s[i]), int(r[i]))
+    limits = np.asarray(index.max_edits, np.int64)[item]
+    begin, end = np.maximum(offsets[row], start - limits - MARGIN), np.minimum(offsets[row + 1], start + size + 2 * limits + MARGIN)
+    for i in np.flatnonzero(near(index.texts, item, limits, buf, begin, end)).tolist():
+        verify(int(item[i]), int(start[i]), int(row[i]))
     for k, t in enumerate(index.texts):  # items too short for a gram: half of them is found as it is
         if len(t) < GRAM:
             half = t if not index.max_edits[k] else t[: len(t) // 2]

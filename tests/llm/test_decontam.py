@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scrubspark.llm import decontam as dc
@@ -79,6 +80,39 @@ def test_recall_and_precision_on_edited_passages(spark):
         assert least_edits(by[i], docs[d][1]) <= int(share * len(by[i]))
 
 
+def at_limit(rng, item, kind):
+    """``item`` with as many random edits of one kind as the limit allows."""
+    s = list(item)
+    for _ in range(int(dc.MAX_EDITS * len(item))):
+        at = rng.randrange(len(s))
+        if kind == "insert":
+            s.insert(at, rng.choice("abcdefgh "))
+        elif kind == "delete":
+            del s[at]
+        else:
+            s[at] = rng.choice("abcdefgh ")
+    return "".join(s)
+
+
+def found_share(items, middles, rng):
+    """Share of (item, middle) whose item is found, the middle set in other text; edits must be the fewest."""
+    index = dc.ItemIndex.build(list(enumerate(items)), dc.MAX_EDITS)
+    noise = lambda: "".join(rng.choice("etaoinshrdlu ") for _ in range(300))
+    texts = [noise() + " " + m + " " + noise() for m in middles]
+    got = {(r, k): e for r, k, e, _, _ in dc.find_in(index, pa.array(texts))}
+    for r, k in got:
+        assert got[r, k] == least_edits(items[k], texts[r]) <= int(dc.MAX_EDITS * len(items[k]))
+    return sum((r, r) in got for r in range(len(items))) / len(items)
+
+
+@pytest.mark.parametrize("kind", ["insert", "delete", "substitute"])
+@pytest.mark.parametrize("size", [240, 390, 1200, 3000])
+def test_recall_at_the_limit(kind, size):
+    rng = random.Random(size)
+    items = ["".join(rng.choice("etaoinshrdlu  ") for _ in range(size)) for _ in range(max(2, 6000 // size))]
+    assert found_share(items, [at_limit(rng, t, kind) for t in items], rng) == 1
+
+
 def test_query_on_whole_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
