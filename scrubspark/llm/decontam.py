@@ -1,10 +1,14 @@
-"""Benchmark decontamination: shared grams and exact edit distance.
-
-A window of a document is as long as the item. Of all offsets, those are looked at where
-the window shares enough 10-byte grams with the item on about the same diagonal; the gram's
-places give the window's offset. Each of these windows is verified by the exact edit distance
-of the item to the best place around it, many windows at a time; no sampled comparison (as
-an embedding with locality-sensitive hashing) comes between, so none is lost there.
+"""Benchmark decontamination: disjoint pieces and exact edit distance, without loss.
+
+An item of n bytes may have k edits. Of p disjoint pieces of it, k edits spoil at most k: a
+place within the limit holds at least p - k pieces as they are, and their diagonals (place
+in the text minus place in the item) differ by at most k, as each step between diagonals is
+an edit. So an item is looked for where that many different pieces lie in two neighbouring
+cells of k + 1 diagonals; no place within the limit is missed, whatever the kinds of edits.
+Pieces are as long as leaves enough of them to tell places apart. Items of more than
+``PART`` bytes are cut into parts: one of j parts has at most k / j of the edits, so each
+part is looked for with that limit. Stretches found are verified by the exact edit distance,
+many at a time: first of the part, then of the item.
 
 Every document is read once, by one task, and meets the items of one block at a time;
 a block of items has a bounded size, so what is broadcast does not grow with the table.
@@ -28,14 +32,12 @@ from scrubspark.llm.common import small_batches, text_buffer
 
 MAX_EDITS = 0.15  # edits allowed, as a share of the item's bytes
 ITEM_BLOCK_BYTES = 2 << 20  # text of the items that are broadcast together
-GRAM = 10
-MARGIN = 16  # bytes around a window in which its item is placed, besides the edits
-BAND = 64  # diagonals that count as about the same
-TABLE_BITS = 22
-HIT_BYTES = 25  # a window needs a shared gram for each so many bytes of its item
-HITS_AT_ONCE = 1 << 20
+PART = 400  # bytes of an item that are looked for together, at most
+LONGEST = 8  # bytes of a piece, at most
+SPARE_BYTES = 25  # a piece more than the edits for each so many bytes, where the size allows
+HITS_AT_ONCE = 1 << 17
 WINDOWS_AT_ONCE = 1 << 12
-_K = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_K = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = bytes(32 if chr(b) in "\t\n\v\f\r " else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -43,46 +45,92 @@ def fold(raw: bytes) -> bytes:
     return raw.translate(_FOLD)
 
 
-def gram_hashes(buf: np.ndarray) -> np.ndarray:
-    """Hash of the 10 bytes at every offset that has them."""
-    n = len(buf) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    words = np.ndarray((len(buf) - 7,), "<u8", buffer=np.ascontiguousarray(buf), strides=(1,))
-    h = words[:n] * _K[0]
-    h ^= h >> np.uint64(32)
-    h += words[2 : n + 2]
-    h *= _K[1]
-    return h
+def piece_size(size: int, limit: int) -> int:
+    """Bytes of the pieces of a part: the most that leave enough pieces whole after ``limit`` edits."""
+    for least in (max(1, size // SPARE_BYTES), 1):
+        for q in range(min(LONGEST, size), 0, -1):
+            if size // q - limit >= least:
+                return q
+    raise ValueError("the limit must be below the size")
+
+
+@dataclass
+class Pieces:
+    """The pieces of one length: their bytes as numbers, and the part and place of each."""
+
+    size: int
+    table: np.ndarray  # a key with these top bits of the hash, or -1
+    shift: np.uint64
+    keys: np.ndarray  # different pieces, sorted
+    first: np.ndarray  # (keys + 1) first posting of each
+    part: np.ndarray
+    place: np.ndarray
+    need: int  # least need of a part that has them
+
+    @classmethod
+    def build(cls, q: int, rows: list[tuple[int, int, int]], need: np.ndarray) -> Pieces:
+        rows = sorted(rows)  # (number, part, place)
+        number, part, place = np.asarray([r[0] for r in rows], np.uint64), *np.asarray([r[1:] for r in rows], np.int64).T
+        keys, first = np.unique(number, return_index=True)
+        shift = np.uint64(64 - max(12, (16 * len(keys)).bit_length()))
+        table = np.full(1 << int(64 - shift), -1, np.int32)
+        table[(keys * _K >> shift).astype(np.int64)] = np.arange(len(keys))
+        return cls(q, table, shift, keys, np.append(first, len(rows)), part, place, int(need[part].min()))
+
+    def hits(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(offset, first posting, postings) of the offsets of ``buf`` that hold a piece."""
+        n = len(buf) - self.size + 1
+        if n <= 0:
+            return (np.zeros(0, np.int64),) * 3
+        padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+        mask = np.uint64((1 << 8 * self.size) - 1)
+        kept = []
+        for a in range(0, n, 1 << 18):
+            b = min(n, a + (1 << 18))
+            number = np.ndarray((b - a,), "<u8", buffer=padded, offset=a, strides=(1,)) & mask
+            k = self.table.take((number * _K >> self.shift).view(np.int64))
+            at = np.flatnonzero(k >= 0)
+            number, k = number[at], k[at]
+            same = self.keys[k] == number
+            other = np.flatnonzero(~same)  # keys that share the top bits
+            k[other] = np.minimum(np.searchsorted(self.keys, number[other]), len(self.keys) - 1)
+            same[other] = self.keys[k[other]] == number[other]
+            kept.append(np.stack([at[same] + a, k[same]]))
+        at, k = np.concatenate(kept, axis=1)
+        return at, self.first[k], self.first[k + 1] - self.first[k]
 
 
 @dataclass
 class ItemIndex:
-    """What a task needs of a block of items: texts and grams."""
+    """What a task needs of a block of items: texts, parts and pieces."""
 
     ids: list
     texts: list[bytes]
     max_edits: list[int]
-    table: np.ndarray  # gram filter, by the top bits of the hash
-    grams: np.ndarray  # sorted hashes, with the item and place of each
-    gram_item: np.ndarray
-    gram_place: np.ndarray
-    sizes: np.ndarray  # bytes of each item
+    parts: list[bytes]
+    item: np.ndarray  # of each part: its item,
+    lead: np.ndarray  # its place in it,
+    limits: np.ndarray  # its edits,
+    need: np.ndarray  # and pieces that a place of it holds at least
+    pieces: list[Pieces]
 
     @classmethod
     def build(cls, rows: list[tuple], max_edits: float) -> ItemIndex:
         kept = [(i, t) for i, raw in rows if (t := fold((raw or "").encode())).strip()]
         texts = [t for _, t in kept]
-        hashes = [gram_hashes(np.frombuffer(t, np.uint8)) for t in texts]
-        flat = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-        order = np.argsort(flat, kind="stable")
-        item = np.repeat(np.arange(len(texts)), [len(h) for h in hashes])
-        place = np.concatenate([*[np.arange(len(h)) for h in hashes], np.zeros(0, np.int64)])
-        table = np.zeros(1 << TABLE_BITS, np.bool_)
-        table[(flat >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-        sizes = np.asarray([len(t) for t in texts], np.int64)
-        limits = [int(max_edits * len(t)) for t in texts]
-        return cls([i for i, _ in kept], texts, limits, table, flat[order], item[order], place[order], sizes)
+        edits = [int(max_edits * len(t)) for t in texts]
+        parts, about, found = [], [], {}
+        for i, (t, k) in enumerate(zip(texts, edits)):
+            count = -(-len(t) // PART)
+            cuts = [j * len(t) // count for j in range(count + 1)]
+            for a, b in zip(cuts, cuts[1:]):
+                part, limit = t[a:b], k // count
+                q = piece_size(b - a, limit)
+                found.setdefault(q, []).extend((int.from_bytes(part[p : p + q], "little"), len(parts), p) for p in range(0, len(part) - q + 1, q))
+                about.append((i, a, limit, len(part) // q - limit))
+                parts.append(part)
+        item, lead, limits, need = np.asarray(about, np.int64).reshape(-1, 4).T
+        return cls([i for i, _ in kept], texts, edits, parts, item, lead, limits, need, [Pieces.build(q, found[q], need) for q in sorted(found)])
 
 
 def near(patterns: list[bytes], which: np.ndarray, limits: np.ndarray, buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -168,81 +216,81 @@ def best_match(item: bytes, text: bytes, limit: int) -> tuple[int, int, int] | N
     return edits, end - size, end
 
 
-def windows_of(index: ItemIndex, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(item, start) of windows that share grams with an item on about one diagonal; starts
-    are offsets into ``buf`` and may lie before their text."""
-    h = gram_hashes(buf)
-    at = np.flatnonzero(index.table[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
-    low = np.searchsorted(index.grams, h[at], "left")
-    times = np.searchsorted(index.grams, h[at], "right") - low
-    inside = (times > 0) & (np.searchsorted(offsets, at, "right") == np.searchsorted(offsets, at + GRAM - 1, "right"))
-    at, low, times = at[inside], low[inside], times[inside]
-    kept = []
-    ends = np.cumsum(times)
-    first = 0
-    reach = int(index.sizes.max(initial=0))
-    wide = (len(buf) + 2 * reach) // (BAND // 2) + 2
-    while first < len(at):  # postings of some hits at a time
-        last = max(first + 1, int(np.searchsorted(ends, ends[first] - times[first] + HITS_AT_ONCE, "right")))
-        t = times[first:last]
-        which = np.repeat(np.arange(first, last), t)
-        post = low[which] + np.arange(len(which)) - np.repeat(np.cumsum(t) - t, t)
-        item, place = index.gram_item[post], index.gram_place[post]
-        start = at[which] - place
-        for half in (0, 1):  # bands overlap by half, so no diagonal lies at an edge of both
-            band = item * wide + ((start + reach + half * (BAND // 2)) // BAND) * 2 + half
-            order = np.lexsort((place, band))
-            b = band[order]
-            head = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-            kept.append(np.stack([b[head], np.diff(np.append(head, len(b))), place[order][head], start[order][head], item[order][head]]))
-        first = last
-    if not kept:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    band, hits, place, start, item = np.concatenate(kept, axis=1)
-    order = np.lexsort((place, band))
-    band, hits, start, item = band[order], hits[order], start[order], item[order]
-    head = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
-    if not len(head):
-        return head, head
-    size = index.sizes[item[head]]
-    on = np.add.reduceat(hits, head) >= np.where(size < 2 * HIT_BYTES, 1, np.maximum(2, size // HIT_BYTES))
-    pairs = np.unique(np.stack([item[head][on], start[head][on]]), axis=1)
-    return pairs[0], pairs[1]
+def places_of(index: ItemIndex, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(part, row, low, high): where a part may start, from ``low`` to ``high``; offsets into
+    ``buf`` that may lie outside their row. No place within the part's limit is left out."""
+    width = index.limits + 1  # diagonals of a cell
+    if not len(width):
+        return np.zeros((4, 0), np.int64)
+    most = int(width.max())
+    begin = offsets[:-1] + np.arange(len(offsets) - 1) * (PART + 3 * most)  # rows set apart, so that none shares cells
+    apart = np.repeat(begin - offsets[:-1], np.diff(offsets))
+    end = len(buf) + len(offsets) * (PART + 3 * most) + PART
+    cells = end // width + 3
+    base = np.cumsum(cells) - cells  # first cell of each part
+    span = PART + most  # bytes of a place of a part, at most
+    kept = [np.zeros((4, 0), np.int64)]
+    for own in index.pieces:
+        at, low, times = own.hits(buf)
+        bits = (PART // own.size).bit_length()
+        key_of = base[own.part] << bits | own.place // own.size
+        width_of, back = width[own.part], PART - own.place
+        ends = np.cumsum(times)
+        first = 0
+        while first < len(at):  # postings of some hits at a time; slices overlap by a place
+            last = int(np.searchsorted(ends, ends[first] - times[first] + HITS_AT_ONCE, "right"))
+            last = max(last, int(np.searchsorted(at, at[first] + 2 * span)))
+            t = times[first:last]
+            post = np.arange(int(t.sum())) + np.repeat(low[first:last] - (np.cumsum(t) - t), t)
+            start = np.repeat(at[first:last] + apart[at[first:last]], t) + back[post]
+            key = key_of[post] + (start // width_of[post] << bits)
+            key.sort()
+            key = key[np.concatenate([[True], key[1:] != key[:-1]])] >> bits  # a piece counts once in a cell
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            cell, held = key[head], np.diff(np.append(head, len(key)))
+            held[:-1] += np.where(cell[1:] == cell[:-1] + 1, held[1:], 0)
+            some = held >= own.need
+            cell, held = cell[some], held[some]
+            part = np.searchsorted(base, cell, "right") - 1
+            on = held >= index.need[part]
+            part, cell = part[on], (cell - base[part])[on]
+            row = np.searchsorted(begin, (cell + 1) * width[part] - 1, "right") - 1
+            start = cell * width[part] - PART - (begin - offsets[:-1])[row]
+            kept.append(np.stack([part, row, start, start + 2 * width[part] - 1]))
+            if last >= len(at):
+                break
+            first = int(np.searchsorted(at, at[last] - span))
+    return np.unique(np.concatenate(kept, axis=1), axis=1)
 
 
 def find_in(index: ItemIndex, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
-    """(row, item, edits, start, end): the best place of every item in every text that holds it."""
+    """(row, item, edits, start, end): the best place of every item in every text that holds it;
+    of equally good ones the first end, and for it the shortest place."""
     buf, offsets = text_buffer(texts)
     raw = fold(buf.tobytes())
     buf = np.frombuffer(raw, np.uint8)
-    item, start = windows_of(index, buf, offsets)
+    part, row, low, high = places_of(index, buf, offsets)
+    limits, sizes = index.limits[part], np.asarray([len(p) for p in index.parts], np.int64)[part]
+    on = near(index.parts, part, limits, buf, np.maximum(offsets[row], low - limits), np.minimum(offsets[row + 1], high + sizes + limits))
+    part, row, low, high = part[on], row[on], low[on], high[on]
+    item = index.item[part]
+    edits, sizes = (np.asarray(x, np.int64)[item] for x in (index.max_edits, [len(t) for t in index.texts]))
+    begin = np.maximum(offsets[row], low - index.lead[part] - edits)
+    end = np.minimum(offsets[row + 1], high - index.lead[part] + sizes + edits)
+    stretches: list[list[int]] = []  # those of one row and item that overlap are read as one
+    for r, k, a, b in sorted(zip(row.tolist(), item.tolist(), begin.tolist(), end.tolist())):
+        if stretches and stretches[-1][:2] == [r, k] and a <= stretches[-1][3]:
+            stretches[-1][3] = max(b, stretches[-1][3])
+        else:
+            stretches.append([r, k, a, b])
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    cuts = offsets.tolist()
-
-    def verify(k: int, at: int, row: int) -> None:
-        t, edits = index.texts[k], index.max_edits[k]
-        a, b = max(cuts[row], at - edits - MARGIN), min(cuts[row + 1], at + len(t) + 2 * edits + MARGIN)
-        found = best_match(t, raw[a:b], edits) if a < b else None
+    for r, k, a, b in stretches:
+        found = best_match(index.texts[k], raw[a:b], index.max_edits[k])
         if found:
-            place = (found[0], found[1] + a - cuts[row], found[2] + a - cuts[row])
-            best[row, k] = min(best.get((row, k), place), place)
-
-    size = index.sizes[item]
-    # the row of the window's middle; the window itself stays inside its row where it can
-    row = np.searchsorted(offsets, np.clip(start + size // 2, 0, max(len(buf) - 1, 0)), "right") - 1
-    limits = np.asarray(index.max_edits, np.int64)[item]
-    begin, end = np.maximum(offsets[row], start - limits - MARGIN), np.minimum(offsets[row + 1], start + size + 2 * limits + MARGIN)
-    for i in np.flatnonzero(near(index.texts, item, limits, buf, begin, end)).tolist():
-        verify(int(item[i]), int(start[i]), int(row[i]))
-    for k, t in enumerate(index.texts):  # items too short for a gram: half of them is found as it is
-        if len(t) < GRAM:
-            half = t if not index.max_edits[k] else t[: len(t) // 2]
-            for piece, lead in ((half, 0), (t[len(half) :], len(half))):
-                at = raw.find(piece) if piece else -1
-                while at >= 0:
-                    verify(k, at - lead, int(np.searchsorted(offsets, at, "right")) - 1)
-                    at = raw.find(piece, at + 1)
-    return [(r, k, *found) for (r, k), found in sorted(best.items())]
+            a -= int(offsets[r])
+            place = (found[0], found[2] + a, -found[1] - a)
+            best[r, k] = min(best.get((r, k), place), place)
+    return [(r, k, e, -start, stop) for (r, k), (e, stop, start) in sorted(best.items())]
 
 
 def _blocks(items: DataFrame, max_edits: float) -> Iterator[ItemIndex]:

@@ -113,6 +113,36 @@ def test_recall_at_the_limit(kind, size):
     assert found_share(items, [at_limit(rng, t, kind) for t in items], rng) == 1
 
 
+@pytest.mark.parametrize("size", [5, 7, 10, 14, 19, 20, 34, 60, 200, 399, 401, 1500])
+def test_no_place_within_the_limit_is_lost(size):
+    rng = random.Random(size)
+    items = ["".join(rng.choice("etaoinshrdlu  ") for _ in range(size - 1)) + "." for _ in range(20)]
+    k = int(dc.MAX_EDITS * size)
+    apart = [{(i + 1) * size // (k + 1) for i in range(k)} for _ in items]  # edits as far from each other as can be
+    spread = ["".join("#" if i in at else c for i, c in enumerate(t)) for t, at in zip(items, apart)]
+    assert found_share(items, spread, rng) == 1
+    for kind in ("insert", "delete", "substitute"):
+        assert found_share(items, [at_limit(rng, t, kind) for t in items], rng) == 1
+
+
+def test_a_substitution_in_every_tenth_byte():
+    rng = random.Random(5)
+    items = ["".join(rng.choice("etaoinshrdlu  ") for _ in range(200)) for _ in range(10)]
+    assert found_share(items, ["".join("#" if i % 10 == 9 else c for i, c in enumerate(t)) for t in items], rng) == 1
+
+
+def test_all_pairs_against_edit_distance(monkeypatch):
+    monkeypatch.setattr(dc, "HITS_AT_ONCE", 50)
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("ab ") for _ in range(n))
+    items = [t for n in (1, 3, 6, 7, 9, 13, 14, 20, 27, 40) for t in (text(n) for _ in range(4))]
+    docs = [text(rng.randrange(0, 120)) for _ in range(60)] + ["", None, "a" * 300]
+    index = dc.ItemIndex.build(list(enumerate(items)), dc.MAX_EDITS)
+    got = {(r, index.ids[k]): e for r, k, e, _, _ in dc.find_in(index, pa.array(docs))}
+    want = {(r, i): e for r, d in enumerate(docs) for i, t in enumerate(items) if t.strip() and (e := least_edits(t, d)) <= int(dc.MAX_EDITS * len(t))}
+    assert want and got == want
+
+
 def test_query_on_whole_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
