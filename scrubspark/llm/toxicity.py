@@ -91,6 +91,7 @@ MACHINES = (
     Transducer(0, {(0, REPORTS): 1, (0, QUOTE): 1, (1, INSULT): 2, (1, THREATS): 2}, (0, 0, 1)),
 )
 PATTERNS = {p: i for i, p in enumerate(product(*(range(max(m.meaning) + 1) for m in MACHINES)))}
+CONTEXTS = len(PATTERNS) // (max(MACHINES[0].meaning) + 1)  # patterns apart from the number of insults, which comes first
 
 
 def compose(machines: tuple[Transducer, ...] = MACHINES) -> tuple[list[list[int]], list[int]]:
@@ -164,20 +165,26 @@ class Grammar:
             yield low[begin:done]
 
     def patterns(self, text: str) -> dict[int, float]:
-        """pattern -> weight of the clauses that hold an insult or a threat. A word weighs
-        where it comes first; a line that is repeated many times says no more than once."""
+        """pattern -> weight of the clauses that hold an insult or a threat. A word weighs once
+        in each context (the pattern without its number of insults), so a line that is repeated
+        many times says no more than once, but an attack after a quoted or negated word counts.
+        A clause without a new word still counts, in full, where its pattern is new."""
         found: dict[int, float] = {}
-        heard: set[str] = set()
+        heard: set[tuple[str, int]] = set()
         for clause in self.clauses(text):
-            state, weight = 0, 0.0
+            state, words = 0, {}
             for token in _token.findall(clause):
                 c, w = self.arc(token)
-                if w and token not in heard:
-                    heard.add(token)
-                    weight += w
+                if w:
+                    words[token] = w
                 state = self.table[state][c]
+            p = self.pattern[state]
+            context = p % CONTEXTS
+            weight = sum(w for token, w in words.items() if (token, context) not in heard)
+            if words and not weight and p not in found:
+                weight = sum(words.values())
+            heard.update((token, context) for token in words)
             if weight:
-                p = self.pattern[state]
                 found[p] = found.get(p, 0.0) + weight
         return found
 

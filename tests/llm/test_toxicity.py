@@ -57,6 +57,21 @@ def test_clause_patterns(text, want):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("He said: you are not an idiot. You are an idiot.", {(1, 0, 1, 1, 0): 2.0, (1, 0, 1, 0, 0): 2.0}),
+        ("She wrote you are an idiot. You are an idiot. You are an idiot.", {(1, 0, 1, 0, 1): 2.0, (1, 0, 1, 0, 0): 2.0}),
+        ("To kill time. I will kill you.", {(0, 1, 0, 0, 0): 3.0, (0, 1, 1, 0, 0): 3.0}),
+        ("I kill. Idiot! Kill the idiot", {(0, 1, 0, 0, 0): 3.0, (1, 0, 0, 0, 0): 2.0, (1, 1, 0, 0, 0): 2.0}),
+        ("Idiot. Fool. Idiot fool. Fool idiot.", {(1, 0, 0, 0, 0): 3.0, (2, 0, 0, 0, 0): 3.0}),
+    ],
+)
+def test_every_different_clause_counts(text, want):
+    got = tx.Grammar({"idiot": 2.0, "fool": 1.0}).patterns(text)
+    assert got == {tx.PATTERNS[p]: w for p, w in want.items()}
+
+
 def test_edges_of_input(spark):
     docs = spark.createDataFrame([(1, None, 0.0), (1, None, 0.0), (None, "you idiot", 1.0), (2, "", 2.0), (3, "a " * 40000 + "idiot", 3.0)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, toxic int, text string")
