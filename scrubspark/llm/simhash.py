@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from scrubspark.llm.common import checkpointed, small_batches, str_list, union_min_labels, word_parts
 
@@ -158,31 +159,55 @@ def near_duplicates(
     null); repeated rows each come out; an empty table gives an empty frame; columns
     other than the two named are ignored.
     """
+    found = _components(docs, doc_id, text, shingle_words, max_bits)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _components(docs: DataFrame, doc_id: str, text: str, shingle_words: int, max_bits: int) -> DataFrame:
+    """(fp, doc_id, root, component_id): as ``near_duplicates``; root, the smallest fingerprint
+    of the component, tells components of one name apart."""
     rows = checkpointed(fingerprints(docs, doc_id, text, shingle_words))
     fps = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = union_min_labels(near_links(fps.select("fp"), max_bits))
     linked = fps.join(roots, F.col("fp") == F.col("node"))
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(names, "root").select("fp", "component_id")
-    table = fps.join(named, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
+    named = linked.join(names, "root").select("fp", "root", "component_id")
+    table = fps.join(named, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
     # a fingerprint that more than one in HOT_SHARE rows has goes by broadcast: there are fewer than HOT_SHARE
     most = (fps.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE
-    hot = F.broadcast(checkpointed(table.filter(F.col("n") > most).select("fp", "component_id")))
-    cold = table.filter(F.col("n") <= most).select("fp", "component_id")
-    found = rows.join(hot, "fp").unionByName(rows.join(hot.select("fp"), "fp", "left_anti").join(cold, "fp"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    hot = F.broadcast(checkpointed(table.filter(F.col("n") > most).select("fp", "root", "component_id")))
+    cold = table.filter(F.col("n") <= most).select("fp", "root", "component_id")
+    return rows.join(hot, "fp").unionByName(rows.join(hot.select("fp"), "fp", "left_anti").join(cold, "fp"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one document of each component, the one of the smallest doc_id.
 
-    All columns stay. Of repeated rows of that id one stays. Rows without doc_id
-    cannot be told apart and all stay.
+    All columns stay. Of rows with one id, those of one component give the row of the least
+    text (then of the least row as JSON); unlike texts with one id each stay. Rows without
+    doc_id cannot be told apart and all stay.
     """
-    found = near_duplicates(docs, shingle_words=shingle_words, max_bits=max_bits)
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    found = checkpointed(_components(docs, "doc_id", "text", shingle_words, max_bits))
+    own = F.col("doc_id") == F.col("component_id")
+    keep = checkpointed(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(own).alias("own")).filter("own"))
+    out = docs.join(keep.filter("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    many = keep.filter("n > 1").select("doc_id")
+    if many.isEmpty():
+        return out
+    at, names = docs.columns.index("text"), [f"c{i}" for i in range(len(docs.columns))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.asarray([fingerprint(t, shingle_words) for t in str_list(b.column(at))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*names, "fp"])
+
+    rows = docs.join(many, "doc_id", "left_semi").select(*docs.columns).toDF(*names)
+    rows = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("fp", LongType())]))
+    named = found.filter(own).select("doc_id", "fp", "root").distinct()
+    joined = rows.join(named, (rows[names[docs.columns.index("doc_id")]].cast("long") == named["doc_id"]) & (rows["fp"] == named["fp"]))
+    whole = F.struct(*names)
+    first = joined.groupBy("doc_id", "root").agg(F.min_by(whole, F.struct(names[at], F.to_json(whole))).alias("r"))
+    return out.unionByName(first.select(*[F.col(f"r.{n}").alias(c) for n, c in zip(names, docs.columns)]))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

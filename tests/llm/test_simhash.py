@@ -92,3 +92,13 @@ def test_edges_of_input(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [2, 4, None, None]
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
     assert simhash.drop_near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_unlike_texts_with_one_id_all_stay(spark):
+    a, near, other, third = (" ".join(f"{w}{i}" for i in range(60)) for w in ("alpha", "alpha", "beta", "gamma"))
+    rows = [(5, a, "x"), (5, near, "w"), (5, other, "y"), (5, third, "z"), (3, third, "v"), (7, a, "u"), (8, other, "t"), (None, a, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    for parts in (1, 4):
+        kept = simhash.drop_near_duplicates(docs.repartition(parts))
+        assert kept.columns == docs.columns
+        assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([(5, near, "w"), (5, other, "y"), (3, third, "v"), (None, a, "s")], key=str)
