@@ -3,7 +3,21 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from scrubspark.llm import bpe, chat, decontam, language_id, license_scan, quality, simhash, suffix_dedup, toxicity, warc
+from scrubspark.llm import (
+    bpe,
+    chat,
+    decontam,
+    language_id,
+    license_scan,
+    phrases,
+    quality,
+    simhash,
+    suffix_dedup,
+    token_files,
+    toxicity,
+    vector_codes,
+    warc,
+)
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,6 +30,9 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
+    "op11_phrases": phrases.op11_phrases,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_token_files": token_files.op13_token_files,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -23,6 +40,8 @@ ORACLE = {
     "op3_license_scan": license_scan.OP3_SQL,
     "op5_chat_format": chat.OP5_SQL,
     "op7_warc": warc.OP7_SQL,
+    "op11_phrases": phrases.OP11_SQL,
+    "op12_vector_codes": vector_codes.OP12_SQL,
 }
 
 if corpus_pipeline.ORACLE_SQL:

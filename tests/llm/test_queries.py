@@ -15,4 +15,4 @@ def test_query_matches_oracle(spark, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(n.split("_")[0] for n in QUERIES) == sorted(["pipeline", *(f"op{k}" for k in range(1, 11))])
+    assert sorted(n.split("_")[0] for n in QUERIES) == sorted(["pipeline", *(f"op{k}" for k in range(1, 14))])
