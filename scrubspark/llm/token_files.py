@@ -26,6 +26,7 @@ are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import zlib
@@ -33,12 +34,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubspark.llm.common import small_batches, str_list
+from scrubspark.llm.bpe import byte_letters
+from scrubspark.llm.common import small_batches, text_buffer
 from scrubspark.session import shared_folder
 
 END_ID = 1
@@ -46,12 +49,15 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 500  # documents of a page, at most
 MODEL_BYTES = 64 << 20  # largest tokenizer file that is sent to the tasks
-MEMO_WORDS = 200_000  # words that a worker remembers, in each of two generations
-MEMO_BYTES = 200  # longer words are encoded anew each time
-ENCODE_BYTES = 4 << 20  # text that goes to the library at a time, if one text is not longer
+MEMO_WORDS = 400_000  # words after which a worker begins its memory anew
+ENCODE_BYTES = 2 << 20  # text whose words are looked up together, if one text is not longer
+LIBRARY_TEXTS = 10_000  # words that go to the library at a time
 OWN = ("doc_id", "part", "start_in_part", "n_tokens", "ids")
 
-# Fixed value: a pattern of words that white space always ends.
+MARKS = b".,;:!?)"
+
+# Fixed value: a pattern of words that white space always ends, and in which a mark behind a
+# letter begins a word (but for the apostrophe).
 WORDS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -90,67 +96,121 @@ class Encoder:
         self.tokenizer = Tokenizer.from_buffer(model)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.by_word = splits_at_blanks(json.loads(model))
-        self.new: dict[bytes, np.ndarray] = {}
-        self.old: dict[bytes, np.ndarray] = {}
-
-    def _library(self, texts: list[str]) -> list[np.ndarray]:
-        out, held, size = [], [], 0
-        for k, t in enumerate(texts):
-            held.append(t)
-            size += len(t)
-            if size >= ENCODE_BYTES or k == len(texts) - 1:
-                out += [np.asarray(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(held, add_special_tokens=False)]
-                held, size = [], 0
-        return out
-
-    def _words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of different words."""
-        found = []
-        for w in words:
-            ids = self.new.get(w)
-            if ids is None and (ids := self.old.get(w)) is not None:
-                self.new[w] = ids
-            found.append(ids)
-        missing = [k for k, ids in enumerate(found) if ids is None]
-        for k, ids in zip(missing, self._library([words[k].decode() for k in missing])):
-            found[k] = ids
-            if len(words[k]) <= MEMO_BYTES:
-                self.new[words[k]] = ids
-        if len(self.new) > MEMO_WORDS:
-            self.old, self.new = self.new, {}
-        return found
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end, and the number of each text's."""
+        spec = json.loads(model)
+        self.by_word = splits_at_blanks(spec)
+        steps = (spec.get("normalizer") or {}).get("normalizers", [])
+        self.folds = any(s["type"] == "Lowercase" for s in steps)
+        self.added = [a["content"].lower().encode() for a in spec.get("added_tokens", [])]
+        # a word of small Latin letters is one piece that nothing but its bytes' letters changes
+        plain = all(s["type"] in ("NFC", "Lowercase", "Replace") for s in steps) and not any(a.decode().isalpha() for a in self.added)
+        bytewise = [p["type"] for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])] == ["Split", "ByteLevel"]
+        self.model = self.tokenizer.model if self.by_word and plain and bytewise else None
+        self.letters = "".join(byte_letters())
+        self.tails: dict[bytes, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.memo: dict[bytes, int] = {}  # word -> its number
+        self.pool = np.zeros(1 << 16, np.int32)  # ids of the words, end to end
+        self.starts = np.zeros(1 << 14, np.int64)  # where each word's begin; one more for the end
+
+    def _library(self, texts: list[str]) -> Iterator[list[int]]:
+        first = 0
+        while first < len(texts):
+            last, size = first, 0
+            while last < len(texts) and last - first < LIBRARY_TEXTS and size < ENCODE_BYTES:
+                size += len(texts[last])
+                last += 1
+            for e in self.tokenizer.encode_batch_fast(texts[first:last], add_special_tokens=False):
+                yield e.ids
+            first = last
+
+    def _latin(self, word: bytes) -> list[int] | None:
+        """Ids of a word of small Latin letters and marks behind them; None for another."""
+        core = word.rstrip(MARKS)
+        text = core.decode()
+        if not text.isalpha() or text != text.lower() or max(text) >= "\u0250":
+            return None
+        tail = word[len(core) :]
+        if tail and (not text[-1].isascii()):
+            return None  # kept for the library: the letter before the marks may be none to it
+        ids = [t.id for t in self.model.tokenize(core.decode("latin-1").translate(self.letters))]
+        if tail:
+            if tail not in self.tails:
+                self.tails = {} if len(self.tails) > LIBRARY_TEXTS else self.tails
+                self.tails[tail] = next(self._library([tail.decode()]))
+            ids += self.tails[tail]
+        return ids
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """Number of each of some different words; new ones are encoded."""
+        numbers = [self.memo.get(w, -1) for w in words]
+        missing = [k for k, n in enumerate(numbers) if n < 0]
+        n = len(self.memo)
+        if n + len(missing) >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(max(len(self.starts), len(missing) + 1), np.int64)])
+        found = [self._latin(words[k]) if self.model else None for k in missing]
+        rest = self._library([words[k].decode() for k, ids in zip(missing, found) if ids is None])
+        end, flat, ends = int(self.starts[n]), [], []
+        for ids in found:
+            flat += next(rest) if ids is None else ids
+            ends.append(end + len(flat))
+        if end + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(flat)), np.int32)])
+        self.pool[end : end + len(flat)] = flat
+        self.starts[n + 1 : n + 1 + len(ends)] = ends
+        for new, k in enumerate(missing, n):
+            self.memo[words[k]] = numbers[k] = new
+        return np.asarray(numbers, np.int64)
+
+    def _folded(self, texts: pa.Array, raw: bytes) -> pa.Array:
+        """Texts with small A-Z, so that more words are equal, if the tokenizer folds them too, no
+        mark to compose is there (U+0300 to U+037F have the bytes CC and CD) and no added token
+        could arise. ``raw`` holds their bytes."""
+        if self.folds and b"\xcc" not in raw and b"\xcd" not in raw:
+            small = raw.lower()
+            if not any(a in small for a in self.added):
+                return pc.ascii_lower(texts)
+        return texts
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end, and the number of each text's (null: empty)."""
+        texts = texts.fill_null("")
         if not self.by_word:
-            each = self._library(texts)
+            each = [np.asarray(ids, np.int32) for ids in self._library(texts.to_pylist())]
             return np.concatenate([np.zeros(0, np.int32), *each]), np.asarray([len(e) for e in each], np.int64)
         flat, counts = [], np.zeros(len(texts), np.int64)
+        buf, offsets = text_buffer(texts)
         first = 0
         while first < len(texts):  # some texts at a time, so that their words are few enough to hold
-            last, size, words, per_text = first, 0, [], []
-            while last < len(texts) and (last == first or size + len(texts[last]) <= ENCODE_BYTES):
-                own = texts[last].encode().split()  # ASCII white space
-                words += own
-                per_text.append(len(own))
-                size += len(texts[last])
-                last += 1
-            coded = pa.array(words, pa.binary()).dictionary_encode()
-            ids = self._words(coded.dictionary.to_pylist())
-            sizes = np.asarray([len(i) for i in ids], np.int64)
-            pool = np.concatenate([np.zeros(0, np.int32), *ids])
-            which = coded.indices.to_numpy()
-            n = sizes[which]
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + ENCODE_BYTES, "right")) - 1)
+            own = self._folded(texts[first:last], buf[offsets[first] : offsets[last]].tobytes())
+            words = pc.ascii_split_whitespace(own)
+            coded = words.flatten().dictionary_encode()
+            if len(self.memo) > MEMO_WORDS:
+                self._forget()
+            number = self._numbers(coded.dictionary.cast(pa.binary()).to_pylist())[coded.indices.to_numpy()]
+            n = self.starts[number + 1] - self.starts[number]
             ends = np.cumsum(n)
-            from_ = (np.cumsum(sizes) - sizes)[which] - (ends - n)
-            flat.append(pool[np.repeat(from_, n) + np.arange(int(ends[-1]) if len(ends) else 0)])
-            bounds = np.cumsum([0, *per_text])
+            flat.append(self.pool[np.repeat(self.starts[number] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)])
+            bounds = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])
             counts[first:last] = np.diff(np.concatenate([[0], ends])[bounds])
             first = last
         return np.concatenate([np.zeros(0, np.int32), *flat]), counts
 
 
+_encoders: dict[bytes, Encoder] = {}
+
+
+def encoder_of(model: bytes) -> Encoder:
+    """The worker's encoder, which a later task of the same worker finds again with its words."""
+    key = hashlib.sha256(model).digest()
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(model)
+    return _encoders[key]
+
+
 def _model(path: str) -> bytes:
     with open(path, "rb") as f:
         raw = f.read(MODEL_BYTES + 1)
@@ -179,11 +239,11 @@ def write_tokens(
     schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), *keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, start, part = Encoder(shared.value), 0, TaskContext.get().partitionId()
+        encoder, start, part = encoder_of(shared.value), 0, TaskContext.get().partitionId()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            flat, counts = encoder.encode(str_list(batch.column(1)))
+            flat, counts = encoder.encode(batch.column(1))
             if end_id is not None:
                 flat = np.insert(flat, np.cumsum(counts), end_id)
                 counts += 1
