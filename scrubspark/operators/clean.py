@@ -7,14 +7,15 @@ Jobs, in order:
      duplicates removed and the dedup frame
   3. date detection on the deduplicated rows (hint ratio, then parse counts)
   4. numeric-text detection on the remaining text columns
-  5. converted rows: null counts, min/max/count of numeric columns
-  6. exact medians of the numeric columns that need filling (rank search)
+  5. converted rows: null counts, counts of numeric columns
+  6. exact medians of the numeric columns that need filling (radix selection), in their own types
 The cleaned table itself is one lazy projection over the persisted dedup frame.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from decimal import ROUND_HALF_EVEN, Context, Decimal
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -31,6 +32,10 @@ from scrubspark.plans.cleanplan import CleanPlan, ColumnDecision
 from scrubspark.session import persist_reliably
 
 
+#: Decimal digits that hold every value of a whole type.
+WHOLE_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
+
+
 def strip_columns(df: DataFrame) -> DataFrame:
     """Unicode whitespace stripped from every text column."""
     return df.select(
@@ -50,6 +55,51 @@ def strip_counts(df: DataFrame) -> dict[str, int]:
     return {c: int(r[f"s{i}"]) for i, c in enumerate(text)}
 
 
+def medians(df: DataFrame, counts: dict[str, int], exact: bool = True) -> dict[str, tuple]:
+    """Per column the two values around its median (equal ones if the number of values is odd),
+    in the column's own type; (None, None) if it has no values. ``counts``: values per column."""
+    live = [c for c, n in counts.items() if n]
+    out: dict[str, tuple] = {c: (None, None) for c in counts}
+    if not live:
+        return out
+    sel = []
+    for c in live:
+        dt = df.schema[c].dataType
+        own = qcol(c) if isinstance(dt, T.DecimalType) else qcol(c).cast("long") if isinstance(dt, stats.INTEGRAL_TYPES) else stats.numeric_value(df, c)
+        sel.append(own.alias(f"v{len(sel)}"))
+    # narrow, persisted for the few search passes (text is converted once, not once per pass)
+    proj = df.select(*sel).persist(StorageLevel.MEMORY_AND_DISK)
+    if exact:
+        ranks = [stats.median_ranks(counts[c]) for c in live]
+        found = stats.order_statistics(proj, {j: set(pair) for j, pair in enumerate(ranks)})
+        out |= {c: (found[j, ranks[j][0]], found[j, ranks[j][1]]) for j, c in enumerate(live)}
+    else:
+        r = proj.agg(*[F.percentile_approx(f"v{j}", 0.5).alias(f"v{j}") for j in range(len(live))]).first()
+        out |= {c: (r[j], r[j]) for j, c in enumerate(live)}
+    proj.unpersist()
+    return out
+
+
+def median_fill(low, high, dt: T.DataType) -> tuple[float | int | Decimal, T.DataType]:
+    """The mean of two values of a type and the type of the filled column.
+
+    Floating columns stay what they are. Whole and decimal ones stay what they are if the mean
+    is a value of the type; else they get one more decimal place, so that no digit of any cell
+    changes. Where 38 digits leave no room for it the mean is rounded, half to even."""
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return (0.0 if low is None else stats.lerp(low, high, 0.5)), dt
+    if low is None:
+        return 0, dt
+    precision, scale = (dt.precision, dt.scale) if isinstance(dt, T.DecimalType) else (WHOLE_DIGITS[type(dt)], 0)
+    wide = Context(prec=60)
+    mean = wide.divide(wide.add(Decimal(low), Decimal(high)), Decimal(2))
+    if mean == mean.quantize(Decimal(1).scaleb(-scale), context=wide):
+        return (int(mean) if not isinstance(dt, T.DecimalType) else mean), dt
+    if precision < 38:
+        return mean, T.DecimalType(precision + 1, scale + 1)
+    return mean.quantize(Decimal(1).scaleb(-scale), ROUND_HALF_EVEN, wide), dt
+
+
 @dataclass
 class CleanResult:
     table: DataFrame
@@ -161,7 +211,7 @@ def clean(df: DataFrame, exact: bool = True, checkpoint: bool = False) -> CleanR
     for f in converted.schema.fields:
         by_name[f.name].converted_dtype = f.dataType.simpleString()
 
-    # job 5: nulls after conversion + numeric count/min/max
+    # job 5: nulls after conversion and numbers per column
     numeric = [
         f.name
         for f in converted.schema.fields
@@ -170,34 +220,23 @@ def clean(df: DataFrame, exact: bool = True, checkpoint: bool = False) -> CleanR
     aggs = [F.count_if(is_missing(converted, c)).alias(f"m{i}") for i, c in enumerate(converted.columns)]
     for i, c in enumerate(numeric):
         x = stats.numeric_value(converted, c)
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        aggs.append(F.count(x).alias(f"n{i}"))
     r = converted.agg(*aggs).collect()[0]
     missing = {c: int(r[f"m{i}"]) for i, c in enumerate(converted.columns)}
 
-    # job 6: exact medians for numeric columns with missing values
+    # job 6: exact medians for numeric columns with missing values, in the columns' own types
     need = [c for c in numeric if missing[c] > 0]
-    medians: dict[str, float | None] = {}
-    if need:
-        # narrow doubles, persisted for the few search passes (the text
-        # conversions are evaluated once, not once per pass)
-        proj = stats.numeric_projection(converted, need).persist(StorageLevel.MEMORY_AND_DISK)
-        info = {}
-        for j, c in enumerate(need):
-            i = numeric.index(c)
-            info[j] = (int(r[f"n{i}"]), r[f"lo{i}"], r[f"hi{i}"])
-        q = stats.quantiles(spark, proj, info, [0.5], exact=exact)
-        medians = {c: q[j][0] for j, c in enumerate(need)}
-        proj.unpersist()
+    found = medians(converted, {c: int(r[f"n{numeric.index(c)}"]) for c in need}, exact)
 
     for f in converted.schema.fields:
         d = by_name[f.name]
         n_missing = missing[f.name]
         if f.name in numeric:
             d.fill = "median"
-            d.fill_value = medians.get(f.name)
             d.nulls_filled = n_missing
-            if n_missing and not isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-                d.converted_dtype = "double"
+            if f.name in found:
+                d.fill_value, kind = median_fill(*found[f.name], f.dataType)
+                d.converted_dtype = kind.simpleString()
         elif isinstance(f.dataType, T.StringType):
             d.fill = "unknown"
             d.nulls_filled = n_missing

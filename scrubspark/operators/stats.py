@@ -5,9 +5,8 @@
                    column (partial aggregation, one tiny exchange per batch).
 * ``pair_correlations``  one scan that adds up blocks of products of centred
                    values: pairwise-complete Pearson r of all columns.
-* ``quantiles``    exact linear-interpolated quantiles found by narrowing a
-                   bracket around each rank; passes are map-side aggregates,
-                   so no task ever holds a whole column.
+* ``quantiles``    exact linear-interpolated quantiles by radix selection of the
+                   ranks (``operators.ranks``): at most four scans for all columns.
 * ``bins``         one pass that assigns every value its histogram bin and
                    counts IQR outliers and box-plot whiskers per (column, bin).
 
@@ -27,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scrubspark.operators.ranks import order_statistics
+
 NUMERIC_TYPES = (
     T.ByteType,
     T.ShortType,
@@ -43,9 +44,6 @@ DATETIME_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 # Aggregate expressions per job; keeps generated code small for wide tables.
 _AGG_BATCH = 240
 
-# Steps of the approximate grid that narrows a quantile search.
-GRID = 256
-
 
 def qcol(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
@@ -249,7 +247,7 @@ def _virtual_index(n: int, p: float) -> float:
     return n * p + (1.0 + p * (1.0 - 1.0 - 1.0)) - 1.0
 
 
-def _lerp(a: float, b: float, t: float) -> float:
+def lerp(a: float, b: float, t: float) -> float:
     if a == b or t == 0.0:  # also keeps infinities, whose difference is no number
         return a
     diff = b - a
@@ -258,55 +256,9 @@ def _lerp(a: float, b: float, t: float) -> float:
     return a + diff * t
 
 
-@dataclass(frozen=True)
-class _Bracket:
-    """Values of one column strictly between a and b (None: no bound)."""
-
-    pos: int
-    a: float | None
-    b: float | None
-    below: int  # values that sort before them
-    count: int
-
-
-def _within(long: DataFrame, brackets: list[_Bracket]) -> DataFrame:
-    """(bid, v): the values of every bracket; the bracket table is O(columns)."""
-    rows = [(i, g.pos, g.a, g.b) for i, g in enumerate(brackets)]
-    table = long.sparkSession.createDataFrame(rows, "bid int, pos int, a double, b double")
-    inside = (F.col("a").isNull() | (F.col("v") > F.col("a"))) & (F.col("b").isNull() | (F.col("v") < F.col("b")))
-    return long.join(F.broadcast(table), "pos").where(inside).select("bid", "v")
-
-
-def _ranked(spark: SparkSession, wanted: list[tuple[int, int]]) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(wanted, "bid int, nth long"))
-
-
-def _pivots(long: DataFrame, brackets: list[_Bracket], wanted: list[tuple[int, int]], accuracy: int) -> list:
-    """Per wanted (bracket, nth value) two values around it, from an approximate grid."""
-    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-    q = _within(long, brackets).groupBy("bid").agg(F.percentile_approx("v", grid, accuracy).alias("q"), F.count(F.lit(1)).alias("n"))
-    slot = F.floor(F.col("nth") * GRID / F.col("n")).cast("int")
-    at = lambda k: F.element_at("q", F.least(F.greatest(k, F.lit(0)), F.lit(GRID)) + 1)
-    return q.join(_ranked(long.sparkSession, wanted), "bid").select("bid", "nth", at(slot - 1).alias("lo"), at(slot + 2).alias("hi")).collect()
-
-
-def _counts(long: DataFrame, brackets: list[_Bracket], pairs: list[tuple[int, float, float]]) -> list:
-    """Exact counts of each bracket's values before, at, between and at two values."""
-    table = long.sparkSession.createDataFrame(pairs, "bid int, lo double, hi double")
-    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
-    return (
-        _within(long, brackets)
-        .join(F.broadcast(table), "bid")
-        .groupBy("bid", "lo", "hi")
-        .agg(
-            F.count_if(v < lo).alias("before"),
-            F.count_if(v == lo).alias("at_lo"),
-            F.count_if((v > lo) & (v < hi)).alias("between"),
-            F.count_if((v == hi) & (hi > lo)).alias("at_hi"),
-            F.count_if(v > hi).alias("after"),
-        )
-        .collect()
-    )
+def median_ranks(n: int) -> tuple[int, int]:
+    """The two ranks whose values' mean is the median of n values (equal if n is odd)."""
+    return (n - 1) // 2, n // 2
 
 
 def quantiles(
@@ -315,36 +267,29 @@ def quantiles(
     info: dict[int, tuple[int, float | None, float | None]],
     probs: list[float],
     exact: bool = True,
-    finish_at: int = 16384,
     accuracy: int = 10000,
 ) -> dict[int, list[float | None]]:
     """Quantiles (linear interpolation) per column position.
 
     ``proj`` is the numeric projection (``v0..vN``), ideally cached; ``info``
-    maps position -> (non-null count, min, max) from ``moments``.
-
-    Exact mode narrows a bracket around every wanted rank. A pass takes two values
-    near the rank from an approximate quantile grid of the bracket, then counts
-    exactly what lies before, at and between them; this cuts the bracket to about
-    1/``GRID`` of its values whatever their distribution, and a value that many rows
-    share leaves the bracket at once. A bracket of at most ``finish_at`` values is
-    sorted on an executor, which picks the ranks. The driver gets one row per rank.
-    Infinities are values like others.
+    maps position -> (non-null count, min, max) from ``moments``. Exact mode selects the
+    wanted ranks digit by digit (``ranks.order_statistics``): at most four scans of ``proj``
+    for all columns together, whatever their values. Infinities are values like others.
     """
     out: dict[int, list[float | None]] = {p: [None] * len(probs) for p in info}
     live = {p: v for p, v in info.items() if v[0] > 0}
     if not live:
         return out
-    long = long_values(proj, len(proj.columns))
     if not exact:
         arr = F.array(*[F.lit(float(q)) for q in probs])
+        long = long_values(proj, len(proj.columns))
         rows = long.where(F.col("pos").isin(list(live))).groupBy("pos").agg(F.percentile_approx("v", arr, accuracy).alias("q")).collect()
         for r in rows:
             out[int(r["pos"])] = [float(x) for x in r["q"]]
         return out
 
     plan: dict[int, list[tuple[int, int, float]]] = {}
-    state: dict[tuple[int, int], _Bracket] = {}  # (column, rank) -> bracket
+    wanted: dict[int, set[int]] = {}
     found: dict[tuple[int, int], float] = {}
     for pos, (n, mn, mx) in live.items():
         plan[pos] = []
@@ -352,41 +297,14 @@ def quantiles(
             h = _virtual_index(n, q)
             lo = min(max(int(math.floor(h)), 0), n - 1)
             plan[pos].append((lo, min(lo + 1, n - 1), h - math.floor(h)))
-            for r in plan[pos][-1][:2]:
-                state[pos, r] = _Bracket(pos, None, None, 0, n)
+        ranks = {r for spec in plan[pos] for r in spec[:2]}
         if mn == mx:
-            found |= {(pos, r): float(mn) for p, r in state if p == pos}
-    while state := {k: g for k, g in state.items() if k not in found}:
-        brackets = list(dict.fromkeys(state.values()))
-        number = {g: i for i, g in enumerate(brackets)}
-        key_of = {(number[g], k[1] - g.below): k for k, g in state.items()}
-        small = [w for w, k in key_of.items() if state[k].count <= finish_at]
-        large = [w for w, k in key_of.items() if state[k].count > finish_at]
-        if small:
-            held = _within(long, brackets).join(_ranked(spark, sorted({(b, 0) for b, _ in small})), "bid")
-            lists = held.groupBy("bid").agg(F.sort_array(F.collect_list("v")).alias("vs"))
-            picked = lists.join(_ranked(spark, small), "bid").select("bid", "nth", F.element_at("vs", (F.col("nth") + 1).cast("int")).alias("v"))
-            found |= {key_of[r["bid"], r["nth"]]: float(r["v"]) for r in picked.collect()}
-        if large:
-            around: dict[tuple, list[int]] = {}  # neighbouring ranks mostly share their two values
-            for r in _pivots(long, brackets, large, 8 * GRID):
-                around.setdefault((r["bid"], r["lo"], r["hi"]), []).append(r["nth"])
-            for r in _counts(long, brackets, sorted(around)):
-                g = brackets[r["bid"]]
-                parts = [("before", g.a, r["lo"]), ("at_lo", r["lo"], r["lo"]), ("between", r["lo"], r["hi"]), ("at_hi", r["hi"], r["hi"]), ("after", r["hi"], g.b)]
-                for nth in around[r["bid"], r["lo"], r["hi"]]:
-                    key, done = key_of[r["bid"], nth], 0
-                    for name, a, b in parts:
-                        if nth < done + r[name]:
-                            if name.startswith("at_"):
-                                found[key] = float(a)
-                            else:
-                                state[key] = _Bracket(g.pos, a, b, g.below + done, r[name])
-                            break
-                        done += r[name]
-
+            found |= {(pos, r): float(mn) for r in ranks}
+        else:
+            wanted[pos] = ranks
+    found |= order_statistics(proj, wanted)
     for pos, specs in plan.items():
-        out[pos] = [_lerp(found[pos, lo], found[pos, hi], t) for lo, hi, t in specs]
+        out[pos] = [lerp(found[pos, lo], found[pos, hi], t) for lo, hi, t in specs]
     return out
 
 

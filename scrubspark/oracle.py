@@ -490,6 +490,20 @@ UNION ALL SELECT 'cust_num', 'cust_num', 'double', 'double', CAST(n_c AS BIGINT)
     )
 
 
+def _fill_keeps_digits() -> str:
+    names = {"long_id": 7, "odd_id": 11, "price": 13}
+    kept = {
+        "long_id": "1234567890123456::HUGEINT * 1000000000 + o_orderkey",
+        "odd_id": "9007199254740993::HUGEINT + o_orderkey",
+        "price": "CAST(o_totalprice AS DECIMAL(14,2))",
+    }
+    cells = ", ".join(f"CASE WHEN o_orderkey % {m} = 0 THEN NULL ELSE CAST({kept[c]} AS DECIMAL(30,3)) END AS {c}" for c, m in names.items())
+    lists = ", ".join(f"list_sort(list({c}) FILTER (WHERE {c} IS NOT NULL)) AS l_{c}" for c in names)
+    middle = lambda c: f"(l_{c}[(len(l_{c}) + 1) // 2] + l_{c}[len(l_{c}) // 2 + 1]) * 0.5::DECIMAL(2,1)"
+    filled = ", ".join(f"CAST(CAST(coalesce({c}, {middle(c)}) AS DECIMAL(38,3)) AS VARCHAR) AS {c}" for c in names)
+    return f"WITH ids AS (SELECT o_orderkey, {cells} FROM orders), mid AS (SELECT {lists} FROM ids) SELECT o_orderkey, {filled} FROM ids, mid"
+
+
 def _fill_median() -> str:
     return f"""WITH {CHAIN}
 SELECT 'o_orderkey' AS "column", CAST(NULL AS DOUBLE) AS fill_value, CAST(count(*) FILTER (WHERE o_orderkey IS NULL) AS BIGINT) AS nulls_filled FROM conv
@@ -782,6 +796,7 @@ SELECT o_orderkey, priority_text, {iso("try_strptime(date_text, '%Y-%m-%d')")} A
     + ") z",
     "cast_numbers": f"WITH {CHAIN}\n" + canon_dirty("conv", date_is_ts=True),
     "fill_median": _fill_median(),
+    "fill_keeps_digits": _fill_keeps_digits(),
     "fill_unknown": f"WITH {CHAIN} SELECT 'priority_text' AS \"column\", CAST(count(*) FILTER (WHERE priority_text IS NULL) AS BIGINT) AS nulls_filled FROM conv",
     "keep_date_nulls": f"""WITH {CHAIN}
 SELECT 'date_text' AS "column", CAST(count(*) FILTER (WHERE date_text IS NULL) AS BIGINT) AS null_count, CAST(0 AS BIGINT) AS nulls_filled FROM cleaned

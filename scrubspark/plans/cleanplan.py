@@ -8,6 +8,7 @@ by the planner itself.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ class ColumnDecision:
     date_format: str | None = None
     converted_dtype: str = ""
     fill: str | None = None  # "median" | "unknown"
-    fill_value: float | None = None
+    fill_value: float | int | Decimal | None = None
     nulls_filled: int = 0
 
     def transformations(self) -> list[str]:
@@ -56,9 +57,9 @@ class ColumnDecision:
 
     def filled(self, c: Column) -> Column:
         if self.fill == "median" and self.nulls_filled:
-            v = 0.0 if self.fill_value is None else float(self.fill_value)
-            c = c.cast("double")
-            return F.coalesce(F.when(~F.isnan(c), c), F.lit(v))
+            kind = self.converted_dtype
+            c, v = c.cast(kind), F.lit(0 if self.fill_value is None else self.fill_value).cast(kind)
+            return F.coalesce(F.when(~F.isnan(c), c) if kind in ("float", "double") else c, v)
         if self.fill == "unknown" and self.nulls_filled:
             return F.coalesce(c, F.lit(UNKNOWN_TEXT))
         return c

@@ -154,10 +154,22 @@ def q_cast_numbers(spark, sf):
 
 def q_fill_median(spark, sf):
     p = cleaned(spark, sf).plan
-    rows = [(d.new_name, d.fill_value if d.nulls_filled else None, d.nulls_filled) for d in p.columns if d.fill == "median"]
+    rows = [(d.new_name, float(d.fill_value) if d.nulls_filled else None, d.nulls_filled) for d in p.columns if d.fill == "median"]
     return canon(spark.createDataFrame(rows, "column string, fill_value double, nulls_filled long"))
 
 
+def q_fill_keeps_digits(spark, sf):
+    """Ids of 25 digits and beyond 2^53 with gaps: filled in their own types."""
+    ids = table(spark, sf, "orders").selectExpr(
+        "o_orderkey",
+        "IF(o_orderkey % 7 = 0, NULL, CAST('1234567890123456' AS DECIMAL(38,0)) * 1000000000 + o_orderkey) AS long_id",
+        "IF(o_orderkey % 11 = 0, NULL, 9007199254740993 + o_orderkey) AS odd_id",
+        "IF(o_orderkey % 13 = 0, NULL, CAST(o_totalprice AS DECIMAL(14,2))) AS price",
+    )
+    res = clean(ids)
+    return res.table.select("o_orderkey", *[qcol(c).cast("decimal(38,3)").cast("string").alias(c) for c in ("long_id", "odd_id", "price")])
+
+
 def q_fill_unknown(spark, sf):
     p = cleaned(spark, sf).plan
     rows = [(d.new_name, d.nulls_filled) for d in p.columns if d.fill == "unknown"]
@@ -493,6 +505,7 @@ QUERIES = {
     "numeric_ratio": q_numeric_ratio,
     "cast_numbers": q_cast_numbers,
     "fill_median": q_fill_median,
+    "fill_keeps_digits": q_fill_keeps_digits,
     "fill_unknown": q_fill_unknown,
     "keep_date_nulls": q_keep_date_nulls,
     "normalize_headers": q_normalize_headers,
