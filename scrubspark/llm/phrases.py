@@ -46,6 +46,8 @@ FILTER_BITS = 1 << 27  # largest filter
 BITS_PER_HASH = 16
 PROBES = 3
 HOT_SHARE = 1000
+SCORE_CLASSES = 32  # classes of scores between a power of two and the next
+FEW_LANGS = 10_000  # languages of more than TOP phrases whose thresholds are broadcast
 BATCH = 1 << 16
 NO_LANG = "und"
 
@@ -303,6 +305,20 @@ def _parts_with_counts(parts: DataFrame, counts: DataFrame) -> DataFrame:
     return parts.join(hot, ["lang", "part"]).unionByName(rest.join(cold, ["lang", "part"]))
 
 
+def _above_threshold(scored: DataFrame, top: int) -> DataFrame:
+    """``scored`` without rows that cannot be among a language's first ``top``: those below the
+    least score of the class of scores (a few hundredths wide) in which the ``top``th lies. So
+    the task that ranks a language gets little more than ``top`` rows, whatever its size."""
+    classes = scored.groupBy("lang", F.floor(F.log2(F.col("score") + 1) * SCORE_CLASSES).alias("c"))
+    classes = classes.agg(F.count(F.lit(1)).alias("rows"), F.min("score").alias("least"))
+    upto = F.sum("rows").over(Window.partitionBy("lang").orderBy(F.desc("c")))
+    limits = classes.withColumn("upto", upto).filter(F.col("upto") >= top).groupBy("lang").agg(F.max("least").alias("least"))
+    limits = checkpointed(limits)
+    if limits.count() <= FEW_LANGS:
+        limits = F.broadcast(limits)
+    return scored.join(limits, "lang", "left").filter(F.col("least").isNull() | (F.col("score") >= F.col("least"))).drop("least")
+
+
 def collocations(
     docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT,
     inside_percent: int = INSIDE_PERCENT, top: int | None = TOP,
@@ -327,9 +343,12 @@ def collocations(
     score = F.expr("(cast(1000000 as decimal(7,0)) * (cast(a as decimal(13,0)) * cast(a as decimal(13,0)))) div (cast(l as decimal(13,0)) * cast(r as decimal(13,0)))")
     scored = both.withColumn("score", score.cast("bigint"))
     best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+    best = checkpointed(best.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"))
+    if top:
+        best = _above_threshold(best, top)
     totals = counts.filter("n_words = 0").select("lang", F.col("f").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = best.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score").withColumn("rank", F.row_number().over(order).cast("bigint"))
+    ranked = best.withColumn("rank", F.row_number().over(order).cast("bigint"))
     ranked = ranked.filter(F.col("rank") <= top) if top else ranked
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
