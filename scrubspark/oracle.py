@@ -858,6 +858,10 @@ UNION ALL SELECT 'value', o_value, {r6('o_value / n_rows * 100')} FROM oc""",
     "history_rows": _history_rows(),
     "history_append": f"SELECT h.* FROM ({_history_rows()}) h, range(2)",
     "csv_latin1": f"SELECT c_custkey, c_name || ' é, à' AS c_name, {r6('c_acctbal')} AS c_acctbal FROM customer",
+    "csv_quoted": f"""SELECT c_custkey, CASE WHEN c_custkey % 3 > 0
+  THEN 'say "' || c_name || '", then;' || chr(10) || chr(92) || ' and' || chr(9) || '"' || CAST(c_custkey AS VARCHAR) || chr(10) || ', end'
+  ELSE c_name END AS note, {r6('c_acctbal')} AS c_acctbal FROM customer""",
+    "csv_folder": f"SELECT c_custkey, c_name || ' é, à' AS c_name, CASE WHEN c_custkey % 3 < 2 THEN {r6('c_acctbal')} END AS c_acctbal FROM customer",
     "distribution_data": _distribution_data(),
     "chart_bundle": _chart_bundle(),
     "analysis_sections": _analysis_sections(),

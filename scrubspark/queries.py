@@ -436,6 +436,26 @@ def q_csv_latin1(spark, sf):
     return canon(files.read_csv(spark, path))
 
 
+def q_csv_quoted(spark, sf):
+    """Quotes, delimiters, backslashes and line breaks in fields, written and read by byte ranges."""
+    path = shared_folder(spark, "quoted")
+    note = F.concat(F.lit('say "'), F.col("c_name"), F.lit('", then;\n\\ and\t"'), F.col("c_custkey").cast("string"), F.lit("\n, end"))
+    rows = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 > 0, note).otherwise(F.col("c_name")).alias("note"), "c_acctbal")
+    files.write_cleaned(rows, path, "csv")
+    return canon(files.read_csv(spark, path))
+
+
+def q_csv_folder(spark, sf):
+    """A folder of files with other headers, delimiters and encodings, united by name."""
+    path = shared_folder(spark, "folder")
+    rows = table(spark, sf, "customer").select("c_custkey", F.concat("c_name", F.lit(" é, à")).alias("c_name"), "c_acctbal")
+    kinds = [(["c_name", "c_custkey", "c_acctbal"], ",", "UTF-8"), (["c_acctbal", "c_name", "c_custkey"], ";", "ISO-8859-1"), (["c_custkey", "c_name"], "|", "UTF-8")]
+    for k, (columns, sep, encoding) in enumerate(kinds):
+        own = rows.filter(F.col("c_custkey") % len(kinds) == k).select(*columns)
+        own.write.mode("append").options(header=True, sep=sep, encoding=encoding, escape='"').csv(path)
+    return canon(files.read_csv(spark, path).select("c_custkey", "c_name", "c_acctbal"))
+
+
 def q_delimiter_counts(spark, sf):
     lines = table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
     return canon(files.delimiter_counts(lines, "line"))
@@ -551,6 +571,8 @@ QUERIES = {
     "csv_typing": q_csv_typing,
     "csv_round_trip": q_csv_round_trip,
     "csv_latin1": q_csv_latin1,
+    "csv_quoted": q_csv_quoted,
+    "csv_folder": q_csv_folder,
     "delimiter_counts": q_delimiter_counts,
     "date_shapes": q_date_shapes,
     "history_rows": q_history_rows,

@@ -11,15 +11,22 @@ from __future__ import annotations
 
 import csv
 import io
+import math
+import re
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scrubspark.functions.jsonsafe import json_safe_columns
 from scrubspark.operators.names import safe_stem
 from scrubspark.operators.stats import qcol
+from scrubspark.session import persist_reliably
+from scrubspark.sources.records import read_records
 
 # --- fixed values -------------------------------------------------------------
 # Text read as a missing value (after nothing else: no trimming).
@@ -43,10 +50,12 @@ _FLOAT_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(inf|Inf|INF|infinit
 class Layout:
     """What one scan of a delimited file tells about it."""
 
+    file: str
     encoding: str
     delimiter: str
     quotes_span_lines: bool
-    header: str
+    header: str  # first line that is not blank
+    fields: int  # most fields of a line
 
 
 def _delimiter_aggs(line: Column, prefix: str) -> list[Column]:
@@ -82,31 +91,62 @@ def delimiter_counts(lines: DataFrame, col: str = "value") -> DataFrame:
     return lines.sparkSession.createDataFrame(rows, "delimiter string, least int, mean double, spread double, chosen boolean")
 
 
-def inspect(spark: SparkSession, path: str) -> Layout:
-    """S2/S3 in one scan over the whole file: encoding (UTF-8 unless some line is not
-    valid UTF-8, then ISO-8859-1), delimiter, and whether quoted text spans lines (some
-    line holds an odd number of quotes)."""
-    raw = spark.read.text(path)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    r = raw.agg(
-        F.count_if(~F.is_valid_utf8("value")).alias("bad"),
-        F.count_if(quotes % 2 == 1).alias("odd"),
-        *_delimiter_aggs(F.make_valid_utf8("value"), "u"),
-        *_delimiter_aggs(_decoded("ISO-8859-1"), "l"),
-    ).first()
-    encoding = "ISO-8859-1" if r["bad"] else "UTF-8"
-    first = raw.select(_decoded(encoding).alias("value")).filter(F.col("value") != "").head(1)
-    return Layout(encoding, _pick_delimiter(r, "l" if r["bad"] else "u"), bool(r["odd"]), first[0]["value"] if first else "")
+def inspect(spark: SparkSession, path: str) -> list[Layout]:
+    """S2/S3 per file, in one scan over everything: encoding (UTF-8 unless some line is not
+    valid UTF-8, then ISO-8859-1), delimiter by its counts outside quotes, most fields of a
+    line, and whether some line holds an odd number of quotes (quoted text may span lines)."""
+    raw = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    line = _decoded("ISO-8859-1")  # letter by letter the bytes; delimiters and quotes are ASCII
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    bare = raw.withColumn("line", line).withColumns({"odd": quotes % 2 == 1, "filled": F.trim("line") != "", "bare": F.regexp_replace("line", '"[^"]*"', "")})
+    most = [F.max(F.length("bare") - F.length(F.replace("bare", F.lit(d), F.lit("")))).alias(f"mx{i}") for i, d in enumerate(DELIMITERS)]
+    rows = (
+        bare.groupBy("file_path")
+        .agg(
+            F.count_if(~F.is_valid_utf8("value")).alias("bad"),
+            F.count_if("odd").alias("odd"),
+            F.min_by(F.col("value").cast("binary"), F.when(F.col("filled"), F.struct("file_block_start", "at"))).alias("head"),
+            *_delimiter_aggs(F.col("bare"), ""),
+            *most,
+        )
+        .orderBy("file_path")
+        .collect()
+    )
+    out = []
+    for r in rows:
+        if r["head"] is None:
+            continue  # nothing but blank lines
+        encoding, sep = "ISO-8859-1" if r["bad"] else "UTF-8", _pick_delimiter(r, "")
+        fields = (r[f"mx{DELIMITERS.index(sep)}"] or 0) + 1
+        out.append(Layout(r["file_path"], encoding, sep, bool(r["odd"]), bytes(r["head"]).decode(encoding), fields))
+    return out
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """S3."""
-    return inspect(spark, path).encoding
+    """S3, of the first file."""
+    return next((f.encoding for f in inspect(spark, path)), "UTF-8")
 
 
 def detect_delimiter(spark: SparkSession, path: str) -> str:
-    """S2."""
-    return inspect(spark, path).delimiter
+    """S2, of the first file."""
+    seen = inspect(spark, path)
+    if not seen or not seen[0].quotes_span_lines:
+        return seen[0].delimiter if seen else DELIMITERS[0]
+    return read_records(spark, [_as_path(seen[0].file)], DELIMITERS, _pick_by_records)[1][seen[0].file]
+
+
+def _pick_by_records(stats: dict[int, tuple]) -> int:
+    """As ``_pick_delimiter``, from (records, least, sum, sum of squares) per candidate."""
+    fit = []
+    for i, (n, least, total, squares) in sorted(stats.items()):
+        if n and least >= 1:
+            fit.append((math.sqrt(max(0.0, squares / n - (total / n) ** 2)) / (total / n), i))
+    return min(fit)[1] if fit else min(stats)
+
+
+def _as_path(uri: str) -> str:
+    """A file's URI as a path that a reader takes literally."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(uri))
 
 
 def header_names(raw: list[str]) -> list[str]:
@@ -169,30 +209,73 @@ def type_text_columns(df: DataFrame) -> DataFrame:
     return df.select(*sel)
 
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> DataFrame:
-    """Delimited text with header -> typed DataFrame.
+_CSV = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
-    A file is split over many tasks unless quoted text spans lines somewhere in it."""
-    seen = inspect(spark, path)
-    encoding, sep = encoding or seen.encoding, sep or seen.delimiter
-    raw_names = next(csv.reader(io.StringIO(seen.header), delimiter=sep)) if seen.header else []
-    df = (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("encoding", encoding)
-        .option("inferSchema", False)
-        .option("nullValue", "\u0000never\u0000")
-        .option("emptyValue", "")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .option("multiLine", seen.quotes_span_lines)
-        .csv(path)
-    )
-    names = header_names(raw_names) if len(raw_names) == len(df.columns) else df.columns
-    df = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
-    df = df.select(*[_na_to_null(F.col(f"_c{i}")).alias(f"_c{i}") for i in range(len(names))])
-    typed = type_text_columns(df)
-    return typed.toDF(*names)
+
+def _parsed(width: int) -> T.StructType:
+    return T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
+
+
+def _header(text: str, sep: str) -> list[str]:
+    return next(csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline=""), delimiter=sep), [])
+
+
+def _plain_parts(spark: SparkSession, layouts: list[Layout]) -> list[tuple[str, list[str], DataFrame]]:
+    """(first file, header, rows) per kind of file without line breaks in quotes: Spark's reader."""
+    kinds: dict[tuple, list[Layout]] = {}
+    for f in layouts:
+        kinds.setdefault((f.encoding, f.delimiter, f.header), []).append(f)
+    out = []
+    for (encoding, sep, head), own in kinds.items():
+        header = _header(head, sep)
+        header += [""] * (max(f.fields for f in own) - len(header))
+        reader = spark.read.options(header=True, sep=sep, encoding=encoding, nullValue="\u0000never\u0000", emptyValue="", **_CSV)
+        out.append((own[0].file, header, reader.schema(_parsed(len(header))).csv([_as_path(f.file) for f in own])))
+    return out
+
+
+def _quoted_parts(spark: SparkSession, layouts: list[Layout], sep: str | None) -> list[tuple[str, list[str], DataFrame]]:
+    """As ``_plain_parts`` for files with line breaks in quotes: records cut from byte ranges."""
+    records, seps = read_records(spark, [_as_path(f.file) for f in layouts], [sep] if sep else DELIMITERS, _pick_by_records)
+    records = persist_reliably(records, spark)
+    most = {r["file"]: r["n"] + 1 for r in records.groupBy("file").agg(F.max("delimiters").alias("n")).collect()}
+    heads = {r["file"]: bytes(r["record"]) for r in records.filter("header").select("file", "record").collect()}
+    kinds: dict[tuple, list[Layout]] = {}
+    for f in layouts:
+        kinds.setdefault((f.encoding, seps[f.file], heads[f.file]), []).append(f)
+    out = []
+    for (encoding, mark, head), own in kinds.items():
+        header = _header(head.decode(encoding), mark)
+        header += [""] * (max(most[f.file] for f in own) - len(header))
+        options = {"sep": mark, "nullValue": "\u0000never\u0000", "emptyValue": "", "multiLine": "true", **{k: str(v).lower() for k, v in _CSV.items()}}
+        rows = records.filter(~F.col("header") & F.col("file").isin([f.file for f in own]))
+        cells = F.from_csv(F.decode("record", encoding), _parsed(len(header)).simpleString()[7:-1].replace(":", " "), options)
+        out.append((own[0].file, header, rows.select(cells.alias("r")).select("r.*")))
+    return out
+
+
+def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> DataFrame:
+    """Delimited text with header (a file or a folder of files) -> typed DataFrame.
+
+    Each file is read by its own encoding, delimiter and header; files are united by header
+    names, in the order in which files (by name) bring them, absent columns are null. Fields
+    beyond the header are kept as columns ``Unnamed: i``. Every file is split over many
+    tasks, also one whose quoted fields hold line breaks (``sources.records``)."""
+    seen = [replace(f, encoding=encoding or f.encoding, delimiter=sep or f.delimiter) for f in inspect(spark, path)]
+    if sep:  # the most fields of a line were counted for another delimiter
+        seen = [f if sep in DELIMITERS and f.delimiter == sep else replace(f, fields=0) for f in seen]
+    plain, quoted = [f for f in seen if not f.quotes_span_lines], [f for f in seen if f.quotes_span_lines]
+    parts = _plain_parts(spark, plain) + (_quoted_parts(spark, quoted, sep) if quoted else [])
+    names: list[str] = []
+    found = []
+    for _, header, rows in sorted(parts, key=lambda p: p[0]):
+        own = header_names(header)
+        names += [n for n in own if n not in names]
+        found.append(({n: f"_c{i}" for i, n in enumerate(own)}, rows))
+    if not found:
+        return spark.createDataFrame([], T.StructType([]))
+    same = [rows.select(*[_na_to_null(F.col(at[n])).alias(f"_u{i}") if n in at else F.lit(None).cast("string").alias(f"_u{i}") for i, n in enumerate(names)]) for at, rows in found]
+    return type_text_columns(reduce(DataFrame.unionAll, same)).toDF(*names)
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
@@ -224,7 +307,7 @@ def write_cleaned(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     """Write once; an existing path is an error, never overwritten."""
     w = df.write.mode("errorifexists")
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.options(header=True, **_CSV).csv(path)
     else:
         w.parquet(path)
     return path
