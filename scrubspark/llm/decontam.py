@@ -1,17 +1,29 @@
-"""Benchmark decontamination: disjoint pieces and exact edit distance, without loss.
-
-An item of n bytes may have k edits. Of p disjoint pieces of it, k edits spoil at most k: a
-place within the limit holds at least p - k pieces as they are, and their diagonals (place
-in the text minus place in the item) differ by at most k, as each step between diagonals is
-an edit. So an item is looked for where that many different pieces lie in two neighbouring
-cells of k + 1 diagonals; no place within the limit is missed, whatever the kinds of edits.
-Pieces are as long as leaves enough of them to tell places apart. Items of more than
-``PART`` bytes are cut into parts: one of j parts has at most k / j of the edits, so each
-part is looked for with that limit. Stretches found are verified by the exact edit distance,
-many at a time: first of the part, then of the item.
-
-Every document is read once, by one task, and meets the items of one block at a time;
-a block of items has a bounded size, so what is broadcast does not grow with the table.
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit distance.
+
+An item of n bytes may have k edits. Windows of the item's size are embedded by a random
+walk (CGK): a step writes the letter under the pointer and moves on or stays by a random
+bit of the step and the letter, so that a window and the item that differ by few edits
+fall into step again and agree at many places. A sample is a few places of the embedding;
+a window whose letters equal the item's at all places of some sample is a candidate
+(bit-sampling LSH), and candidates are verified by the exact edit distance.
+
+How many places a sample has and how many samples are drawn follows from a target recall:
+for each class of lengths random edits of every kind, as many as the limit allows, are
+embedded, and the most selective sampling is taken that finds ``TARGET_RECALL`` of them
+(``tuned``). At 15 % edits long windows agree in few places, so their samples are short
+and let many windows through to the verification. Lengths for which the target cannot be
+reached have every place verified.
+
+Embedding every window of every text would cost far more than reading it, so windows are
+taken where a text can hold the item at all. Of p disjoint pieces of an item, k edits spoil
+at most k: a place within the limit holds at least p - k pieces as they are, and their
+diagonals (place in the text minus place in the item) differ by at most k. So places are
+those where that many different pieces lie in two neighbouring cells of k + 1 diagonals;
+none within the limit is missed. Items of more than ``PART`` bytes are cut into parts: one
+of j parts has at most k / j of the edits, so each part is looked for with that limit.
+
+A document is read once per ``BLOCKS_AT_ONCE`` blocks of items, by one task; a block has a
+bounded size, so what is broadcast together does not grow with the table.
 Letters are compared with A-Z lower-cased and each white-space byte as a blank. Null or
 blank items match nothing; null texts are empty; repeated rows and ids each count; empty
 tables give empty frames; columns other than those named pass through or are ignored.
@@ -35,8 +47,17 @@ ITEM_BLOCK_BYTES = 2 << 20  # text of the items that are broadcast together
 PART = 400  # bytes of an item that are looked for together, at most
 LONGEST = 8  # bytes of a piece, at most
 SPARE_BYTES = 25  # a piece more than the edits for each so many bytes, where the size allows
+BLOCKS_AT_ONCE = 4  # blocks that a task holds together
+TARGET_RECALL = 0.97  # of windows with as many edits as the limit allows, of any kind
+WALKS = 4  # independent embeddings of a window
+MOST_SAMPLES = 512  # per walk
+STEPS = 1.5  # steps of a walk for each byte of the window
+TRIALS = 40  # edited windows of each kind that the sampling is judged on
+END = 256  # the letter behind the end of a text
+SEED = 11
 HITS_AT_ONCE = 1 << 17
 WINDOWS_AT_ONCE = 1 << 12
+PLACES_AT_ONCE = 1 << 10
 _K = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = bytes(32 if chr(b) in "\t\n\v\f\r " else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -100,6 +121,91 @@ class Pieces:
         return at, self.first[k], self.first[k + 1] - self.first[k]
 
 
+def embed(buf: np.ndarray, start: np.ndarray, end: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """(steps, windows) letters of the random walk from each ``start``; ``end`` closes its text."""
+    at, out = start.copy(), np.empty((len(bits), len(start)), np.uint16)
+    last = max(0, len(buf) - 1)
+    for letters, moves in zip(out, bits):
+        letters[:] = np.where(at < end, buf[np.minimum(at, last)], np.uint16(END)) if len(buf) else END
+        at += moves[letters]
+    return out
+
+
+@dataclass
+class Sampling:
+    """Random walks and samples for windows of one class of lengths."""
+
+    bits: np.ndarray  # (walks, steps, letters): whether the pointer moves on
+    samples: np.ndarray  # (walks, samples, places) steps that are compared
+
+    def agree(self, walk: int, texts: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which embedded windows equal the embedded item at all places of some sample."""
+        same = texts == item
+        on = np.ones((self.samples.shape[1], same.shape[1]), bool)
+        for places in self.samples[walk].T:
+            on &= same[places]
+        return on.any(axis=0)
+
+
+def window_step(limit: int) -> int:
+    """Distance of the windows of a place; a start in between is so many edits off at most."""
+    return max(1, (limit + 1) // 2)
+
+
+def _edited(rng: np.random.Generator, window: np.ndarray, edits: int, kind: int, letters: np.ndarray) -> np.ndarray:
+    """A window after random insertions (0), deletions (1), substitutions (2) or all of them (3)."""
+    out = window.tolist()
+    for _ in range(edits):
+        k = kind if kind < 3 else int(rng.integers(3))
+        at = int(rng.integers(len(out) + (k == 0))) if out or k == 0 else 0
+        if k == 0:
+            out.insert(at, int(rng.choice(letters)))
+        elif out and k == 1:
+            del out[at]
+        elif out:
+            out[at] = int(rng.choice(letters))
+    return np.asarray(out, np.uint8)
+
+
+def tuned(size: int, limit: int, letters: np.ndarray) -> Sampling | None:
+    """The most selective sampling for windows of ``size`` bytes that finds ``TARGET_RECALL`` of
+    windows with ``limit`` edits of the worst kind; None if none does."""
+    rng = np.random.default_rng([SEED, size, limit])
+    steps = max(2, int(STEPS * size))
+    bits = np.concatenate([rng.integers(0, 2, (WALKS, steps, 256)), np.ones((WALKS, steps, 1), np.int64)], axis=2)
+    half = window_step(limit) // 2
+    agreement = np.zeros((4, TRIALS, WALKS))
+    for kind in range(4):
+        parts, starts, ends, items = [], [], [], []
+        at = 0
+        for _ in range(TRIALS):
+            item = rng.choice(letters, size)
+            whole = np.concatenate([rng.choice(letters, half + 1), _edited(rng, item, limit, kind, letters), rng.choice(letters, size)])
+            starts.append(at + half + 1 + int(rng.integers(-half, half + 1)))
+            at += len(whole)
+            ends.append(at)
+            parts.append(whole)
+            items.append(item)
+        text, item, place = np.concatenate(parts), np.concatenate(items), np.arange(TRIALS) * size
+        for w in range(WALKS):
+            same = embed(text, np.asarray(starts), np.asarray(ends), bits[w]) == embed(item, place, place + size, bits[w])
+            agreement[kind, :, w] = same.mean(axis=0)
+    for places in (4, 3, 2, 1):
+        for samples in (2**k for k in range(3, MOST_SAMPLES.bit_length())):
+            missed = np.prod((1 - agreement**places) ** samples, axis=2).mean(axis=1)
+            if 1 - missed.max() >= TARGET_RECALL:
+                return Sampling(bits, rng.integers(0, steps, (WALKS, samples, places)))
+    return None
+
+
+def size_class(size: int) -> int:
+    """Lengths that share a sampling: up to a fourth more than the class before."""
+    top = 8
+    while top < size:
+        top = -(-top * 5 // 4)
+    return top
+
+
 @dataclass
 class ItemIndex:
     """What a task needs of a block of items: texts, parts and pieces."""
@@ -113,6 +219,7 @@ class ItemIndex:
     limits: np.ndarray  # its edits,
     need: np.ndarray  # and pieces that a place of it holds at least
     pieces: list[Pieces]
+    sampling: dict[tuple[int, int], Sampling | None]  # of each class of lengths and limit
 
     @classmethod
     def build(cls, rows: list[tuple], max_edits: float) -> ItemIndex:
@@ -130,7 +237,18 @@ class ItemIndex:
                 about.append((i, a, limit, len(part) // q - limit))
                 parts.append(part)
         item, lead, limits, need = np.asarray(about, np.int64).reshape(-1, 4).T
-        return cls([i for i, _ in kept], texts, edits, parts, item, lead, limits, need, [Pieces.build(q, found[q], need) for q in sorted(found)])
+        return cls([i for i, _ in kept], texts, edits, parts, item, lead, limits, need, [Pieces.build(q, found[q], need) for q in sorted(found)], {})
+
+    def tune(self) -> ItemIndex:
+        """Choose the samplings for the lengths and letters of these items."""
+        letters = np.frombuffer(b"".join(self.texts), np.uint8)
+        self.sampling = {c: tuned(*c, letters) for c in sorted({self.class_of(p) for p in range(len(self.parts))})}
+        return self
+
+    def class_of(self, part: int) -> tuple[int, int]:
+        """The class of a part's length, and the edits that windows of the class are judged with."""
+        top = size_class(len(self.parts[part]))
+        return top, max(int(self.limits[part]), top * int(self.limits[part]) // max(1, len(self.parts[part])))
 
 
 def near(patterns: list[bytes], which: np.ndarray, limits: np.ndarray, buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -263,13 +381,52 @@ def places_of(index: ItemIndex, buf: np.ndarray, offsets: np.ndarray) -> np.ndar
     return np.unique(np.concatenate(kept, axis=1), axis=1)
 
 
-def find_in(index: ItemIndex, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
+def candidates(index: ItemIndex, buf: np.ndarray, offsets: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which places hold a window that agrees with its part in some sample."""
+    part, row, low, high = places
+    on = np.zeros(len(part), bool)
+    groups: dict[tuple[int, int], list[int]] = {}
+    for k, p in enumerate(part.tolist()):
+        groups.setdefault(index.class_of(p), []).append(k)
+    for kind, own in groups.items():
+        sampling = index.sampling.get(kind)
+        if sampling is None:
+            on[own] = True  # the exact way
+            continue
+        step = window_step(kind[1])
+        for first in range(0, len(own), PLACES_AT_ONCE):
+            at = np.asarray(own[first : first + PLACES_AT_ONCE])
+            count = (high[at] - low[at]) // step + 1
+            place = np.repeat(at, count)
+            start = low[place] + step * (np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count))
+            start, end = np.maximum(start, offsets[row[place]]), offsets[row[place] + 1]
+            held, mine = np.unique(part[at], return_inverse=True)
+            texts = [np.frombuffer(index.parts[p], np.uint8) for p in held.tolist()]
+            ends = np.cumsum([len(t) for t in texts])
+            begins, joined = np.append(0, ends[:-1]), np.concatenate(texts)
+            mine = np.repeat(mine, count)
+            for w, bits in enumerate(sampling.bits):
+                rest = np.flatnonzero(~on[place])  # windows of places that no walk has found yet
+                if not len(rest):
+                    break
+                item = embed(joined, begins, ends, bits)[:, mine[rest]]
+                on[place[rest[sampling.agree(w, embed(buf, start[rest], end[rest], bits), item)]]] = True
+    return on
+
+
+def find_in(index: ItemIndex, texts: pa.Array, every_place: bool = True) -> list[tuple[int, int, int, int, int]]:
     """(row, item, edits, start, end): the best place of every item in every text that holds it;
-    of equally good ones the first end, and for it the shortest place."""
+    of equally good ones the first end, and for it the shortest place.
+
+    ``every_place`` verifies all places that the pieces leave, without any loss: the exact
+    search that the sampled one (of a tuned index) is measured against."""
     buf, offsets = text_buffer(texts)
     raw = fold(buf.tobytes())
     buf = np.frombuffer(raw, np.uint8)
-    part, row, low, high = places_of(index, buf, offsets)
+    places = places_of(index, buf, offsets)
+    if not every_place:
+        places = places[:, candidates(index, buf, offsets, places)]
+    part, row, low, high = places
     limits, sizes = index.limits[part], np.asarray([len(p) for p in index.parts], np.int64)[part]
     on = near(index.parts, part, limits, buf, np.maximum(offsets[row], low - limits), np.minimum(offsets[row + 1], high + sizes + limits))
     part, row, low, high = part[on], row[on], low[on], high[on]
@@ -300,7 +457,19 @@ def _blocks(items: DataFrame, max_edits: float) -> Iterator[ItemIndex]:
     count = math.ceil(total / ITEM_BLOCK_BYTES)
     for b in range(count):
         part = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == b).select("i", "t")
-        yield ItemIndex.build(sorted((tuple(r) for r in part.collect()), key=str), max_edits)
+        yield ItemIndex.build(sorted((tuple(r) for r in part.collect()), key=str), max_edits).tune()
+
+
+def _groups(spark: SparkSession, items: DataFrame, max_edits: float) -> Iterator[list]:
+    """Broadcast indexes of ``_blocks``, as many together as one pass over the texts takes."""
+    group = []
+    for index in _blocks(items.select(F.col("item_id").cast("long"), "text"), max_edits):
+        group.append(spark.sparkContext.broadcast(index))
+        if len(group) == BLOCKS_AT_ONCE:
+            yield group
+            group = []
+    if group:
+        yield group
 
 
 def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
@@ -311,17 +480,17 @@ def contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS
     schema = "doc_id long, item_id long, edits int, similarity double, start_byte long, end_byte long"
     source = docs.select(F.col("doc_id").cast("long"), "text")
     out = spark.createDataFrame([], schema)
-    for index in _blocks(items.select(F.col("item_id").cast("long"), "text"), max_edits):
-        shared = spark.sparkContext.broadcast(index)
+    for group in _groups(spark, items, max_edits):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = shared.value
+        def run(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                rows = [(ids[r], own.ids[k], e, 1 - e / len(own.texts[k]), a, b) for r, k, e, a, b in find_in(own, batch.column(1))]
-                if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "item_id", "edits", "similarity", "start_byte", "end_byte"])
+                for shared in group:
+                    own = shared.value
+                    rows = [(ids[r], own.ids[k], e, 1 - e / len(own.texts[k]), a, b) for r, k, e, a, b in find_in(own, batch.column(1), False)]
+                    if rows:
+                        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "item_id", "edits", "similarity", "start_byte", "end_byte"])
 
         out = out.unionByName(source.mapInArrow(run, schema))
     return out
@@ -332,13 +501,13 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_
     spark = docs.sparkSession
     small_batches(spark)
     at = docs.columns.index("text")
-    for index in _blocks(items.select(F.col("item_id").cast("long"), "text"), max_edits):
-        shared = spark.sparkContext.broadcast(index)
+    for group in _groups(spark, items, max_edits):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], group=group) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                clean[[r for r, *_ in find_in(shared.value, batch.column(at))]] = False
+                for shared in group:
+                    clean[[r for r, *_ in find_in(shared.value, batch.column(at), False)]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -125,6 +125,45 @@ def test_no_place_within_the_limit_is_lost(size):
         assert found_share(items, [at_limit(rng, t, kind) for t in items], rng) == 1
 
 
+@pytest.mark.parametrize("kind", ["insert", "delete", "substitute"])
+@pytest.mark.parametrize("size", [14, 20, 34, 60, 120, 240, 390, 1200, 3000])
+def test_recall_of_the_sampled_search(kind, size):
+    """Against the exact search, with as many edits as the limit allows."""
+    rng = random.Random(size)
+    items = ["".join(rng.choice("etaoinshrdlu  ") for _ in range(size - 1)) + "." for _ in range(max(6, min(60, 9000 // size)))]
+    index = dc.ItemIndex.build(list(enumerate(items)), dc.MAX_EDITS).tune()
+    noise = lambda: "".join(rng.choice("etaoinshrdlu ") for _ in range(300))
+    texts = pa.array([noise() + " " + at_limit(rng, t, kind) + " " + noise() for t in items])
+    exact, sampled = ({x[:2]: x for x in dc.find_in(index, texts, every)} for every in (True, False))
+    assert len(exact) >= len(items) and all(exact[k] == v for k, v in sampled.items())
+    assert len(sampled) >= 0.9 * len(exact)
+
+
+def test_samplings_follow_from_the_target(monkeypatch):
+    letters = np.frombuffer(b"etaoinshrdlu  ", np.uint8)
+    strict, loose = (dc.tuned(60, k, letters) for k in (9, 1))
+    assert strict.samples.shape[2] <= loose.samples.shape[2] and strict.samples[0].size >= loose.samples[0].size
+    monkeypatch.setattr(dc, "TARGET_RECALL", 1.1)
+    assert dc.tuned(60, 9, letters) is None  # then every place is verified
+    index = dc.ItemIndex.build([(1, "a short item to look for")], dc.MAX_EDITS).tune()
+    assert set(index.sampling.values()) == {None} and dc.find_in(index, pa.array(["x a short itm to lok for y"]), False)
+
+
+def test_embedding_is_the_walk():
+    rng = np.random.default_rng(2)
+    bits = np.concatenate([rng.integers(0, 2, (20, 256)), np.ones((20, 1), np.int64)], axis=1)
+    text = np.frombuffer(b"abcabcde", np.uint8)
+    got = dc.embed(text, np.asarray([0, 3, 8]), np.asarray([3, 8, 8]), bits)
+    for k, (a, b) in enumerate([(0, 3), (3, 8), (8, 8)]):
+        want = []
+        for t in range(20):
+            c = int(text[a]) if a < b else dc.END
+            want.append(c)
+            a += int(bits[t, c])
+        assert got[:, k].tolist() == want
+    assert dc.embed(text[:0], np.asarray([0]), np.asarray([0]), bits)[:, 0].tolist() == [dc.END] * 20
+
+
 def test_a_substitution_in_every_tenth_byte():
     rng = random.Random(5)
     items = ["".join(rng.choice("etaoinshrdlu  ") for _ in range(200)) for _ in range(10)]
