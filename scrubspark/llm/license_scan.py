@@ -2,11 +2,13 @@
 
 Base labels: places where the words of a phrase stand one after another. The method:
 each file's licence words (template words that are no function words) are ranked by
-inverse document frequency over all files; the highest ``TOP_WORDS`` are looked up in the
-templates' postings (word, template, place), and postings are intersected by relative
-position: file place minus template place. A template holds if, at one relative position,
-enough of its licence words agree and the file has the template's mandatory key phrase.
-Its label is added to the base ones.
+inverse document frequency over all files. For every template whose mandatory key phrase
+the file has, the file's rarest words of that template are looked up in its postings
+(word, template, place) and give the relative positions to look at, file place minus
+template place; there postings are intersected over all of its licence words. A template
+holds if at one relative position ``LEAST_SHARE`` of them agree. Of n words of which m must
+agree, n - m + 1 are looked up: at most n - m of them can disagree, so no position is
+lost, however many templates a file holds. Labels of templates are added to the base ones.
 
 One pass over the texts gives narrow rows (counts, base places, places of licence words)
 that are written to the shared folder; document frequencies, ranks and intersections work
@@ -25,7 +27,6 @@ from pyspark.sql import functions as F
 
 from scrubspark.llm.common import checkpointed
 
-TOP_WORDS = 8
 LEAST_SHARE = 0.6  # of a template's licence words that must agree
 
 # Base phrases, then templates as (label, words, mandatory key phrase).
@@ -61,6 +62,11 @@ def _sizes() -> list[int]:
     return sizes
 
 
+def lookups() -> list[int]:
+    """Words of each template that are looked up: one more than may disagree."""
+    return [n - min(k for k in range(n + 1) if k / n >= LEAST_SHARE) + 1 for n in _sizes()]
+
+
 def _spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
@@ -117,15 +123,20 @@ def scan(docs: DataFrame) -> DataFrame:
     ranks = F.create_map(*[F.lit(x) for w, n in sorted(frequency.items()) for x in (w, n)]) if frequency else F.lit(None).cast("map<string,long>")
     present = F.array_distinct(F.transform("hits", lambda h: h["w"]))
     ranked = F.array_sort(F.transform(present, lambda w: F.named_struct(F.lit("n"), F.element_at(ranks, w), F.lit("w"), w)))
-    top = F.transform(F.slice(ranked, 1, TOP_WORDS), lambda x: x["w"])
-    looked = files.select("doc_id", "key", "phrases", top.alias("top"), F.explode("hits").alias("h")).filter(F.array_contains(F.col("top"), F.col("h.w")))
+    own_words: list[list[str]] = [sorted({w for w, k, _ in postings() if k == t}) for t in range(len(TEMPLATES))]
+    rare = F.transform("ranked", lambda x: x["w"])
+    among = lambda own: lambda w: w.isin(own)
+    rarest = F.array(*[F.when(F.array_contains("phrases", t), F.slice(F.filter(rare, among(own)), 1, n)) for t, (own, n) in enumerate(zip(own_words, lookups()))])
+    looked = files.filter("size(phrases) > 0").withColumn("ranked", ranked).select("doc_id", "key", "phrases", rarest.alias("rarest"), F.explode("hits").alias("h"))
     sizes = F.array(*[F.lit(n) for n in _sizes()])
     agreed = (
-        looked.select("doc_id", "key", "phrases", F.col("h.w").alias("w"), F.col("h.i").alias("i"))
+        looked.select("doc_id", "key", "phrases", "rarest", F.col("h.w").alias("w"), F.col("h.i").alias("i"))
         .join(index, "w")
         .filter(F.array_contains(F.col("phrases"), F.col("template")))
+        .withColumn("looked", F.array_contains(F.element_at("rarest", F.col("template") + 1), F.col("w")))
         .groupBy("doc_id", "key", "template", (F.col("i") - F.col("place")).alias("offset"))
-        .agg(F.countDistinct("place").alias("n"))
+        .agg(F.countDistinct("place").alias("n"), F.max("looked").alias("looked"))
+        .filter("looked")
         .withColumn("share", F.col("n") / F.element_at(sizes, F.col("template") + 1))
         .filter(F.col("share") >= LEAST_SHARE)
         .groupBy("doc_id", "key")
@@ -166,12 +177,8 @@ base AS (
   FROM b WHERE label IS NOT NULL GROUP BY r),
 template(template, label, phrase, size) AS (VALUES {_values((i, label, phrase, _sizes()[i]) for i, (label, _, phrase) in enumerate(TEMPLATES))}),
 posting(w, template, place) AS (VALUES {_values(postings())}),
-df AS (SELECT w, count(DISTINCT r) AS n FROM w WHERE w IN (SELECT w FROM posting) GROUP BY w),
-ranked AS (
-  SELECT r, w, row_number() OVER (PARTITION BY r ORDER BY n, w) AS k FROM (SELECT DISTINCT r, w FROM w) JOIN df USING (w)),
 hit AS (
-  SELECT w.r, template, i - place AS at, count(DISTINCT place) AS n
-  FROM w JOIN ranked ON ranked.r = w.r AND ranked.w = w.w AND k <= {TOP_WORDS} JOIN posting ON posting.w = w.w GROUP BY ALL),
+  SELECT w.r, template, i - place AS at, count(DISTINCT place) AS n FROM w JOIN posting ON posting.w = w.w GROUP BY ALL),
 own AS (
   SELECT hit.r, max(n / size) AS share, list_distinct(list(label)) AS labels
   FROM hit JOIN template USING (template) JOIN d ON d.r = hit.r

@@ -12,8 +12,6 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 def plain(rows):
     """Results of all rows by plain loops."""
     words = [WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for _, t in rows]
-    vocabulary = {w for w, _, _ in ls.postings()}
-    df = {v: sum(v in w for w in map(set, words)) for v in vocabulary}
     out = []
     for (doc_id, _), w in zip(rows, words):
         places, base = [], set()
@@ -22,12 +20,11 @@ def plain(rows):
             at = [i for i in range(len(w)) if w[i : i + len(p)] == p]
             places += at
             base |= {label} if at else set()
-        top = sorted({x for x in w if x in vocabulary}, key=lambda x: (df[x], x))[: ls.TOP_WORDS]
         best, own = None, set()
         for t, (label, words_t, phrase) in enumerate(ls.TEMPLATES):
             post = [(x, i) for x, k, i in ls.postings() if k == t]
-            offsets = {i - j for x, j in post if x in top for i in range(len(w)) if w[i] == x}
-            shares = [sum(x in top and 0 <= o + j < len(w) and w[o + j] == x for x, j in post) / len(post) for o in offsets]
+            offsets = {i - j for x, j in post for i in range(len(w)) if w[i] == x}
+            shares = [sum(0 <= o + j < len(w) and w[o + j] == x for x, j in post) / len(post) for o in offsets]
             if shares and max(shares) >= ls.LEAST_SHARE and f" {phrase} " in f" {' '.join(w)} ":
                 best, own = max(best or 0, max(shares)), own | {label}
         score = best if best is not None else 0.5 if base else 0.0
@@ -53,6 +50,30 @@ def test_against_plain_python(spark):
     assert got == plain(rows)
 
 
+def test_several_licences_in_one_file(spark):
+    text = {label: t for label, t, _ in ls.TEMPLATES}
+    mit_body = [t for label, t, _ in ls.TEMPLATES if label == "mit"][1] + " the software to deal without restriction to use copy modify merge publish distribute sublicense and or sell copies subject to the following conditions"
+    both = text["bsd"] + ".\n" + text["cc-by-sa"]
+    every = " x ".join(t for _, t, _ in ls.TEMPLATES)
+    noise = [text[label] for label in ("bsd", "cc-by-sa", "mpl")] * 5
+    rows = [(1, both), (2, both[::-1]), (3, mit_body), (4, every), (5, text["mpl"] + " " + text["bsd"]), *((10 + i, t) for i, t in enumerate(noise))]
+    got = {r.doc_id: r for r in ls.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].labels, got[3].labels, got[5].labels) == ("bsd,cc-by-sa", "mit", "bsd,mpl")
+    assert set(got[4].labels.split(",")) == set(text)
+    assert sorted((tuple(r[c] for c in COLUMNS) for r in got.values()), key=str) == plain(rows)
+
+
+def test_lookups_lose_no_position():
+    for n, k in zip(ls._sizes(), ls.lookups()):
+        need = n - k + 1
+        assert need / n >= ls.LEAST_SHARE > (need - 1) / n
+
+
+def test_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, TEXTS[8], 1, 2, "x", "y")], "doc_id long, text string, phrases int, base int, line string, ranked string")
+    assert [r.labels for r in ls.scan(docs).collect()] == ["mit"]
+
+
 def test_query_is_native_and_whole(spark):
     sf = "/root/testdata/sf0.001"
     df = ls.op3_license_scan(spark, sf)
