@@ -32,18 +32,23 @@ CELLS = 1 << 16
 SLICES = 16  # parts of a table that are summed apart
 SMOOTHING = 0.5
 MAX_LANGUAGES = 512  # learned; a table of more would not be a bounded broadcast
-MAX_SET = 4  # languages of one document
+LEAST_SHARE = 0.01  # of a document's mixture, for a language that its set may hold
 STEPS = 8  # EM steps per set
 PENALTY = 2.0  # times the usual one, as neighbouring words are not independent
 LONG = 1 << 16  # characters from which a text may be counted word by word
 CHUNK = 1 << 21  # words times languages handled at once
 
-_letter = re.compile(r"[^\W\d_]")
+_letter = re.compile(r"[^\W\d_]")  # letters, and numerals that are no digits
 _run = re.compile(rb"[A-Za-z\x80-\xff]+")
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[97:123] = _IS_WORD[65:91] = _IS_WORD[128:] = True
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; fractions, superscripts and Roman numerals are none."""
+    return any(m[0].isalpha() for m in _letter.finditer(text))
+
+
 def trigrams(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(cells, first cell of each word, place of each word) of lower-cased bytes. A word is a
     run of letters (bytes from 128 on count as such); it has one trigram around each byte,
@@ -134,7 +139,8 @@ def mixtures(likelihood: np.ndarray, weight: np.ndarray, first: np.ndarray) -> t
     value = 2 * single.max(1) - cost
     chosen = np.zeros((docs, langs), np.float32)
     chosen[np.arange(docs), best] = 1
-    share, k = full, min(langs, MAX_SET)
+    # every set is within the languages of some share, so the search begins at the most of them
+    share, k = full, int((full > LEAST_SHARE).sum(1).max(initial=1))
     while k > 1:
         kept = np.zeros((docs, langs), bool)
         np.put_along_axis(kept, rank[:, :k], True, 1)
@@ -184,7 +190,7 @@ def predict(docs: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
         for batch in batches:
             texts = str_list(batch.column(1))
             pred, score, sets = ["und"] * len(texts), [0.0] * len(texts), [""] * len(texts)
-            todo = [i for i, t in enumerate(texts) if langs and _letter.search(t)]
+            todo = [i for i, t in enumerate(texts) if langs and has_letter(t)]
 
             def settle(rows, likelihood, weight, first):
                 best, share, chosen = mixtures(likelihood, weight, first)

@@ -50,6 +50,21 @@ def test_mixture_and_set_choice():
     assert (twice[0] == best).all()
 
 
+def test_a_document_in_six_languages():
+    rng = np.random.default_rng(1)
+    rows = [[-20 + 6 * (k == i % 6) + rng.normal(0, 0.5) for k in range(8)] for i in range(600)]
+    best, share, chosen = li.mixtures(np.asarray(rows, np.float32), np.ones(600, np.float32), np.asarray([0, 600 - 60]))
+    assert set(np.flatnonzero(chosen[0])) == set(range(6)) and share[0] == pytest.approx(1 / 6, abs=0.02)
+
+
+def test_letters_and_ties(spark):
+    assert [li.has_letter(t) for t in ("½ ²", "Ⅳ ③", "12 _", "", "½ a", "é", "中")] == [False] * 4 + [True] * 3
+    same = np.full((3, 4), -5.0, np.float32)  # all languages alike: the first one
+    assert li.mixtures(same, np.ones(3, np.float32), np.asarray([0]))[0].tolist() == [0]
+    docs = spark.createDataFrame([(1, "½ ²", "en"), *((i, "the house", "en") for i in range(2, 9))], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in li.predict(docs, *li.learn(docs)).collect()} == {1: "und"} | {i: "en" for i in range(2, 9)}
+
+
 def test_long_texts_are_scored_alike(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     names, table = li.learn(docs)
