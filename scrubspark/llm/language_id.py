@@ -139,14 +139,17 @@ def mixtures(likelihood: np.ndarray, weight: np.ndarray, first: np.ndarray) -> t
     value = 2 * single.max(1) - cost
     chosen = np.zeros((docs, langs), np.float32)
     chosen[np.arange(docs), best] = 1
-    # every set is within the languages of some share, so the search begins at the most of them
-    share, k = full, int((full > LEAST_SHARE).sum(1).max(initial=1))
+    # a document's search begins at all its languages of some share, whatever the others' do
+    begin = (full > LEAST_SHARE).sum(1)
+    share, k = full, int(begin.max(initial=1))
     while k > 1:
         kept = np.zeros((docs, langs), bool)
         np.put_along_axis(kept, rank[:, :k], True, 1)
-        share = np.where(kept, np.maximum(share, 1e-12), 0).astype(np.float32)
-        share, fit = em(share / share.sum(1, keepdims=True))
-        better = 2 * fit - k * cost > value
+        some = np.where(kept, np.maximum(share, 1e-12), 0).astype(np.float32)
+        some, fit = em(some / some.sum(1, keepdims=True))
+        on = begin >= k
+        share = np.where(on[:, None], some, share)
+        better = on & (2 * fit - k * cost > value)
         value = np.where(better, 2 * fit - k * cost, value)
         chosen[better] = share[better]
         k -= 1
