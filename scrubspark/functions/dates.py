@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,3 +53,29 @@ def parse_date(c: Column | str, fmt: str) -> Column:
         text, fmt = F.initcap(F.replace(c, F.lit("-"), F.lit(" "))), fmt.replace("-", " ")
     parsed = F.try_to_timestamp(text, F.lit(fmt))
     return F.when(c.rlike(f"^(?:{shape})$"), parsed) if shape else parsed
+
+
+#: Bytes of text above which no value has a known shape.
+DATE_BYTES = 40
+
+
+def folded_shape(c: Column) -> Column:
+    """Text of a known date shape with digits as ``9`` and letters as ``a``; else NULL.
+
+    The folded texts of a column are few (a few thousand at most), whatever its values."""
+    known = "|".join(dict.fromkeys(DATE_SHAPES.values()))
+    letters, digits = string.ascii_letters, string.digits
+    folded = F.translate(c, letters + digits, "a" * len(letters) + "9" * len(digits))
+    return F.when((F.octet_length(c) <= DATE_BYTES) & c.rlike(f"^(?:{known})$"), folded)
+
+
+def formats_of_shapes(folded: list[str], formats: list[str]) -> list[str]:
+    """Those of ``formats`` that some text of these shapes may have, in their order.
+    A format without a known shape is always among them."""
+    out = []
+    for fmt in formats:
+        shape = DATE_SHAPES.get(fmt)
+        # letters that a shape names are folded in the texts as well
+        if shape is None or any(re.match(f"(?:{re.sub('[TZ]', 'a', shape.replace('A-Za-z', 'a'))})$", text) for text in folded):
+            out.append(fmt)
+    return out

@@ -3,8 +3,9 @@
 Jobs, in order:
   1. raw rows: rows, nulls and strip-change counts in one aggregate; exact
      distinct counts from one (column, value) aggregate
-  2. rows grouped by their stripped values (persisted): raw duplicates,
-     duplicates removed and the dedup frame
+  2. rows counted by the hash of their stripped values, then only those that may have an
+     equal grouped by the values themselves (persisted): raw duplicates, duplicates removed
+     and the dedup frame
   3. date detection on the deduplicated rows (hint ratio, then parse counts)
   4. numeric-text detection on the remaining text columns
   5. converted rows: null counts, counts of numeric columns
@@ -25,11 +26,11 @@ from pyspark.sql import types as T
 
 from scrubspark.functions.text import normalize_headers, strip_text
 from scrubspark.operators import stats
+from scrubspark.operators.dedup import group_equal
 from scrubspark.operators.detect import detect_dates, detect_numeric_text
 from scrubspark.operators.profile import Profile, groupable, is_missing, profile, row_digest
 from scrubspark.operators.stats import qcol
 from scrubspark.plans.cleanplan import CleanPlan, ColumnDecision
-from scrubspark.session import persist_reliably
 
 
 #: Decimal digits that hold every value of a whole type.
@@ -148,23 +149,15 @@ def clean(df: DataFrame, exact: bool = True, checkpoint: bool = False) -> CleanR
     pre = profile(df, exact=exact, duplicates=False, extra=strip_aggs)
     stripped_counts = {c: int(pre.extra[f"strip_{i}"]) for i, c in enumerate(text_cols)}
 
-    # job 2: rows grouped once by their stripped values (persisted: every later job reads
-    # it). Rows that the strip leaves alone are equal as raw rows iff they share a group;
+    # job 2: equal rows by their stripped values (persisted: every later job reads them).
+    # Rows that the strip leaves alone are equal as raw rows iff they share a group;
     # only rows that it changes are compared by a digest of their raw cells.
     changed = F.lit(False)
     for c in text_cols:
         changed = changed | F.coalesce(qcol(c) != strip_text(qcol(c)), F.lit(False))
     keys = [strip_text(k).alias(f.name) if f.name in text_cols else k.alias(f.name) for f, k in zip(fields, groupable(df))]
-    grouped = (
-        df.select(*keys, changed.alias("__changed"))
-        .groupBy(*[qcol(f.name) for f in fields])
-        .agg(F.count(F.lit(1)).alias("__n"), F.count_if(~F.col("__changed")).alias("__same"))
-    )
-    if checkpoint:
-        grouped = persist_reliably(grouped, spark)
-    else:
-        grouped = grouped.persist(StorageLevel.MEMORY_AND_DISK)
-    persisted = [grouped]
+    equal = group_equal(df.select(*keys, (~changed).alias("__as_read")), [f.name for f in fields], "__as_read", checkpoint)
+    grouped, persisted = equal.frame, equal.persisted
     g = grouped.agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum(F.col("__n") - 1).alias("dups"),

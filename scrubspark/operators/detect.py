@@ -1,16 +1,16 @@
 """Type detection on text columns: dates (C5/C6, A1) and numeric text.
 
-Two aggregate jobs at most: the date-hint ratio for every text column, then
-parse counts per candidate format only for the columns that passed the hint
-gate. Results are O(columns).
+Two aggregate jobs at most: the date-hint ratio and the shapes that occur for every text
+column, then parse counts only for the columns that passed the hint gate and only for
+formats of their shapes. Results are O(columns).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubspark.functions.dates import DATE_FORMATS, parse_date
+from scrubspark.functions.dates import DATE_FORMATS, folded_shape, formats_of_shapes, parse_date
 from scrubspark.functions.text import (
     DATE_HINT_GATE,
     DATE_PARSE_GATE,
@@ -21,40 +21,50 @@ from scrubspark.functions.text import (
 from scrubspark.operators.stats import qcol
 
 
+def _hint_aggs(i: int, c: str) -> list[Column]:
+    return [F.count(qcol(c)).alias(f"n{i}"), F.count_if(date_hint(qcol(c))).alias(f"h{i}")]
+
+
 def date_ratios(df: DataFrame, text_cols: list[str]) -> dict[str, tuple[int, int]]:
     """column -> (non-null count, values holding a date-looking substring)."""
     if not text_cols:
         return {}
-    aggs = []
-    for i, c in enumerate(text_cols):
-        aggs += [F.count(qcol(c)).alias(f"n{i}"), F.count_if(date_hint(qcol(c))).alias(f"h{i}")]
-    r = df.agg(*aggs).collect()[0]
+    r = df.agg(*[a for i, c in enumerate(text_cols) for a in _hint_aggs(i, c)]).collect()[0]
     return {c: (int(r[f"n{i}"]), int(r[f"h{i}"])) for i, c in enumerate(text_cols)}
 
 
-def parse_counts(df: DataFrame, cols: list[str], formats: list[str] = DATE_FORMATS) -> dict[str, list[int]]:
-    """column -> successful parses per format (same order as ``formats``)."""
-    if not cols:
-        return {}
-    aggs = []
-    for i, c in enumerate(cols):
-        for j, fmt in enumerate(formats):
-            aggs.append(F.count(parse_date(qcol(c), fmt)).alias(f"p{i}_{j}"))
+def parse_counts(df: DataFrame, formats: dict[str, list[str]]) -> dict[str, list[int]]:
+    """column -> successful parses per format, in the order of the column's formats."""
+    aggs = [F.count(parse_date(qcol(c), fmt)).alias(f"p{i}_{j}") for i, c in enumerate(formats) for j, fmt in enumerate(formats[c])]
+    if not aggs:
+        return {c: [] for c in formats}
     r = df.agg(*aggs).collect()[0]
-    return {c: [int(r[f"p{i}_{j}"]) for j in range(len(formats))] for i, c in enumerate(cols)}
+    return {c: [int(r[f"p{i}_{j}"]) for j in range(len(formats[c]))] for i, c in enumerate(formats)}
 
 
 def detect_dates(df: DataFrame, text_cols: list[str], formats: list[str] = DATE_FORMATS) -> dict[str, str]:
-    """column -> chosen format, for text columns that pass both gates."""
-    ratios = date_ratios(df, text_cols)
-    cands = [c for c, (n, h) in ratios.items() if n > 0 and h / n >= DATE_HINT_GATE]
-    counts = parse_counts(df, cands, formats)
+    """column -> chosen format, for text columns that pass both gates.
+
+    The scan for the hint also gathers the shapes that occur in each column; only formats
+    of those shapes are tried, so the cost does not grow with the number of formats."""
+    if not text_cols:
+        return {}
+    aggs = []
+    for i, c in enumerate(text_cols):
+        aggs += [*_hint_aggs(i, c), F.collect_set(folded_shape(qcol(c))).alias(f"s{i}")]
+    r = df.agg(*aggs).collect()[0]
+    tried = {}
+    for i, c in enumerate(text_cols):
+        if r[f"n{i}"] > 0 and r[f"h{i}"] / r[f"n{i}"] >= DATE_HINT_GATE:
+            tried[c] = formats_of_shapes(r[f"s{i}"], formats)
+    counts = parse_counts(df, tried)
     out = {}
-    for c in cands:
-        n = ratios[c][0]
-        best = max(range(len(formats)), key=lambda j: (counts[c][j], -j))
-        if counts[c][best] / n >= DATE_PARSE_GATE:
-            out[c] = formats[best]
+    for c, fmts in tried.items():
+        if not fmts:
+            continue
+        best = max(range(len(fmts)), key=lambda j: (counts[c][j], -j))
+        if counts[c][best] / r[f"n{text_cols.index(c)}"] >= DATE_PARSE_GATE:
+            out[c] = fmts[best]
     return out
 
 
