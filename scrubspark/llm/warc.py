@@ -26,12 +26,15 @@ SKIPPABLE_MAGIC = 0x184D2A5D  # skippable frame that carries a dictionary
 ZSTD_MAGIC = 0xFD2FB528
 DICT_MAGIC = 0xEC30A437
 WARC_VERSION = "WARC/1.1"
+WARC_VERSIONS = ("WARC/1.0", "WARC/1.1")
+DIGEST_BYTES = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
 RECORD_DATE = "2024-01-01T00:00:00Z"
 
 ARCHIVE_BYTES = 32 << 20  # payload bytes per archive file
 DICT_BYTES = 32 << 10
 SAMPLE_BYTES = 2 << 20  # payloads at the head of an archive that its dictionary is trained on
 MIN_REVISIT_BYTES = 1000
+MAX_RECORD_BYTES = (1 << 31) - 1  # a binary cell holds no more
 SALTS = 16
 
 
@@ -181,49 +184,134 @@ def frames(data: memoryview) -> Iterator[tuple[int, int, int]]:
         at = end
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    """Named fields by lower-case name; folded lines are joined, the first of equal names counts."""
+    out: dict[str, str] = {}
+    name = None
+    for line in head.decode("utf-8", "replace").split("\r\n"):
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        name = name.strip().lower()
+        if not colon:
+            raise ValueError("header line without a name")
+        if name in out:
+            name = None
+        else:
+            out[name] = value.strip()
+    return out
+
+
+def stated_digest(value: str | None) -> tuple[str, str] | None:
+    """(algorithm, lower-case hex) of a labelled digest in hex, base 32 or base 64; None if it
+    is absent or of an algorithm that is not known here."""
+    label, _, text = (value or "").partition(":")
+    algorithm = label.strip().lower().replace("-", "")
+    size = DIGEST_BYTES.get(algorithm)
+    if size is None:
+        return None
+    text = text.strip()
+    if re.fullmatch(r"[0-9a-fA-F]{%d}" % (2 * size), text):
+        return algorithm, text.lower()
+    for decode, form in ((base64.b32decode, text.upper() + "=" * (-len(text) % 8)), (base64.b64decode, text + "=" * (-len(text) % 4))):
+        try:
+            raw = decode(form)
+        except ValueError:
+            continue
+        if len(raw) == size:
+            return algorithm, raw.hex()
+    raise ValueError(f"unreadable digest {value!r}")
+
+
+def _check_digest(what: str, stated: tuple[str, str] | None, data: bytes) -> None:
+    if stated and hashlib.new(stated[0], data).hexdigest() != stated[1]:
+        raise ValueError(f"{what} differs from its digest")
+
+
 def parse_record(raw: bytes) -> dict:
-    """Header fields and payload facts of one record; ValueError if it is not sound."""
+    """Header fields and payload facts of one record; ValueError if it is not sound.
+
+    WARC/1.0 and 1.1, field names in any case. The payload of an HTTP response is its body, that
+    of other records their block. Lengths and digests that the record states are checked; the
+    body's only where it is whole and not transfer-encoded. A revisit has no payload: its length
+    and digest are those that it states, or null."""
     head, gap, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
-    if not gap or lines[0] != WARC_VERSION:
+    version, _, head = head.partition(b"\r\n")
+    if not gap or version.decode("latin-1").upper() not in WARC_VERSIONS:
         raise ValueError("no WARC version line")
-    named = dict(line.split(": ", 1) for line in lines[1:])
-    missing = [k for k in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length") if k not in named]
+    named = _fields(head)
+    missing = [k for k in ("warc-type", "warc-record-id", "warc-date", "content-length") if k not in named]
     if missing:
         raise ValueError(f"record without {missing}")
-    size = int(named["Content-Length"])
+    size = int(named["content-length"])
     if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
         raise ValueError("block length differs from Content-Length")
-    http, gap, body = rest[:size].partition(b"\r\n\r\n")
-    length = re.search(rb"(?im)^content-length: (\d+)\r?$", http + b"\r\n")
-    if not gap or not http.startswith(b"HTTP/") or not length:
-        raise ValueError("no HTTP head")
-    kind, n = named["WARC-Type"], int(length[1])
-    digest = base64.b32decode(named["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-    if kind == "response" and (len(body) != n or hashlib.sha1(body).hexdigest() != digest):
-        raise ValueError("payload differs from its length or digest")
-    if kind == "revisit" and (body or "WARC-Refers-To" not in named):
-        raise ValueError("revisit with a payload or without a target")
+    block, kind = rest[:size], named["warc-type"].lower()
+    stated = stated_digest(named.get("warc-payload-digest"))
+    _check_digest("block", stated_digest(named.get("warc-block-digest")), block)
+    body, length = block, None
+    http = kind in ("response", "revisit") and named.get("content-type", "application/http").lower().startswith("application/http")
+    if http and not (kind == "revisit" and not block):
+        top, gap, body = block.partition(b"\r\n\r\n")
+        if not gap or not top.startswith(b"HTTP/"):
+            raise ValueError("no HTTP head")
+        found = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", top)
+        length = int(found[1]) if found else None
+        coded = re.search(rb"(?im)^transfer-encoding:", top)
+        if kind == "response" and not coded and "warc-truncated" not in named:
+            if length is not None and len(body) != length:
+                raise ValueError("payload differs from its length")
+            _check_digest("payload", stated, body)
+    if kind == "revisit":
+        if body or not ("warc-refers-to" in named or "warc-refers-to-target-uri" in named or "warc-profile" in named):
+            raise ValueError("revisit with a payload or without a target")
+        digest = stated[1] if stated and stated[0] == "sha1" else None
+    else:
+        length, digest = len(body), hashlib.sha1(body).hexdigest()
     number = lambda s: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", s)) else None
+    target = named.get("warc-refers-to") if kind == "revisit" else None
     return {
-        "page_id": number(named["WARC-Record-ID"]),
-        "url": named.get("WARC-Target-URI"),
+        "page_id": number(named["warc-record-id"]),
+        "url": named.get("warc-target-uri"),
         "record_type": kind,
-        "payload_bytes": n,
+        "payload_bytes": length,
         "payload_digest": digest,
-        "refers_to": number(named["WARC-Refers-To"]) if kind == "revisit" else None,
+        "refers_to": number(target or ""),
         "payload": body,
+        "record_id": named["warc-record-id"],
+        "refers_to_id": target,
     }
 
 
+def open_frame(reader, frame: bytes) -> bytes:
+    """Content of one frame, of any writer: also of one that does not state its size."""
+    import zstandard
+
+    if zstandard.frame_content_size(frame) >= 0:
+        return reader.decompress(frame)
+    with reader.stream_reader(frame) as stream:
+        parts, held = [], 0
+        while part := stream.read(1 << 20):
+            parts.append(part)
+            held += len(part)
+            if held > MAX_RECORD_BYTES:
+                raise ValueError(f"record of more than {MAX_RECORD_BYTES} bytes")
+    return b"".join(parts)
+
+
 READ = (
     "page_id long, url string, record_type string, payload_bytes long, payload_digest string, "
-    "refers_to long, payload binary"
+    "refers_to long, payload binary, record_id string, refers_to_id string"
 )
 
 
 def read_archives(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
-    """Records of all ``*.warc.zst`` files of a folder, one row each.
+    """Records of all ``*.warc.zst`` files of a folder, one row each, of any record type.
+
+    Archives of other writers are read as well: ids that are not those of pages are null in
+    ``page_id`` and ``refers_to`` and found in ``record_id`` and ``refers_to_id``. A file is
+    read by one task, a record is held whole.
 
     A damaged frame, header, length or digest raises ValueError with the file's
     path. ``payload=False`` leaves the payload column null after its check.
@@ -235,7 +323,7 @@ def read_archives(spark: SparkSession, folder: str, payload: bool = True) -> Dat
         import zstandard
 
         schema = pa.schema(
-            [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
+            [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("record_id", pa.string()), ("refers_to_id", pa.string())]
         )
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1)):
@@ -250,7 +338,7 @@ def read_archives(spark: SparkSession, folder: str, payload: bool = True) -> Dat
                             if raw:
                                 open_ = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
                         elif magic == ZSTD_MAGIC:
-                            rows.append(parse_record(open_.decompress(data[start:end])))
+                            rows.append(parse_record(open_frame(open_, bytes(data[start:end]))))
                             held += len(rows[-1]["payload"])
                             if not payload:
                                 rows[-1]["payload"] = None
