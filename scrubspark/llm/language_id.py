@@ -30,6 +30,7 @@ from scrubspark.llm.common import id_remainder, small_batches, str_list
 MODULUS, HELD_OUT = 3, 1
 CELLS = 1 << 16
 SLICES = 16  # parts of a table that are summed apart
+TASKS_PER_SALT = 256  # tasks whose slices one group of the first merge adds up
 SMOOTHING = 0.5
 MAX_LANGUAGES = 512  # learned; a table of more would not be a bounded broadcast
 LEAST_SHARE = 0.01  # of a document's mixture, for a language that its set may hold
@@ -72,12 +73,17 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     width = CELLS // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        near = TaskContext.get().partitionId() // TASKS_PER_SALT
         held: dict[str, np.ndarray] = {}
+        flushes = 0
 
         def out():
-            rows = [(lang, i, part.tobytes()) for lang, t in held.items() for i, part in enumerate(t.reshape(SLICES, width)) if part.any()]
+            salt = near + (flushes << 32)
+            rows = [(lang, i, salt, part.tobytes()) for lang, t in held.items() for i, part in enumerate(t.reshape(SLICES, width)) if part.any()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary()))], names=["lang", "part", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int32(), pa.int64(), pa.binary()))], names=["lang", "part", "salt", "counts"])
 
         for batch in batches:
             texts, langs = str_list(batch.column(0)), batch.column(1).to_pylist()
@@ -92,16 +98,23 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             if len(held) > 32:
                 yield from out()
                 held.clear()
+                flushes += 1
         yield from out()
 
-    def add(table):
-        total = np.zeros(width, np.int64)
-        for c in table.column("counts"):
-            total += np.frombuffer(c.as_py(), np.int64)
-        return pa.table({"lang": table.column("lang")[:1], "part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    kind = "lang string, part int, counts binary"
-    sums = usable.select("text", "lang").mapInArrow(count, kind).groupBy("lang", "part").applyInArrow(add, kind)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, first = np.zeros(width, np.int64), None
+        for batch in batches:
+            if batch.num_rows and first is None:
+                first = [batch.column(k)[0].as_py() for k in ("lang", "part", "salt")]
+            for c in batch.column("counts"):
+                total += np.frombuffer(c.as_py(), np.int64)
+        yield pa.RecordBatch.from_pylist([dict(zip(("lang", "part", "salt"), first), counts=total.tobytes())], schema=merged)
+
+    kind = "lang string, part int, salt long, counts binary"
+    merged = pa.schema([("lang", pa.string()), ("part", pa.int32()), ("salt", pa.int64()), ("counts", pa.binary())])
+    # slices of many tasks are added up in two steps, each read batch by batch
+    sums = usable.select("text", "lang").mapInArrow(count, kind)
+    sums = sums.groupBy("lang", "part", "salt").applyInArrow(add, kind).groupBy("lang", "part").applyInArrow(add, kind)
     rows = sums.limit(MAX_LANGUAGES * SLICES + 1).collect()
     names = sorted({r.lang for r in rows})
     if len(rows) > MAX_LANGUAGES * SLICES or len(names) > MAX_LANGUAGES:
