@@ -99,7 +99,7 @@ def test_edges_of_input(spark, monkeypatch):
 def test_counts_are_the_same_from_any_tasks(spark, monkeypatch):
     rows = [(i, f"mot {i % 41} wort{i} parola {'é' * (i % 5)}", f"l{i % 41:02d}") for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    names, whole = language_id.learn(docs.coalesce(1))
-    monkeypatch.setattr(language_id, "TASKS_PER_SALT", 2)
-    again, parts = language_id.learn(docs.repartition(9))
+    names, whole = li.learn(docs.coalesce(1))
+    monkeypatch.setattr(li, "TASKS_PER_SALT", 2)
+    again, parts = li.learn(docs.repartition(9))
     assert len(names) == 41 and names == again and (whole == parts).all()
