@@ -169,15 +169,21 @@ def _components(docs: DataFrame, doc_id: str, text: str, shingle_words: int, max
     rows = checkpointed(fingerprints(docs, doc_id, text, shingle_words))
     fps = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = union_min_labels(near_links(fps.select("fp"), max_bits))
-    linked = fps.join(roots, F.col("fp") == F.col("node"))
-    names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(names, "root").select("fp", "root", "component_id")
+    linked = checkpointed(fps.join(roots, F.col("fp") == F.col("node")).select("fp", "least", "root"))
+    names = checkpointed(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    named = _join_by_share(linked.select("fp", "root"), names, "root")
     table = fps.join(named, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
-    # a fingerprint that more than one in HOT_SHARE rows has goes by broadcast: there are fewer than HOT_SHARE
-    most = (fps.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE
-    hot = F.broadcast(checkpointed(table.filter(F.col("n") > most).select("fp", "root", "component_id")))
-    cold = table.filter(F.col("n") <= most).select("fp", "root", "component_id")
-    return rows.join(hot, "fp").unionByName(rows.join(hot.select("fp"), "fp", "left_anti").join(cold, "fp"))
+    return _join_by_share(rows, checkpointed(table), "fp")
+
+
+def _join_by_share(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each ``key`` and their number ``n``
+    in ``rows``. A key that more than one in HOT_SHARE rows has goes by broadcast, as there are
+    fewer than HOT_SHARE of them; the others go by shuffle."""
+    most = (table.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE
+    hot = F.broadcast(checkpointed(table.filter(F.col("n") > most).drop("n")))
+    cold = table.filter(F.col("n") <= most).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
