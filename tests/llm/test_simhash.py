@@ -4,6 +4,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -102,3 +103,23 @@ def test_unlike_texts_with_one_id_all_stay(spark):
         kept = simhash.drop_near_duplicates(docs.repartition(parts))
         assert kept.columns == docs.columns
         assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([(5, near, "w"), (5, other, "y"), (3, third, "v"), (None, a, "s")], key=str)
+
+
+@pytest.mark.parametrize("share", [1, 3, 10**6])
+def test_large_components_split_alike(spark, monkeypatch, share):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[:k] + ["other"] + words[k + 1 :]) for k in range(60)] + ["a b c d"] * 30 + [f"x{i} y{i * 7} z" for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(simhash, "HOT_SHARE", share)  # every key by shuffle or by broadcast
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    fps = {i: int(f, 16) for i, (f, _) in got.items()}
+    root = {i: i for i in fps}
+    changed = True
+    while changed:
+        changed = False
+        for i in fps:
+            low = min(root[j] for j in fps if (fps[i] ^ fps[j]).bit_count() <= 3)
+            if low < root[i]:
+                root[i], changed = low, True
+    assert {i: c for i, (_, c) in got.items()} == root
+    assert max(list(root.values()).count(r) for r in set(root.values())) >= 30
