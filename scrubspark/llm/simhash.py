@@ -3,21 +3,26 @@
 A 64-bit fingerprint has eight byte positions. Two fingerprints that differ in at
 most three bits differ in at most three bytes, so they share at least five
 positional bytes. The index keeps, for every choice of five positions, the posting
-list of the bytes there: a pair meets in a list exactly if its tally of shared
-positional bytes reaches five. (Lists of single bytes, tallied pair by pair, would
-each hold 1/256 of all fingerprints and so a number of pairs that grows with the
-square of the input.) Members of a list are verified by their bit distance.
+list of the bytes there. (Lists of single bytes would each hold 1/256 of all
+fingerprints and so a number of pairs that grows with the square of the input.)
+The members of a list tally their shared positional bytes pair by pair; a pair is
+retained if the tally reaches five, and only in the first of the lists that hold
+both (the one of its five lowest shared positions), then verified by its bit distance.
 
 A posting list can hold at most 2^24 different fingerprints, as 24 bits are free;
 inside a list a breadth-first search over the not yet reached members gives a
 spanning forest, so a list of n members gives at most n - 1 links and never all
-pairs. Equal fingerprints are one member.
+pairs. In a list longer than the number of differences of at most three bits every
+member looks up the partners that the list would retain instead of tallying all
+others. Equal fingerprints are one member.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -78,23 +83,72 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     return docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")).mapInArrow(run, "doc_id long, fp long")
 
 
-def spanning_links(members: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """Links (a, b) of at most ``max_bits`` differing bits that connect all members
-    which such links connect: a breadth-first spanning forest."""
+def _first_lists(shared: int) -> np.ndarray:
+    """Per set of shared positions (a byte, the first position its highest bit) the number of
+    the first list that a pair of that tally meets in; -1 if the tally is below ``shared``."""
+    number = {chosen: i for i, chosen in enumerate(combinations(range(BYTES), shared))}
+    sets = [[p for p in range(BYTES) if s >> (BYTES - 1 - p) & 1] for s in range(1 << BYTES)]
+    return np.asarray([number.get(tuple(at[:shared]), -1) for at in sets], np.int16)
+
+
+def spanning_links(members: np.ndarray, number: int, max_bits: int) -> list[tuple[int, int]]:
+    """Links (a, b) of posting list ``number`` that connect all members which its pairs
+    connect: a breadth-first spanning forest. Its pairs are those whose tally of shared
+    positional bytes reaches the minimum, whose first list this is, and whose bits differ
+    in at most ``max_bits`` places."""
+    if len(members) > sum(comb(BYTES * max_bits, k) for k in range(1, max_bits + 1)):
+        return _links_by_masks(members, number, max_bits)
+    first = _FIRST[max_bits]
     links, rest = [], members
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             u = queue.pop()
-            near = np.bitwise_count(rest ^ u) <= max_bits
-            if near.any():
+            apart = rest ^ u
+            tally = np.packbits(apart.view(np.uint8).reshape(-1, BYTES) == 0, axis=1).ravel()
+            kept = np.flatnonzero(first[tally] == number)
+            near = kept[np.bitwise_count(apart[kept]) <= max_bits]
+            if len(near):
                 found = rest[near]
                 links.extend((u, v) for v in found)
                 queue.extend(found)
-                rest = rest[~near]
+                rest = np.delete(rest, near)
     return links
 
 
+@cache
+def _masks(number: int, max_bits: int) -> np.ndarray:
+    """Differences of the pairs that list ``number`` retains."""
+    chosen = list(combinations(range(BYTES), BYTES - max_bits))[number]
+    free = [8 * p + b for p in range(BYTES) if p not in chosen for b in range(8)]
+    masks = np.asarray([sum(1 << b for b in bits) for k in range(1, max_bits + 1) for bits in combinations(free, k)], np.uint64)
+    tally = np.packbits(masks.view(np.uint8).reshape(-1, BYTES) == 0, axis=1).ravel()
+    return masks[_FIRST[max_bits][tally] == number]
+
+
+def _links_by_masks(members: np.ndarray, number: int, max_bits: int) -> list[tuple[int, int]]:
+    """``spanning_links`` of a long list: every member looks its possible partners up, so the
+    work grows with the list and not with its square."""
+    members, masks = np.sort(members), _masks(int(number), max_bits)
+    reached = np.zeros(len(members), bool)
+    links = []
+    for start in range(len(members)):
+        queue = [] if reached[start] else [start]
+        reached[start] = True
+        while queue:
+            u = members[queue.pop()]
+            partners = u ^ masks
+            at = np.minimum(np.searchsorted(members, partners), len(members) - 1)
+            at = at[(members[at] == partners) & ~reached[at]]
+            reached[at] = True
+            links.extend((u, v) for v in members[at])
+            queue.extend(at.tolist())
+    return links
+
+
+_FIRST = {bits: _first_lists(BYTES - bits) for bits in range(BYTES)}
+
+
 def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b): links between different fingerprints that give their components.
 
@@ -125,26 +179,26 @@ def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             links = []
             first_key = (number[0], shared_bytes[0])
             if held and first_key != key:
-                links += spanning_links(np.concatenate(held), max_bits)
+                links += spanning_links(np.concatenate(held), key[0], max_bits)
                 held = []
             # lists that begin and end inside the batch
             for k in np.flatnonzero(np.diff(edges) > 1):
                 if k and k < len(edges) - 2:
-                    links += spanning_links(fp[edges[k] : edges[k + 1]], max_bits)
+                    links += spanning_links(fp[edges[k] : edges[k + 1]], number[edges[k]], max_bits)
             # the first list may go on from the last batch, the last one into the next
             if len(edges) == 2:
                 held.append(fp)
             else:
                 if held or edges[1] > 1:
-                    links += spanning_links(np.concatenate([*held, fp[: edges[1]]]), max_bits)
+                    links += spanning_links(np.concatenate([*held, fp[: edges[1]]]), number[0], max_bits)
                 held = [fp[edges[-2] :]]
             key = (number[-1], shared_bytes[-1])
             if links:
                 yield out(links)
         if held:
-            yield out(spanning_links(np.concatenate(held), max_bits))
+            yield out(spanning_links(np.concatenate(held), key[0], max_bits))
 
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(

@@ -81,6 +81,46 @@ def test_links_of_dense_and_chained_fingerprints(spark):
     assert [roots.get(f, f) for f in signed] == want
 
 
+def test_pairs_are_retained_in_their_first_list_only():
+    rng = np.random.default_rng(8)
+    lists = list(combinations(range(8), 5))
+    for _ in range(300):
+        bits = rng.choice(64, rng.integers(1, 6), replace=False)
+        a = np.uint64(rng.integers(0, 1 << 63))
+        b = a ^ np.uint64(sum(1 << int(k) for k in bits))
+        equal = [p for p in range(8) if (int(a) >> 8 * p) & 255 == (int(b) >> 8 * p) & 255]
+        meets = [i for i, chosen in enumerate(lists) if set(chosen) <= set(equal)]
+        gives = [i for i in meets if simhash.spanning_links(np.asarray([a, b], np.uint64), i, 3)]
+        assert gives == (meets[:1] if len(bits) <= 3 else [])
+        assert [i for i in meets if a ^ b in simhash._masks(i, 3)] == gives
+
+
+def test_long_lists_give_the_components_of_short_ones(monkeypatch):
+    rng = np.random.default_rng(9)
+    lists = list(combinations(range(8), 5))
+    for number in (0, 23, 55):
+        free = [p for p in range(8) if p not in lists[number]]
+        fps = {sum(int(rng.integers(256)) << 8 * p for p in free) for _ in range(300)}
+        for p in free:  # one bit of a byte in some, so that up to three bytes differ
+            fps |= {f ^ 1 << 8 * p + int(rng.integers(8)) for f in list(fps) if rng.random() < 0.6}
+        members = np.asarray(sorted(fps), np.uint64)
+
+        def components(links):
+            root = {int(f): int(f) for f in members}
+            for _ in members:
+                before = dict(root)
+                for a, b in links:
+                    root[int(a)] = root[int(b)] = min(root[int(a)], root[int(b)])
+                if root == before:
+                    return root
+
+        plain = simhash.spanning_links(members, number, 3)
+        by_masks = simhash._links_by_masks(members, number, 3)
+        assert len(plain) == len(by_masks) > 100 and components(plain) == components(by_masks)
+    monkeypatch.setattr(simhash, "comb", lambda n, k: 0)  # now every list counts as long
+    assert sorted(simhash.spanning_links(members, 55, 3)) == sorted(by_masks)
+
+
 def test_edges_of_input(spark):
     a, b = "one two three four five", "ONE two\tthree four\nfive"
     rows = [(5, a, 1), (2, b, 1), (9, None, 1), (4, "", 1), (None, " \n", 1), (5, a, 1), (None, "lone word here now", 1)]
