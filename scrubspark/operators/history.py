@@ -1,14 +1,18 @@
-"""Report history (H1-H4): an append-only Parquet table partitioned by batch and client.
+"""Report history (H1-H4): an append-only store of Parquet rows under client buckets.
 
-Listing and fetching always take a client id; the equality filter on the
-partition column prunes every other client's files.
+``rows/bucket=k`` holds the rows of the clients that hash to bucket k, ``commits`` one row
+per append that came to its end. Only rows of a batch's last commit are read, so an append
+that fails on its way leaves nothing to see. Listing and fetching take a client id and read
+that client's bucket only, whatever the number of appends; ``compact_reports`` joins the
+small files of many appends.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubspark.operators.names import filename_of
@@ -17,13 +21,14 @@ from scrubspark.operators.names import filename_of
 HISTORY_PAGE = 20
 # -----------------------------------------------------------------------------
 
+BUCKETS = 64  # part of a store's layout
+CONTENT = ["client_id", "dataset_path", "ai_report", "analysis_results"]
 REPORT_COLUMNS = ["id", "created_at", "client_id", "dataset_path", "ai_report", "analysis_results"]
 
 
 def report_rows(reports: DataFrame) -> DataFrame:
-    """H1: the rows that an append stores, without their time. The id is a digest of
-    the row's content, so the same report has the same id in every attempt."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("client_id", "dataset_path", "ai_report", "analysis_results")]
+    """H1: report rows with a digest of their content as id."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in CONTENT]
     sized = [x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), p)]
     return reports.select(
         F.sha2(F.concat(*sized), 256).alias("id"),
@@ -34,28 +39,79 @@ def report_rows(reports: DataFrame) -> DataFrame:
     )
 
 
+def _bucket(client_id: Column) -> Column:
+    return F.pmod(F.xxhash64(client_id.cast("string")), F.lit(BUCKETS)).cast("int")
+
+
+def _store(rows: DataFrame, path: str) -> None:
+    """Write rows under their buckets, few files a bucket (a large one over several tasks)."""
+    rows.withColumn("bucket", _bucket(F.col("client_id"))).hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/rows")
+
+
 def append_reports(reports: DataFrame, path: str, batch: str | None = None) -> None:
     """H1: add rows (dataset_path, ai_report, analysis_results, client_id); the store
     sets id and created_at.
 
-    Rows lie under client and batch. An append with the name of an earlier batch
-    replaces that batch, so a retried one is stored once; without a name every call is
-    a batch of its own. Rows are gathered by client before the write (a large client
-    over several tasks), which keeps the number of files small."""
-    batch = batch if batch is not None else uuid.uuid4().hex
-    out = report_rows(reports).withColumns({"created_at": F.current_timestamp(), "batch": F.lit(batch)})
-    (
-        out.select(*REPORT_COLUMNS, "batch")
-        .hint("rebalance", "client_id")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch", "client_id")
-        .parquet(path)
-    )
-
-
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path).select(*REPORT_COLUMNS)
+    An append with the name of an earlier batch replaces that batch, so a retried one is
+    stored once; without a name every call is a batch of its own. The id is a digest of
+    the batch, the row's content (nulls apart from empty text) and, for equal rows of a batch,
+    their number: the same in every attempt of a batch, different in every other batch."""
+    batch, attempt = batch if batch is not None else uuid.uuid4().hex, uuid.uuid4().hex
+    nulls = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in CONTENT])
+    equal = report_rows(reports).groupBy("id", *CONTENT).agg(F.count(F.lit(1)).alias("n"))
+    each = equal.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    own = F.sha2(F.concat_ws(":", F.lit(str(len(batch))), F.lit(batch), "id", nulls, "copy"), 256)
+    out = each.withColumns({"id": own, "created_at": F.current_timestamp(), "batch": F.lit(batch), "attempt": F.lit(attempt)})
+    _store(out.select(*REPORT_COLUMNS, "batch", "attempt"), path)
+    done = reports.sparkSession.createDataFrame([(batch, attempt, 0)], "batch string, attempt string, generation int")
+    done.coalesce(1).select("batch", "attempt", F.current_timestamp().alias("at"), "generation").write.mode("append").parquet(f"{path}/commits")
+
+
+def _last_commits(commits: DataFrame) -> DataFrame:
+    last = F.max_by(F.struct("attempt", "at", "generation"), F.struct("at", "generation", "attempt"))
+    return commits.groupBy("batch").agg(last.alias("c")).select("batch", "c.*")
+
+
+def read_reports(spark: SparkSession, path: str, client_id: str | None = None) -> DataFrame:
+    """The committed rows, of one client (from its bucket alone) or of all."""
+    last = _last_commits(spark.read.parquet(f"{path}/commits")).select("batch", "attempt")
+    if client_id is None:
+        rows = spark.read.parquet(f"{path}/rows")
+    else:
+        bucket = spark.range(1).select(_bucket(F.lit(client_id))).first()[0]
+        try:
+            rows = spark.read.parquet(f"{path}/rows/bucket={bucket}").where(F.col("client_id") == F.lit(client_id))
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = spark.read.parquet(f"{path}/rows").where(F.lit(False))  # nobody's rows are in that bucket
+    return rows.join(last, ["batch", "attempt"], "left_semi").select(*REPORT_COLUMNS)
+
+
+def compact_reports(spark: SparkSession, path: str) -> list[str]:
+    """Write the committed rows anew in few files a bucket; return the files that they
+    replace. Those can be given to ``drop_files`` as soon as no reader from before uses
+    them. Appends may run meanwhile, another compaction may not. Rows keep their batch,
+    so a named batch can still be replaced. Files of appends that never came to a commit
+    stay, as they may still be in work."""
+    commits = spark.read.parquet(f"{path}/commits")  # before the rows: all rows of these commits are listed
+    rows = spark.read.parquet(f"{path}/rows").select("*", F.col("_metadata.file_path").alias("file"))
+    # one name per file
+    old = [r["file"] for r in rows.join(commits.select("attempt").distinct(), "attempt", "left_semi").select("file").distinct().collect()]
+    attempt, last = F.lit(uuid.uuid4().hex), _last_commits(commits)
+    current = rows.join(last.select("batch", "attempt"), ["batch", "attempt"], "left_semi")
+    _store(current.withColumn("attempt", attempt).select(*REPORT_COLUMNS, "batch", "attempt"), path)
+    moved = last.select("batch", attempt.alias("attempt"), "at", (F.col("generation") + 1).alias("generation"))
+    moved.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return old + commits.inputFiles()
+
+
+def drop_files(spark: SparkSession, files: list[str]) -> None:
+    """Delete files that a compaction has replaced."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for file in files:
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        at.getFileSystem(conf).delete(at, False)
 
 
 def list_reports(reports: DataFrame, client_id: str | None, limit: int = HISTORY_PAGE) -> DataFrame:

@@ -390,11 +390,15 @@ def _monthly() -> str:
 def _overview() -> str:
     tot = " + ".join(f"o_{c}" for c in ORDERS_NUM)
     return f"""WITH {quart_cte('orders', ORDERS_NUM)}, {outliers_cte('orders', ORDERS_NUM)}
-SELECT CAST(n_rows AS BIGINT) AS total_rows, CAST(6 AS BIGINT) AS total_columns, CAST(3 AS BIGINT) AS numeric_columns_count,
-  CAST(2 AS BIGINT) AS categorical_columns_count, CAST(1 AS BIGINT) AS datetime_columns_detected,
-  'o_orderkey, o_custkey, o_totalprice' AS numeric_columns, 'o_orderstatus, o_orderpriority' AS categorical_columns,
-  'o_orderdate' AS datetime_columns, CAST({tot} AS BIGINT) AS total_outliers_detected,
-  {r6(f'CAST({tot} AS DOUBLE) / (n_rows * 3) * 100')} AS overall_outlier_percentage FROM oc"""
+SELECT CAST(n_rows AS BIGINT) AS total_rows, k.*, CAST({tot} AS BIGINT) AS total_outliers_detected,
+  {r6(f'CAST({tot} AS DOUBLE) / (n_rows * numeric_columns_count) * 100')} AS overall_outlier_percentage
+FROM oc, (SELECT count(*) AS total_columns, count(*) FILTER (kind = 'n') AS numeric_columns_count,
+    count(*) FILTER (kind = 'c') AS categorical_columns_count, count(*) FILTER (kind = 'd') AS datetime_columns_detected,
+    string_agg(name, ', ' ORDER BY pos) FILTER (kind = 'n') AS numeric_columns,
+    string_agg(name, ', ' ORDER BY pos) FILTER (kind = 'c') AS categorical_columns,
+    string_agg(name, ', ' ORDER BY pos) FILTER (kind = 'd') AS datetime_columns
+  FROM (SELECT row_number() OVER () AS pos, column_name AS name, CASE WHEN column_type = 'VARCHAR' THEN 'c'
+      WHEN column_type LIKE 'TIMESTAMP%' OR column_type = 'DATE' THEN 'd' ELSE 'n' END AS kind FROM (DESCRIBE orders)) t) k"""
 
 
 def _outlier_ranking() -> str:
@@ -603,6 +607,12 @@ def _history_rows() -> str:
 SELECT sha256({parts}) AS id, client_id, dataset_path, ai_report, analysis_results FROM reports"""
 
 
+def _history_stored(batches: list[str]) -> str:
+    names = ", ".join(f"('{b}')" for b in batches)
+    return f"""SELECT sha256(CAST(length(batch) AS VARCHAR) || ':' || batch || ':' || id || ':0000:1') AS id,
+  client_id, dataset_path, ai_report, analysis_results FROM ({_history_rows()}) h, (VALUES {names}) b(batch)"""
+
+
 # ----------------------------------------------------------------------------- charts over wide tables
 
 LINEITEM_INT = {"l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"}
@@ -856,7 +866,9 @@ UNION ALL SELECT 'value', o_value, {r6('o_value / n_rows * 100')} FROM oc""",
     "delimiter_counts": _delimiter_counts(),
     "date_shapes": _date_shapes(),
     "history_rows": _history_rows(),
-    "history_append": f"SELECT h.* FROM ({_history_rows()}) h, range(2)",
+    "history_append": _history_stored(["first", "second"]),
+    "history_compacted": _history_stored(["first", "second"]),
+    "history_client": f"SELECT * FROM ({_history_stored(['first'])}) s WHERE client_id = 'src1'",
     "csv_latin1": f"SELECT c_custkey, c_name || ' é, à' AS c_name, {r6('c_acctbal')} AS c_acctbal FROM customer",
     "csv_quoted": f"""SELECT c_custkey, CASE WHEN c_custkey % 3 > 0
   THEN 'say "' || c_name || '", then;' || chr(10) || chr(92) || ' and' || chr(9) || '"' || CAST(c_custkey AS VARCHAR) || chr(10) || ', end'

@@ -485,6 +485,24 @@ def q_history_append(spark, sf):
     return history.read_reports(spark, path).drop("created_at")
 
 
+def q_history_compacted(spark, sf):
+    """As above, one batch appended again after its files were joined with the others."""
+    path = shared_folder(spark, "history")
+    reports = _reports(spark, sf)
+    for batch in ("first", "second"):
+        history.append_reports(reports, path, batch)
+    history.drop_files(spark, history.compact_reports(spark, path))
+    history.append_reports(reports, path, "first")
+    return history.read_reports(spark, path).drop("created_at")
+
+
+def q_history_client(spark, sf):
+    """One client's rows, read from its bucket."""
+    path = shared_folder(spark, "history")
+    history.append_reports(_reports(spark, sf), path, "first")
+    return history.read_reports(spark, path, "src1").drop("created_at")
+
+
 def q_distribution_data(spark, sf):
     return canon(charts.distribution_data(analysis(spark, sf, "lineitem")))
 
@@ -577,6 +595,8 @@ QUERIES = {
     "date_shapes": q_date_shapes,
     "history_rows": q_history_rows,
     "history_append": q_history_append,
+    "history_compacted": q_history_compacted,
+    "history_client": q_history_client,
     "distribution_data": q_distribution_data,
     "chart_bundle": q_chart_bundle,
     "analysis_sections": q_analysis_sections,

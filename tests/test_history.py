@@ -25,9 +25,13 @@ def test_append_list_fetch_isolation(spark):
     assert history.fetch_report(rep, rid, "c1").count() == 1
     assert history.fetch_report(rep, rid, "c2").count() == 0
     assert history.list_reports(rep, None).count() == 0
-    # the client filter is a partition filter
-    plan = rep.where(F.col("client_id") == "c1")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan and "client_id" in plan
+    # a client's rows come from its bucket alone
+    own = history.read_reports(spark, d, "c1")
+    assert [r.id for r in own.collect()] == [rid]
+    assert {os.path.basename(os.path.dirname(f)) for f in own.inputFiles() if "/rows/" in f} == {
+        f"bucket={spark.range(1).select(history._bucket(F.lit('c1'))).first()[0]}"
+    }
+    assert history.read_reports(spark, d, "nobody").count() == 0
 
 
 REPORT = "client_id string, dataset_path string, ai_report string, analysis_results string"
@@ -43,7 +47,46 @@ def test_repeated_batch_is_stored_once(spark):
     history.append_reports(rows, d, batch="b2")
     history.append_reports(rows, d)
     got = history.read_reports(spark, d)
-    assert got.count() == 6 and {r.id for r in got.collect()} == first
+    assert got.count() == 6 and len({r.id for r in got.collect()} - first) == 4
+    assert first < {r.id for r in got.collect()}
+
+
+def test_equal_rows_empty_clients_and_nulls_keep_apart(spark):
+    d = os.path.join(tempfile.mkdtemp(prefix="scrubspark-hist-"), "reports")
+    rows = [("c1", "a.csv", "{}", "{}")] * 3 + [("", "a.csv", "{}", "{}"), (None, "a.csv", "{}", "{}"), ("c1", None, "{}", "{}"), ("c1", "", "{}", "{}")]
+    history.append_reports(spark.createDataFrame(rows, REPORT), d, "b")
+    got = history.read_reports(spark, d).collect()
+    assert sorted([(r.client_id, r.dataset_path) for r in got], key=str) == sorted([r[:2] for r in rows], key=str)
+    assert len({r.id for r in got}) == len(rows)
+    history.append_reports(spark.createDataFrame([], REPORT), d, "none")
+    assert history.read_reports(spark, d).count() == len(rows)
+    assert history.read_reports(spark, d, "").count() == 1
+
+
+def test_compaction_joins_files_and_keeps_batches(spark):
+    d = os.path.join(tempfile.mkdtemp(prefix="scrubspark-hist-"), "reports")
+    rows = spark.createDataFrame([(f"c{i}", f"{i}.csv", "{}", "{}") for i in range(3)], REPORT)
+
+    def files(kind):
+        return [f for top, _, names in os.walk(os.path.join(d, kind)) for f in names if f.endswith(".parquet")]
+
+    for batch in ("b1", None, None, "b1"):
+        history.append_reports(rows, d, batch)
+    # an append without its commit is not seen, and a compaction leaves it
+    lost = rows.selectExpr("'x' AS id", "current_timestamp() AS created_at", "*", "'b9' AS batch", "'lost' AS attempt")
+    history._store(lost.select(*history.REPORT_COLUMNS, "batch", "attempt"), d)
+    before = sorted(tuple(r) for r in history.read_reports(spark, d).collect())
+    assert len(before) == 9 and len(files("commits")) == 4
+    n = len(files("rows"))
+    replaced = history.compact_reports(spark, d)
+    assert sorted(tuple(r) for r in history.read_reports(spark, d).collect()) == before
+    history.drop_files(spark, replaced)
+    assert sorted(tuple(r) for r in history.read_reports(spark, d).collect()) == before
+    buckets = len(os.listdir(os.path.join(d, "rows"))) - 2  # marker files apart
+    assert len(files("commits")) == 1 and len(files("rows")) <= 2 * buckets < n
+    history.append_reports(rows.limit(1), d, "b1")
+    again = history.read_reports(spark, d).collect()
+    assert len(again) == 7 and len({r.id for r in again} - {r[0] for r in before}) == 0
 
 
 def test_stream_goes_on_in_a_later_session(spark):
