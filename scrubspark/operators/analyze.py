@@ -338,17 +338,17 @@ class Analysis:
 
     def _wide_values(self, top: DataFrame) -> DataFrame:
         """``top`` (pos, rank, value, count) with the digests' texts: the few digests are
-        looked up in the columns that hold them."""
+        looked up in the columns that hold them, all columns in one scan."""
         held = top.where(F.length("value") > WIDE_TEXT).select("pos", "value").collect()  # k per column
         if not held:
             return top
-        texts = None
+        cells = []
         for pos in sorted({r["pos"] for r in held}):
-            c = qcol(self.categorical[pos])
-            keys = [r["value"] for r in held if r["pos"] == pos]
-            t = self.df.select(F.lit(pos).alias("pos"), narrow_text(c).alias("value"), c.alias("text")).where(F.col("value").isin(keys))
-            t = t.groupBy("pos", "value").agg(F.first("text").alias("text"))
-            texts = t if texts is None else texts.unionByName(t)
+            c, keys = qcol(self.categorical[pos]), [r["value"] for r in held if r["pos"] == pos]
+            digest = narrow_text(c)
+            cells.append(F.when(digest.isin(keys), F.struct(F.lit(pos).alias("pos"), digest.alias("value"), c.alias("text"))))
+        found = self.df.select(F.explode(F.array_compact(F.array(*cells))).alias("cell")).select("cell.*")
+        texts = found.groupBy("pos", "value").agg(F.first("text").alias("text"))
         return top.join(F.broadcast(texts), ["pos", "value"], "left").withColumn("value", F.coalesce("text", "value")).drop("text")
 
     def _names(self, cols: list[str], name: str = "column") -> DataFrame:

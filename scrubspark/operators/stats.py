@@ -186,31 +186,34 @@ def moments(df: DataFrame, cols: list[str]) -> tuple[int, dict[str, ColumnMoment
 
 _SUMS = ("n", "x", "y", "xx", "yy", "xy")
 _GRAM = "i int, salt int, " + ", ".join(f"{k} array<double>" for k in _SUMS)
+_CELLS = 1 << 20  # pairs whose sums a task holds at once (48 MB)
 _MERGE = 64  # partial rows of a column that are added up together before the rest
 
 
-def _gram_rows(means: list[float]):
-    """Per task one row per column i: sums over rows in which i and j are both present,
-    for every j, of 1, x, y, x*x, y*y and x*y (x, y: values of i and j minus their means)."""
+def _gram_rows(means: list[float], lo: int, hi: int):
+    """Per task one row per column i of lo .. hi - 1: sums over rows in which i and j are both present,
+    for every j from lo on, of 1, x, y, x*x, y*y and x*y (x, y: values of i and j minus their means)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, m = len(means), np.asarray(means)
-        total = {k: np.zeros((p, p)) for k in _SUMS}
+        m = np.asarray(means)[lo:]
+        total = {k: np.zeros((hi - lo, len(m))) for k in _SUMS}
         seen = False
         for batch in batches:
             seen = True
-            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1)
-            here = ~np.isnan(x)
-            x, w = np.where(here, x - m, 0.0), here.astype(float)
+            y = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[lo:]], axis=1)
+            here = ~np.isnan(y)
+            y, w = np.where(here, y - m, 0.0), here.astype(float)
+            x, v = y[:, : hi - lo].T, w[:, : hi - lo].T
             with np.errstate(invalid="ignore"):  # infinities make a pair undefined
-                total["n"] += w.T @ w
-                total["x"] += x.T @ w
-                total["xx"] += (x * x).T @ w
-                total["xy"] += x.T @ x
+                total["n"] += v @ w
+                total["x"] += x @ w
+                total["y"] += v @ y
+                total["xx"] += (x * x) @ w
+                total["yy"] += v @ (y * y)
+                total["xy"] += x @ y
         if seen:
-            total["y"], total["yy"] = total["x"].T, total["xx"].T
             salt = TaskContext.get().partitionId() % _MERGE
-            cols = [pa.array(range(p), pa.int32()), pa.array([salt] * p, pa.int32())]
+            cols = [pa.array(range(lo, hi), pa.int32()), pa.array([salt] * (hi - lo), pa.int32())]
             cols += [pa.array(list(total[k]), pa.list_(pa.float64())) for k in _SUMS]
             yield pa.RecordBatch.from_arrays(cols, names=["i", "salt", *_SUMS])
 
@@ -225,12 +228,18 @@ def _add_rows(table):
 
 def pair_correlations(proj: DataFrame, means: list[float | None], constant: list[bool]) -> DataFrame:
     """(i, j, r), i < j: pairwise-complete Pearson r of the columns of ``proj``, NULL where
-    undefined. One scan for any number of columns: tasks add up blocks of products, and the
-    sums of a column are merged in two steps, so that no task holds more than some of them."""
-    parts = proj.mapInArrow(_gram_rows([m if m is not None and math.isfinite(m) else 0.0 for m in means]), _GRAM)
-    merged = parts.groupBy("i", "salt").applyInArrow(_add_rows, _GRAM).groupBy("i").applyInArrow(_add_rows, _GRAM)
-    z = F.arrays_zip(*_SUMS)
-    each = merged.select("i", F.posexplode(z).alias("j", "s")).where("j > i").select("i", "j", "s.*")
+    undefined. Tasks add up blocks of products, and the sums of a column are merged in two
+    steps, so that no task holds more than some of them. A scan covers as many columns i as
+    ``_CELLS`` pairs allow: about a thousand columns take one scan, wider tables a band of
+    the matrix each."""
+    centre = [m if m is not None and math.isfinite(m) else 0.0 for m in means]
+    p, each = len(centre), None
+    band = max(1, _CELLS // p)
+    for lo in range(0, p, band):
+        parts = proj.mapInArrow(_gram_rows(centre, lo, min(lo + band, p)), _GRAM)
+        merged = parts.groupBy("i", "salt").applyInArrow(_add_rows, _GRAM).groupBy("i").applyInArrow(_add_rows, _GRAM)
+        rows = merged.select("i", F.posexplode(F.arrays_zip(*_SUMS)).alias("at", "s")).select("i", (F.col("at") + lo).alias("j"), "s.*").where("j > i")
+        each = rows if each is None else each.unionByName(rows)
     n = F.col("n")
     cxx, cyy, cxy = (F.col(k) - F.col(a) * F.col(b) / n for k, a, b in (("xx", "x", "x"), ("yy", "y", "y"), ("xy", "x", "y")))
     flat = [k for k, c in enumerate(constant) if c]

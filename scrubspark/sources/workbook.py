@@ -83,6 +83,20 @@ def _date_text(serial: str, first_day: datetime) -> str:
     return when.strftime("%Y-%m-%d") if seconds % 86400 == 0 else when.strftime("%Y-%m-%d %H:%M:%S")
 
 
+def _elements(part, name: str, parent: str) -> Iterator[ET.Element]:
+    """The elements ``name`` of an XML part one by one; each is let go after its use, so that
+    memory does not grow with their number."""
+    holder = None
+    for event, element in ET.iterparse(part, ("start", "end")):
+        if event == "start":
+            if element.tag == parent:
+                holder = element
+        elif element.tag == name:
+            yield element
+            if holder is not None:
+                holder.clear()
+
+
 def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
     """Rows of the first sheet as text cells (None for empty cells). A cell without a
     reference follows the one before it; day numbers in a date style become ISO text."""
@@ -90,18 +104,16 @@ def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
     tag = lambda name: f"{{{_NS['m']}}}{name}"
     shared: list[str] = []
     if "xl/sharedStrings.xml" in z.namelist():
-        sst = ET.fromstring(z.read("xl/sharedStrings.xml"))
-        for si in sst.findall("m:si", _NS):
-            shared.append("".join(t.text or "" for t in si.iter(tag("t"))))
+        with z.open("xl/sharedStrings.xml") as part:
+            for si in _elements(part, tag("si"), tag("sst")):
+                shared.append("".join(t.text or "" for t in si.iter(tag("t"))))
     dates, first_day = _date_styles(z), datetime(1899, 12, 30)
     if "xl/workbook.xml" in z.namelist():
         props = ET.fromstring(z.read("xl/workbook.xml")).find("m:workbookPr", _NS)
         if props is not None and props.get("date1904") in ("1", "true"):
             first_day = datetime(1904, 1, 1)
     with z.open(_first_sheet(z)) as sheet:
-        for _, row in ET.iterparse(sheet):
-            if row.tag != tag("row"):
-                continue
+        for row in _elements(sheet, tag("row"), tag("sheetData")):
             cells: dict[int, str | None] = {}
             at = -1
             for c in row.findall("m:c", _NS):
@@ -120,7 +132,6 @@ def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
                 else:
                     cells[at] = v.text
             yield [cells.get(i) for i in range(max(cells) + 1 if cells else 0)]
-            row.clear()
 
 
 def _explode_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

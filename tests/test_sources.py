@@ -236,3 +236,31 @@ def test_sink_and_read_back(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect())) and got.columns == df.columns
         with pytest.raises(Exception, match="(?i)exist"):
             write_cleaned(df, path, fmt)
+
+
+def test_sheet_memory_does_not_grow_with_its_rows():
+    import io
+    import tracemalloc
+    import zipfile
+
+    from scrubspark.sources.workbook import sheet_rows
+
+    def book(n):
+        ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+        rows = "".join(f'<row><c t="s"><v>{i % 7}</v></c><c><v>{i}</v></c><c t="inlineStr"><is><t>t{i}</t></is></c></row>' for i in range(n))
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("xl/sharedStrings.xml", f"<sst {ns}>" + "".join(f"<si><r><t>s</t></r><r><t>{i}</t></r></si>" for i in range(7)) + "</sst>")
+            z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{rows}</sheetData></worksheet>")
+        return out.getvalue()
+
+    peaks = []
+    for n in (2000, 20000):
+        content = book(n)
+        tracemalloc.start()
+        for i, row in enumerate(sheet_rows(content)):
+            assert row == [f"s{i % 7}", str(i), f"t{i}"]
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert i == n - 1
+    assert peaks[1] < peaks[0] + (1 << 19), peaks
