@@ -109,3 +109,43 @@ def test_verdicts_do_not_depend_on_the_partitioning(spark):
         forest, threshold = q.fit(some, labels, forest_rows=90, labelled_rows=60)
         results.append((threshold, sorted((r.doc_id, r.kept, r.anomaly) for r in q.judge(some, forest, threshold).collect())))
     assert results[0] == results[1] == results[2] and len(results[0][1]) == docs.count()
+
+
+def test_fit_takes_all_rows(spark, monkeypatch):
+    # more rows than any bound of a sample; a class that only a few labelled rows show
+    n = 25_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat(repeat(concat('w', id % 97, ' x', id, ' '), 30), if(id % 5000 = 7, repeat('# ', 900), '')) AS text").repartition(7)
+    stats = lambda t: [60 + 900 * ("#" in t), len(t), 900 * ("#" in t), 0, 0, 1, 60, 0, len(t) % 7, 0]
+    monkeypatch.setattr(q, "statistics", stats)
+    labels = spark.range(n).selectExpr("id AS doc_id", "CAST(id % 5000 <> 7 AS INT) AS quality")
+    seen, grow = [], q.Forest.recount
+    monkeypatch.setattr(q.Forest, "recount", lambda self, sizes, total: (seen.append((sizes, total)), grow(self, sizes, total))[1])
+    counted = []
+    best = q.best_threshold
+    monkeypatch.setattr(q, "best_threshold", lambda scored: (counted.append(sorted((r.score, r.good) for r in scored.collect())), best(scored))[1])
+    forest, threshold = q.fit(docs, labels)
+    [(sizes, total)], [rows] = seen, counted
+    assert total == n and (sizes.sum(1) == n).all()  # every row is in a leaf of every tree
+    assert len(rows) == n and sum(not good for _, good in rows) == 5  # and every labelled one is judged
+    assert threshold == q.calibrate(*(np.asarray(c) for c in zip(*rows)))
+
+
+def test_threshold_over_ranges_is_that_of_one_list(spark):
+    rng = np.random.default_rng(5)
+    for loss in (0.0, 0.01, 0.2):
+        score, good = rng.integers(0, 400, 3000) / 400, rng.random(3000) < 0.8
+        score[~good] += rng.random((~good).sum()) // 0.5 * 0.25
+        rows = spark.createDataFrame([*zip(score.tolist(), good.tolist())], "score double, good boolean")
+        assert q.best_threshold(rows, loss) == q.calibrate(score, good, loss)
+    for some in (rows.filter("good"), rows.filter("not good"), rows.limit(0)):
+        assert q.best_threshold(some) == 2.0
+
+
+def test_whole_fit_does_not_depend_on_partitions_or_copies(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    results = []
+    for some in (docs.repartition(1), docs.repartition(9), docs.unionAll(docs)):
+        forest, threshold = q.fit(some, labels)
+        results.append((threshold, sorted((r.doc_id, r.kept, r.anomaly) for r in q.judge(docs, forest, threshold).collect())))
+    assert results[0] == results[1] == results[2]
