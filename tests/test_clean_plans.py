@@ -1,5 +1,6 @@
 """Cleaning: equal rows found in two phases, date formats tried by the shapes that occur."""
 
+import random
 import re
 from collections import Counter
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scrubspark.functions.dates import DATE_FORMATS, DATE_SHAPES, formats_of_shapes, parse_date
+from scrubspark.functions.text import DATE_HINT_PATTERN, coerce_numeric_text, date_hint, reads_as_number, strip_text
 from scrubspark.operators import dedup
 from scrubspark.operators.clean import clean
 from scrubspark.operators.detect import detect_dates
@@ -86,3 +88,60 @@ def test_detected_formats(spark):
 
 def parse_ok(spark, text, fmt):
     return spark.range(1).select(parse_date(F.lit(text), fmt)).first()[0] is not None
+
+
+def test_raw_rows_are_derived_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(3000).selectExpr("id % 1000 AS k", "if(id % 5 = 0, concat(' ', id % 9), 'x') AS t", "if(id % 7 = 0, null, id / 4) AS v")
+    res = clean(rows.mapInArrow(count, rows.schema))
+    assert res.plan.rows_before == 3000 and seen.value == 3000
+    res.close()
+
+
+def test_rows_of_one_file_keep_all_cores(spark, tmp_path):
+    rows = spark.range(40000).selectExpr("id AS k", "concat('$', id, '.5') AS price", "if(id % 3 = 0, null, cast(id AS double)) AS v")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/t")
+    res = clean(spark.read.parquet(f"{tmp_path}/t"))
+    sizes = [r["count"] for r in res.table.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 40000 and len(sizes) >= 4 and max(sizes) <= 20000
+    # counted without the conversion, but of the converted cells
+    by = {d.name: (d.conversion, d.nulls_filled) for d in res.plan.columns}
+    assert by == {"k": (None, 0), "price": ("numeric", 0), "v": (None, 13334)}
+    res.close()
+
+
+def test_counts_of_missing_cells_are_those_of_the_converted_rows(spark):
+    rows = [(None if i % 10 == 0 else "n.a." if i % 10 == 1 else f"({i})", None if i % 4 == 0 else f"t{i}", float("nan") if i % 5 == 0 else 1.0 * i, "2024-01-05" if i % 6 else "?") for i in range(300)]
+    res = clean(spark.createDataFrame(rows, "n string, t string, f double, d string"))
+    got = {d.name: (d.conversion, d.nulls_filled) for d in res.plan.columns}
+    held = res.converted.collect()
+    assert got["n"] == ("numeric", sum(x.n is None for x in held)) and got["n"][1] > 30
+    assert got["t"] == (None, sum(x.t is None for x in held)) and got["f"] == (None, sum(x.f != x.f for x in held))
+    assert got["d"] == ("datetime", 0)
+    res.close()
+
+
+def test_text_expressions_keep_their_results(spark):
+    """Against the plain regular expressions."""
+    rng, blanks = random.Random(4), "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+    near = "\x1c\x1f\u200b\u180e\ufeff"
+    texts = [None, "", *(chr(i) + "a" + chr(i) for i in range(0x20, 0x3100))]
+    for letters, n in ((blanks + near + "ab", 1500), ("0159.+-eE()$,% \n\xa0", 6000), ("12-/. JanMAYsept," + "\xa0", 4000), ("()5$\u2028 .", 1500)):
+        texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))) for _ in range(n)]
+    texts += ["2024-01-05", " 1/2/24 ", "5 may 2024", "Sept-3, 99", "(1,234.50)", "€ 12", "-(5)", "(-5)", "1e999", "1d", "NaN", "(1\n2)", "٣", "9" * 20000, "jan" + " " * 3000 + "5"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(4).cache()
+    t = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    n = F.regexp_replace(F.regexp_replace(t, r"^\((.*)\)$", "-$1"), r"(?U)[\$€£¥,%\s]", "")
+    number = F.when(n.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), n.try_cast("double"))
+    pairs = {"strip": (strip_text("t"), t), "number": (coerce_numeric_text("t"), number), "hint": (date_hint("t"), t.rlike("(?i)" + DATE_HINT_PATTERN)), "is": (reads_as_number(F.col("t")), F.when(F.col("t").isNotNull(), number.isNotNull()))}
+    for name, (new, old) in pairs.items():
+        got = df.select("t", new.alias("new"), old.alias("old"))
+        assert got.where("NOT new <=> old").limit(3).collect() == [], name
+        if name == "number":  # zeros keep their sign
+            assert got.where("CAST(new AS STRING) <> CAST(old AS STRING)").count() == 0 and got.where("new IS NOT NULL").count() > 300
